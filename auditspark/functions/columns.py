@@ -235,7 +235,7 @@ def cwe_url(cwe) -> Column:
 
 def owasp_url(owasp) -> Column:
     o = s(owasp)
-    num = F.try_cast(F.regexp_extract(o, "A(\\d{2}):(\\d{4})", 1), "int")
+    num = F.regexp_extract(o, "A(\\d{2}):(\\d{4})", 1).try_cast("int")
     page = F.try_element_at(F.array(*[F.lit(p) for p in C.OWASP_TOP10_PAGES]), num)
     return (F.when(o == "", F.lit(""))
             .when(num.between(1, 10), F.concat(F.lit("https://owasp.org/Top10/"), page, F.lit("/")))
@@ -295,5 +295,5 @@ def sarif_uri(file) -> Column:
 
 def tool_line(c) -> Column:
     """Tool report line: a number > 0 is floored, anything else is 1."""
-    n = F.try_cast(col(c).cast("string"), "double")
+    n = col(c).cast("string").try_cast("double")
     return F.when(n.isNotNull() & (n > 0) & ~F.isnan(n), F.floor(n)).otherwise(F.lit(1)).cast("int")

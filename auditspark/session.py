@@ -17,6 +17,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.driver.memory": "16g",
     # maps merged from several manifest sections: later section wins
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
