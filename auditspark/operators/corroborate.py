@@ -75,29 +75,24 @@ def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_refe
         F.min(F.when(F.col("_tool") == 1, F.col("seq"))).alias("first_tool"),
         _first_nonempty("source").alias("first_source"),
         *[_first_nonempty(c).alias(f"first_{c}") for c in TEXT_FALLBACKS])
-    # stage B: per group - at most 60 rows per group arrive here
-    b = a.groupBy(*g, "dedup_key").agg(
-        F.array_sort(F.collect_list("cand")).alias("cands"),
-        F.sum("cnt").alias("duplicate_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("srcs")))).alias("sources"),
-        F.min("first_det").alias("first_det"),
-        F.min("first_tool").alias("first_tool"),
-        F.min("first_source").alias("first_source"),
-        *[F.min(f"first_{c}").alias(f"first_{c}") for c in TEXT_FALLBACKS])
-
-    first_det, first_tool, first_src = F.col("first_det"), F.col("first_tool"), F.col("first_source")
-    init = F.col("cands")[0]
+    # stage B: per group - at most 60 rows per group arrive here. The fold is an
+    # aggregate output, so later filters on its fields cannot be inlined below it.
+    cands = F.array_sort(F.collect_list("cand"))
+    init = cands[0]
 
     def nz(v):
         return F.when(X.nonempty(v), v)
 
     state0 = F.struct(init.alias("p"), nz(init["source"]).alias("rep_source"),
                       *[nz(init[c]).alias(f"rep_{c}") for c in TEXT_FALLBACKS],
-                      init["refs"].alias("rrefs"))
+                      init["refs"].alias("rrefs"),
+                      F.min("first_det").alias("fd"), F.min("first_tool").alias("ft"),
+                      F.min("first_source").alias("fs"))
 
     def step(st, x):
         p = st["p"]
         seq = x["seq"]
+        first_det, first_tool, first_src = st["fd"], st["ft"], st["fs"]
         confirmed = first_det.isNotNull() & first_tool.isNotNull() & (first_det < seq) & (first_tool < seq)
         cur_conf = F.when(confirmed, F.lit(5)).otherwise(p["conf_r"])
         cur_src = F.coalesce(st["rep_source"], F.when(first_src["seq"] < seq, first_src["v"]))
@@ -112,10 +107,17 @@ def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_refe
         return F.struct(F.when(repl, x).otherwise(p).alias("p"),
                         keep("source").alias("rep_source"),
                         *[keep(c).alias(f"rep_{c}") for c in TEXT_FALLBACKS],
-                        F.when(repl, F.concat(x["refs"], st["rrefs"])).otherwise(st["rrefs"]).alias("rrefs"))
+                        F.when(repl, F.concat(x["refs"], st["rrefs"])).otherwise(st["rrefs"]).alias("rrefs"),
+                        first_det.alias("fd"), first_tool.alias("ft"), first_src.alias("fs"))
 
-    folded = F.aggregate(F.slice("cands", 2, 64), state0, step)
-    out = b.withColumn("_st", folded)
+    out = a.groupBy(*g, "dedup_key").agg(
+        F.aggregate(F.slice(cands, 2, 64), state0, step).alias("_st"),
+        init["seq"].alias("first_seq"),
+        F.sum("cnt").alias("duplicate_count"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("srcs")))).alias("sources"),
+        F.min("first_source").alias("first_source"),
+        *[F.min(f"first_{c}").alias(f"first_{c}") for c in TEXT_FALLBACKS])
+    first_src = F.col("first_source")
     p = F.col("_st.p")
     has_both = F.array_contains("sources", C.DETECTOR) & F.exists("sources", lambda s_: s_ != C.DETECTOR)
     cols = [*g, "dedup_key"]
@@ -124,7 +126,7 @@ def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_refe
              F.coalesce(F.col("_st.rep_source"), first_src["v"]).alias("source"),
              "sources", "duplicate_count",
              F.col("_st.rrefs").alias("_rrefs"),
-             init["seq"].alias("first_seq"),
+             "first_seq",
              p["seq"].alias("primary_seq")]
     cols += [F.coalesce(F.col(f"_st.rep_{c}"), F.col(f"first_{c}.v")).alias(c) for c in TEXT_FALLBACKS]
     out = out.select(*cols)

@@ -120,7 +120,7 @@ FROM t_dedup""", True))
 def flt_ignore(spark, sf):
     pats = C.DEFAULT_IGNORE_PATTERNS + ["test/", "!test/f1*.js", "apps/**/f3?.js"]
     d = deduped(spark, sf)
-    return d.select("repo_id", "dedup_key", "file", SP.is_ignored("file", pats).alias("suppressed"))
+    return d.select("repo_id", "dedup_key", "file", SP.is_ignored(SP.ignore_path("file"), pats).alias("suppressed"))
 
 
 @register("flt_baseline", sqlv(f"""SELECT repo_id, dedup_key, fp IN (SELECT fingerprint FROM t_baseline b
