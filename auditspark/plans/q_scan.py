@@ -115,13 +115,15 @@ def src_default_excludes(spark, sf):
     return B.spark_view(spark, sf, "t_files").where(~FS.is_excluded("path")).select("repo_id", "path")
 
 
-@register("src_file_inventory", B.with_views(f"""
-SELECT DISTINCT repo_id, path, category FROM (
+INVENTORY_SQL = f"""SELECT DISTINCT repo_id, path, category FROM (
   SELECT repo_id, path, 'source' AS category FROM t_files WHERE regexp_matches(path, {Q.q(FS.SOURCE_RE)})
   UNION ALL SELECT repo_id, path, 'config' FROM t_files WHERE regexp_matches(path, {Q.q(FS.CONFIG_RE)})
   UNION ALL SELECT repo_id, path, 'dependency' FROM t_files WHERE regexp_matches(path, {Q.q(FS.DEP_RE)})
   UNION ALL SELECT repo_id, path, 'baas' FROM t_files WHERE regexp_matches(path, {Q.q(FS.BAAS_RE)})
-) WHERE NOT {_excluded_sql()}"""))
+) WHERE NOT {_excluded_sql()}"""
+
+
+@register("src_file_inventory", B.with_views(INVENTORY_SQL))
 def src_file_inventory(spark, sf):
     return FS.file_inventory(B.spark_view(spark, sf, "t_files"))
 

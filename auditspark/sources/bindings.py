@@ -147,4 +147,8 @@ def with_views(sql: str, extra_ctes: list[tuple[str, str]] | None = None) -> str
     ctes = [(v, duckdb_cte(v)) for v in VIEW_ORDER if v in needed] + list(extra_ctes or [])
     if not ctes:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS (\n{c}\n)" for n, c in ctes) + "\n" + sql
+    head = "WITH " + ",\n".join(f"{n} AS (\n{c}\n)" for n, c in ctes)
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return head + ",\n" + body[5:]
+    return head + "\n" + sql
