@@ -529,13 +529,15 @@ def top_files(spark, sf):
                                                 F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("srt_findings_index", sqlv("""SELECT repo_id, dedup_key, CAST(row_number() OVER (PARTITION BY repo_id
-  ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3
-  WHEN 'INFO' THEN 4 ELSE 5 END, first_seq) AS BIGINT) AS pos FROM t_final""", True))
+@register("srt_findings_index", sqlv("""SELECT repo_id, dedup_key, CAST(CASE severity WHEN 'CRITICAL' THEN 0
+  WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 WHEN 'INFO' THEN 4 ELSE 5 END AS INT) AS sev_pos
+FROM t_final""", True))
 def srt_findings_index(spark, sf):
-    from pyspark.sql import Window
-    w = Window.partitionBy("repo_id").orderBy(R.sev_order("severity"), "first_seq")
-    return final(spark, sf).select("repo_id", "dedup_key", F.row_number().over(w).cast("bigint").alias("pos"))
+    """Report order (severity, unknown last, then arrival) as a distributed
+    range sort - no per-repository window, so a huge repository is split."""
+    f = final(spark, sf).select("repo_id", "dedup_key", R.sev_order("severity").cast("int").alias("sev_pos"),
+                                "first_seq")
+    return f.orderBy("repo_id", "sev_pos", "first_seq").drop("first_seq")
 
 
 @register("lim_misc", sqlv("""SELECT repo_id, dedup_key, substr(name, 1, 5) AS short_name,
