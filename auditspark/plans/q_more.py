@@ -26,7 +26,7 @@ FILE_NAME = f"({REVIEWER} || '-' || CAST(run_id AS VARCHAR) || '.json')"
 ITEM = ("to_json(named_struct('severity', severity, 'category', category, 'name', name, 'description', "
         "CASE WHEN line % 5 = 0 THEN '' ELSE 'desc' END, 'file', file, 'line', CASE WHEN line = 1 THEN 0 ELSE line END, "
         "'cwe', cwe, 'fix', 'fix it', 'confidence', confidence, 'source', CASE WHEN line % 7 = 0 THEN 'tool' "
-        f"ELSE concat('subagent:', {REVIEWER.replace('run_id', 'run_id')}) END))")
+        f"ELSE concat('subagent:', {REVIEWER}) END))")
 
 
 def partial_docs(spark, sf):
@@ -39,10 +39,8 @@ def partial_docs(spark, sf):
     tools = F.when(F.col("run_id") % 3 == 0, F.lit(',"toolExecutions":["opengrep","npm audit"]')).otherwise(F.lit(""))
     body = F.concat(F.lit('{"findings":'), F.col("_arr"), tools, F.lit("}"))
     body = F.when(F.col("run_id") % 13 == 0, F.substring(body, 1, 20)).otherwise(body)
-    return docs.select("repo_id", "run_id", F.expr(FILE_NAME.replace("||", "||")).alias("file_name")
-                       if False else F.concat(F.expr(REVIEWER), F.lit("-"), F.col("run_id").cast("string"),
-                                              F.lit(".json")).alias("file_name"),
-                       body.alias("json"))
+    name = F.concat(F.expr(REVIEWER), F.lit("-"), F.col("run_id").cast("string"), F.lit(".json"))
+    return docs.select("repo_id", "run_id", name.alias("file_name"), body.alias("json"))
 
 
 PARTIAL_SCHEMA = ("struct<severity:string, category:string, name:string, description:string, file:string, "
