@@ -43,12 +43,30 @@ def or_else(a, b) -> Column:
     return F.when(nonempty(a), col(a)).otherwise(col(b))
 
 
+# the same set minus the plain space, for character-wise translation
+OTHER_WS = "\t\n\u000b\f\r\u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + \
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+ALL_WS = [" "] + list(OTHER_WS)
+
+
 def js_trim(c) -> Column:
-    return F.regexp_replace(col(c), f"^{JS_WS}+|{JS_WS}+\\z", "")
+    """Trim JavaScript whitespace; the regex only runs when an end is whitespace."""
+    c = col(c)
+    ends = F.substring(c, 1, 1).isin(*ALL_WS) | F.substring(c, -1, 1).isin(*ALL_WS)
+    return F.when(ends, F.regexp_replace(c, f"^{JS_WS}+|{JS_WS}+\\z", "")).otherwise(c)
+
+
+def _spaces(c) -> Column:
+    return F.translate(col(c), OTHER_WS, " " * len(OTHER_WS))
+
+
+def _squeeze(t: Column) -> Column:
+    return F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
 
 
 def collapse_ws(c) -> Column:
-    return F.regexp_replace(col(c), f"{JS_WS}+", " ")
+    """Runs of whitespace -> one space (character translation, regex only on runs)."""
+    return _squeeze(_spaces(c))
 
 
 def norm_path(c) -> Column:
@@ -57,8 +75,12 @@ def norm_path(c) -> Column:
 
 
 def key_part(c) -> Column:
-    """trim, lower-case, ``\\`` -> ``/``, whitespace runs -> one space."""
-    return collapse_ws(F.regexp_replace(F.lower(js_trim(s(c))), "\\\\", "/"))
+    """trim, lower-case, ``\\`` -> ``/``, whitespace runs -> one space.
+
+    Whitespace is first translated to plain spaces character by character, so
+    trimming is ``trim`` and only strings with a run of spaces see a regex."""
+    t = F.translate(F.lower(F.trim(_spaces(s(c)))), "\\", "/")
+    return _squeeze(t)
 
 
 def canonical_cwe(c) -> Column:

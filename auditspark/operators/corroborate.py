@@ -45,6 +45,19 @@ def _with_defaults(df: DataFrame) -> DataFrame:
     return df
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Key derivation is per-row CPU work done before the first shuffle. When the
+    input has fewer splits than the cluster has cores, spread rows by a hash of
+    their whole content (deterministic on retry, and a hot key is spread too)."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want * 2, F.xxhash64(*[F.col(c) for c in df.columns]))
+
+
 def _first_nonempty(c: str):
     return F.min(F.when(X.nonempty(c), F.struct(F.col("seq").alias("seq"), F.col(c).alias("v"))))
 
@@ -55,6 +68,7 @@ def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_refe
     ``duplicate_count`` and ``first_seq``."""
     g = list(group_cols)
     f = _with_defaults(findings)
+    f = _spread(f)
     f = (f.withColumn("dedup_key", X.dedup_key("file", "line", "cwe", "category", "name"))
          .withColumn("_sev_r", X.severity_rank("severity"))
          .withColumn("_conf_r", X.confidence_rank("confidence"))
@@ -76,59 +90,75 @@ def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_refe
         _first_nonempty("source").alias("first_source"),
         *[_first_nonempty(c).alias(f"first_{c}") for c in TEXT_FALLBACKS])
     # stage B: per group - at most 60 rows per group arrive here. The fold is an
-    # aggregate output, so later filters on its fields cannot be inlined below it.
+    # aggregate output (later filters cannot inline it) and runs over a narrow
+    # integer state: positions into the sorted candidate array, not whole rows.
     cands = F.array_sort(F.collect_list("cand"))
-    init = cands[0]
 
-    def nz(v):
-        return F.when(X.nonempty(v), v)
+    def key_of(c, i):
+        ne = {n: X.nonempty(c[n]) for n in ["source"] + TEXT_FALLBACKS}
+        return F.struct(i.alias("i"), c["seq"].alias("seq"), c["sev_r"].alias("sev_r"), c["conf_r"].alias("conf_r"),
+                        c["tool"].alias("tool"), ne["source"].alias("ne_source"),
+                        (ne["source"] & (c["source"] != C.DETECTOR)).alias("src_tool"),
+                        *[ne[n].alias(f"ne_{n}") for n in TEXT_FALLBACKS])
+
+    keys = F.transform(cands, key_of)
+    k0 = keys[0]
+    fs = F.min("first_source")
 
-    state0 = F.struct(init.alias("p"), nz(init["source"]).alias("rep_source"),
-                      *[nz(init[c]).alias(f"rep_{c}") for c in TEXT_FALLBACKS],
-                      init["refs"].alias("rrefs"),
+    def pos_if(flag, i):
+        return F.when(flag, i).otherwise(F.lit(-1))
+
+    state0 = F.struct(F.lit(0).alias("p"), k0["sev_r"].alias("psev"), k0["conf_r"].alias("pconf"),
+                      pos_if(k0["ne_source"], F.lit(0)).alias("rs"), k0["src_tool"].alias("rs_tool"),
+                      *[pos_if(k0[f"ne_{c}"], F.lit(0)).alias(f"r_{c}") for c in TEXT_FALLBACKS],
+                      F.array(F.lit(0)).alias("reps"),
                       F.min("first_det").alias("fd"), F.min("first_tool").alias("ft"),
-                      F.min("first_source").alias("fs"))
+                      fs["seq"].alias("fs_seq"), (X.nonempty(fs["v"]) & (fs["v"] != C.DETECTOR)).alias("fs_tool"))
 
     def step(st, x):
-        p = st["p"]
         seq = x["seq"]
-        first_det, first_tool, first_src = st["fd"], st["ft"], st["fs"]
-        confirmed = first_det.isNotNull() & first_tool.isNotNull() & (first_det < seq) & (first_tool < seq)
-        cur_conf = F.when(confirmed, F.lit(5)).otherwise(p["conf_r"])
-        cur_src = F.coalesce(st["rep_source"], F.when(first_src["seq"] < seq, first_src["v"]))
-        cur_tool = X.nonempty(cur_src) & (cur_src != C.DETECTOR)
-        repl = ((x["sev_r"] > p["sev_r"])
-                | ((x["sev_r"] == p["sev_r"]) & (x["conf_r"] > cur_conf))
-                | ((x["sev_r"] == p["sev_r"]) & (x["conf_r"] == cur_conf) & (x["tool"] == 1) & ~cur_tool))
-
-        def keep(c):
-            return F.when(repl & X.nonempty(x[c]), x[c]).otherwise(st[f"rep_{c}"])
-
-        return F.struct(F.when(repl, x).otherwise(p).alias("p"),
-                        keep("source").alias("rep_source"),
-                        *[keep(c).alias(f"rep_{c}") for c in TEXT_FALLBACKS],
-                        F.when(repl, F.concat(x["refs"], st["rrefs"])).otherwise(st["rrefs"]).alias("rrefs"),
-                        first_det.alias("fd"), first_tool.alias("ft"), first_src.alias("fs"))
+        confirmed = st["fd"].isNotNull() & st["ft"].isNotNull() & (st["fd"] < seq) & (st["ft"] < seq)
+        cur_conf = F.when(confirmed, F.lit(5)).otherwise(st["pconf"])
+        cur_tool = F.when(st["rs"] >= 0, st["rs_tool"]).when(st["fs_seq"] < seq, st["fs_tool"]).otherwise(F.lit(False))
+        same_sev = x["sev_r"] == st["psev"]
+        repl = ((x["sev_r"] > st["psev"]) | (same_sev & (x["conf_r"] > cur_conf))
+                | (same_sev & (x["conf_r"] == cur_conf) & (x["tool"] == 1) & ~cur_tool))
+        take_src = repl & x["ne_source"]
+        return F.struct(F.when(repl, x["i"]).otherwise(st["p"]).alias("p"),
+                        F.when(repl, x["sev_r"]).otherwise(st["psev"]).alias("psev"),
+                        F.when(repl, x["conf_r"]).otherwise(st["pconf"]).alias("pconf"),
+                        F.when(take_src, x["i"]).otherwise(st["rs"]).alias("rs"),
+                        F.when(take_src, x["src_tool"]).otherwise(st["rs_tool"]).alias("rs_tool"),
+                        *[F.when(repl & x[f"ne_{c}"], x["i"]).otherwise(st[f"r_{c}"]).alias(f"r_{c}")
+                          for c in TEXT_FALLBACKS],
+                        F.when(repl, F.concat(F.array(x["i"]), st["reps"])).otherwise(st["reps"]).alias("reps"),
+                        st["fd"].alias("fd"), st["ft"].alias("ft"), st["fs_seq"].alias("fs_seq"),
+                        st["fs_tool"].alias("fs_tool"))
 
     out = a.groupBy(*g, "dedup_key").agg(
-        F.aggregate(F.slice(cands, 2, 64), state0, step).alias("_st"),
-        init["seq"].alias("first_seq"),
+        F.aggregate(F.slice(keys, 2, 64), state0, step).alias("_st"),
+        cands.alias("_cands"),
         F.sum("cnt").alias("duplicate_count"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("srcs")))).alias("sources"),
-        F.min("first_source").alias("first_source"),
+        fs.alias("first_source"),
         *[F.min(f"first_{c}").alias(f"first_{c}") for c in TEXT_FALLBACKS])
+    cs = F.col("_cands")
+    p = cs[F.col("_st.p")]
+
+    def at(pos_col, field):
+        return F.when(pos_col >= 0, cs[pos_col][field])
+
     first_src = F.col("first_source")
-    p = F.col("_st.p")
     has_both = F.array_contains("sources", C.DETECTOR) & F.exists("sources", lambda s_: s_ != C.DETECTOR)
     cols = [*g, "dedup_key"]
     cols += [p[c].alias(c) for c in PRIMARY_FIELDS if c != "confidence"]
     cols += [F.when(has_both, F.lit("CONFIRMED")).otherwise(p["confidence"]).alias("confidence"),
-             F.coalesce(F.col("_st.rep_source"), first_src["v"]).alias("source"),
+             F.coalesce(at(F.col("_st.rs"), "source"), first_src["v"]).alias("source"),
              "sources", "duplicate_count",
-             F.col("_st.rrefs").alias("_rrefs"),
-             "first_seq",
+             F.flatten(F.transform(F.col("_st.reps"), lambda i: cs[i]["refs"])).alias("_rrefs"),
+             cs[0]["seq"].alias("first_seq"),
              p["seq"].alias("primary_seq")]
-    cols += [F.coalesce(F.col(f"_st.rep_{c}"), F.col(f"first_{c}.v")).alias(c) for c in TEXT_FALLBACKS]
+    cols += [F.coalesce(at(F.col(f"_st.r_{c}"), c), F.col(f"first_{c}.v")).alias(c) for c in TEXT_FALLBACKS]
     out = out.select(*cols)
     if with_references:
         refs = (f.select(*g, "dedup_key", "seq", F.explode("references").alias("ref"))

@@ -90,11 +90,16 @@ def rule_hits(lines: DataFrame, rules: list[Rule], use_guards: bool = True) -> D
     return out
 
 
-def prepare_lines(files: DataFrame) -> DataFrame:
+def prepare_lines(files: DataFrame, rebalance: bool = True) -> DataFrame:
     """Files (``repo_id, path, content`` + classification) -> scannable line rows.
 
     Drops binary-extension, binary and empty files; language falls back to the
     path; lines carry the file flags.
+
+    The regex scan costs far more CPU per byte than reading, so when the input
+    has fewer splits than the cluster has cores (a few large files), lines are
+    hash-spread on (repo_id, path, line) before the scan; a fleet-size input
+    already has many splits and is scanned where it is read (no shuffle).
     """
     from ..sources import files as S
     f = files
@@ -104,7 +109,13 @@ def prepare_lines(files: DataFrame) -> DataFrame:
     f = S.with_file_flags(f).where(~F.col("is_binary") & ~F.col("is_empty"))
     f = f.withColumn("language", F.when(F.col("language") != "unknown", F.col("language")))
     keep = ["repo_id", "path", "language", "kind", "depth", "is_minified"]
-    return S.split_lines(f.select(*keep, "content"), keep)
+    lines = S.split_lines(f.select(*keep, "content"), keep)
+    if rebalance and not files.isStreaming:
+        spark = files.sparkSession
+        want = spark.sparkContext.defaultParallelism
+        if files.rdd.getNumPartitions() < want:
+            lines = lines.repartition(want * 2, "repo_id", "path", "line")
+    return lines
 
 
 def detect(spark: SparkSession, lines: DataFrame, rules: list[Rule] | None = None,
