@@ -136,7 +136,7 @@ def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_refe
                         st["fs_tool"].alias("fs_tool"))
 
     out = a.groupBy(*g, "dedup_key").agg(
-        F.aggregate(F.slice(keys, 2, 64), state0, step).alias("_st"),
+        F.aggregate(F.slice(keys, 2, F.size(keys)), state0, step).alias("_st"),
         cands.alias("_cands"),
         F.sum("cnt").alias("duplicate_count"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("srcs")))).alias("sources"),

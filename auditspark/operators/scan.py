@@ -36,13 +36,19 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 
 def _guard(rule: Rule, raw: Column, low: Column) -> Column | None:
+    """``guard`` = literals of which one must occur; or a tuple of such groups,
+    all of which must be satisfied (a necessary condition for a match)."""
     if not rule.guard:
         return None
     target = low if "i" in rule.flags else raw
+    groups = rule.guard if isinstance(rule.guard[0], tuple) else (rule.guard,)
     cond = None
-    for g in rule.guard:
-        c = target.contains(g)
-        cond = c if cond is None else (cond | c)
+    for grp in groups:
+        any_ = None
+        for g in grp:
+            c = target.contains(g)
+            any_ = c if any_ is None else (any_ | c)
+        cond = any_ if cond is None else (cond & any_)
     return cond
 
 
@@ -123,7 +129,11 @@ def detect(spark: SparkSession, lines: DataFrame, rules: list[Rule] | None = Non
     """``scan_detect``: rule hits -> canonical detector findings with ids,
     redaction and the non-source downgrade."""
     rules = rules if rules is not None else builtin_rules()
-    hits = rule_hits(lines, rules, use_guards)
+    return _finish(spark, rule_hits(lines, rules, use_guards), rules)
+
+
+def _finish(spark: SparkSession, hits: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rule metadata, redaction/snippet, ids (repeat counter), non-source downgrade."""
     meta = F.broadcast(rule_table(spark, rules))
     f = hits.join(meta, "rule_ord")
     code = (F.when(F.col("rule_pass") == 0, X.redact_match("match", "group1"))
@@ -173,3 +183,34 @@ def red_flags(texts: DataFrame, text_col: str = "text") -> DataFrame:
     ]
     arr = F.array_compact(F.array(*[F.when(F.col(text_col).rlike(to_java(p, "i")), F.lit(n)) for n, p in flags]))
     return texts.withColumn("flag", F.explode(arr))
+
+
+def detect_distinct_content(spark: SparkSession, files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """``scan_detect`` for fleets with vendored copies: each distinct content is
+    scanned once per scan context, and hits are joined back to every path.
+
+    The scan context is what rule applicability depends on besides the text:
+    (language, config-or-baas, non-source path, minified). Path-dependent steps
+    (ids, downgrade, snippets) run after the join. A content copied into a third
+    of all repositories is scanned once; the join back is a skew-tolerant
+    shuffle join (AQE splits the hot key).
+    """
+    from ..sources import files as S
+    rules = rules if rules is not None else builtin_rules()
+    f = files if "kind" in files.columns else S.classify(files)
+    f = f.where(~X.is_binary_ext("path"))
+    f = S.with_file_flags(f).where(~F.col("is_binary") & ~F.col("is_empty"))
+    f = (f.withColumn("language", F.when(F.col("language") != "unknown", F.col("language")))
+         .withColumn("content_sha", F.sha2(F.col("content"), 256))
+         .withColumn("_cfg", F.col("kind").isin("config", "baas"))
+         .withColumn("_ns", X.non_source("path")))
+    ctx = ["content_sha", "language", "_cfg", "_ns", "is_minified"]
+    uniq = (f.select(*ctx, "content").dropDuplicates(ctx)
+            .withColumn("kind", F.when(F.col("_cfg"), "config").otherwise("source"))
+            # a representative path carrying the non-source flag for the context rules
+            .withColumn("path", F.when(F.col("_ns"), F.lit("test/x")).otherwise(F.lit("src/x"))))
+    lines = S.split_lines(uniq, ctx + ["kind", "path"])
+    hits = rule_hits(lines, rules).drop("path", "kind")
+    paths = f.select("repo_id", "path", "depth", *ctx)
+    joined = hits.join(paths, ctx).drop("content_sha", "_cfg", "_ns")
+    return _finish(spark, joined, rules)

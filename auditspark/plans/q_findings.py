@@ -73,7 +73,7 @@ def sqlv(sql: str, dedup: bool = False) -> str:
     extra = list(DEDUP_CTES) if dedup else []
     if "t_baseline" in sql:
         extra.append(("t_baseline", f"SELECT DISTINCT repo_id, {Q.fingerprint()} AS fingerprint FROM t_findings "
-                                    "WHERE line % 3 = 0"))
+                                    f"WHERE detected_at < TIMESTAMP '{B.BASELINE_CUTOFF}'"))
     return B.with_views(sql, extra)
 
 
@@ -164,19 +164,16 @@ def snk_baseline(spark, sf):
     return SP.baseline_entries(final(spark, sf))
 
 
-@register("src_load_baseline", sqlv(
-    "SELECT DISTINCT repo_id, unnest(fps) AS fingerprint FROM (SELECT repo_id, list(fingerprint) AS fps FROM "
-    "t_baseline GROUP BY repo_id, substr(fingerprint, 1, 1))"))
+@register("src_load_baseline", sqlv("SELECT DISTINCT repo_id, fingerprint FROM t_baseline"))
 def src_load_baseline(spark, sf):
     """Baseline documents in both accepted shapes (bare array / {fingerprints}),
-    one document per repository and first letter, parsed back into rows."""
+    one small document per known fingerprint, parsed back into rows."""
     from ..sources import reports as RS
     b = B.spark_view(spark, sf, "t_baseline")
-    docs = (b.groupBy("repo_id", F.substring("fingerprint", 1, 1).alias("part"))
-            .agg(F.collect_list("fingerprint").alias("fps"))
-            .select("repo_id", F.when(F.length("part") % 2 == 0, F.to_json("fps"))
-                    .otherwise(F.to_json(F.struct(F.lit(1).alias("version"), F.col("fps").alias("fingerprints"))))
-                    .alias("json")))
+    arr = F.array("fingerprint")
+    docs = b.select("repo_id", F.when(F.length("fingerprint") % 2 == 0, F.to_json(arr))
+                    .otherwise(F.to_json(F.struct(F.lit(1).alias("version"), arr.alias("fingerprints"))))
+                    .alias("json"))
     return RS.load_baseline(docs)
 
 
@@ -421,7 +418,7 @@ def _ids_sql():
 
 
 @register("agg_owasp", sqlv(f"""SELECT repo_id, {Q.case_map('category', C.OWASP_CATEGORY_MAP, "'Other'")} AS owasp,
-  string_agg(dedup_key, ',' ORDER BY first_seq) AS ids, count(*) AS n, 'FAIL' AS status
+  arg_min(dedup_key, first_seq) AS first_id, count(*) AS n, 'FAIL' AS status
 FROM t_final GROUP BY ALL""", True))
 def agg_owasp(spark, sf):
     f = final(spark, sf).withColumn("id", F.col("dedup_key")).withColumn("owasp", F.lit(None).cast("string"))

@@ -289,3 +289,13 @@ def norm_tool_failure(spark, sf):
     r = r.withColumn("report_json", F.when(F.col("run_id") % 7 == 0, F.lit("not json {")).otherwise(
         F.col("report_json"))).withColumn("tool", F.lit("gitleaks"))
     return N.tool_failures(r)
+
+
+@register("win_report_ordinal", B.with_views(f"""SELECT repo_id, run_id, file, line, CAST(ord AS BIGINT) AS ordinal
+FROM {_ord_sql('gitleaks')}"""))
+def win_report_ordinal(spark, sf):
+    """1-based position of each item in its report (``posexplode``; Trivy and OSV
+    use per-level size offsets for nested reports)."""
+    g = N.gitleaks(gitleaks_reports(spark, sf))
+    return g.select("repo_id", "run_id", "file", "line",
+                    F.regexp_extract("id", "_(\\d+)$", 1).cast("bigint").alias("ordinal"))
