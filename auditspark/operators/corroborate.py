@@ -102,16 +102,14 @@ def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_refe
                         *[ne[n].alias(f"ne_{n}") for n in TEXT_FALLBACKS])
 
     keys = F.transform(cands, key_of)
-    k0 = keys[0]
     fs = F.min("first_source")
 
-    def pos_if(flag, i):
-        return F.when(flag, i).otherwise(F.lit(-1))
-
-    state0 = F.struct(F.lit(0).alias("p"), k0["sev_r"].alias("psev"), k0["conf_r"].alias("pconf"),
-                      pos_if(k0["ne_source"], F.lit(0)).alias("rs"), k0["src_tool"].alias("rs_tool"),
-                      *[pos_if(k0[f"ne_{c}"], F.lit(0)).alias(f"r_{c}") for c in TEXT_FALLBACKS],
-                      F.array(F.lit(0)).alias("reps"),
+    # the first element initialises the state (p < 0): it always "replaces", so
+    # the candidate array is evaluated once per group (no repeated keys[0] refs)
+    state0 = F.struct(F.lit(-1).alias("p"), F.lit(0).alias("psev"), F.lit(0).alias("pconf"),
+                      F.lit(-1).alias("rs"), F.lit(False).alias("rs_tool"),
+                      *[F.lit(-1).alias(f"r_{c}") for c in TEXT_FALLBACKS],
+                      F.array().cast("array<int>").alias("reps"),
                       F.min("first_det").alias("fd"), F.min("first_tool").alias("ft"),
                       fs["seq"].alias("fs_seq"), (X.nonempty(fs["v"]) & (fs["v"] != C.DETECTOR)).alias("fs_tool"))
 
@@ -121,7 +119,7 @@ def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_refe
         cur_conf = F.when(confirmed, F.lit(5)).otherwise(st["pconf"])
         cur_tool = F.when(st["rs"] >= 0, st["rs_tool"]).when(st["fs_seq"] < seq, st["fs_tool"]).otherwise(F.lit(False))
         same_sev = x["sev_r"] == st["psev"]
-        repl = ((x["sev_r"] > st["psev"]) | (same_sev & (x["conf_r"] > cur_conf))
+        repl = ((st["p"] < 0) | (x["sev_r"] > st["psev"]) | (same_sev & (x["conf_r"] > cur_conf))
                 | (same_sev & (x["conf_r"] == cur_conf) & (x["tool"] == 1) & ~cur_tool))
         take_src = repl & x["ne_source"]
         return F.struct(F.when(repl, x["i"]).otherwise(st["p"]).alias("p"),
@@ -136,7 +134,7 @@ def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_refe
                         st["fs_tool"].alias("fs_tool"))
 
     out = a.groupBy(*g, "dedup_key").agg(
-        F.aggregate(F.slice(keys, 2, F.size(keys)), state0, step).alias("_st"),
+        F.aggregate(keys, state0, step).alias("_st"),
         cands.alias("_cands"),
         F.sum("cnt").alias("duplicate_count"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("srcs")))).alias("sources"),

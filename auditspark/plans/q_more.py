@@ -297,19 +297,36 @@ LEFT JOIN (SELECT repo_id, CASE WHEN available_count = 0 THEN 'Agent-Only' WHEN
     IS NULL OR diagnostic = 'complete') AS ok FROM t_tool_runs) GROUP BY repo_id)) tm USING (repo_id)""", True))
 def agg_summary(spark, sf):
     """One run-summary row per repository: score, totals, suppressed, baselined,
-    severity counts, audited files, tool mode. The merged findings are reused
-    by every aggregate below (one lineage; cache/checkpoint in ``plans.fleet``)."""
+    severity counts, audited files, tool mode.
+
+    The merged findings are computed once and every figure comes out of ONE
+    ``groupBy(repo_id)`` with conditional aggregates (ignored / baselined are
+    flags, the baseline a left join on the fingerprint), so the corroboration
+    shuffle is never repeated per figure."""
+    from ..functions import catalogs as CC
     d = QF.deduped(spark, sf)
-    kept, sup = SP.apply_ignore(d)
-    new, known = SP.apply_baseline(kept, B.spark_view(spark, sf, "t_baseline"))
-    counts = kept.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total"),
-                                         *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in C.SEVERITIES])
-    score = R.score(kept)
-    s = sup.groupBy("repo_id").agg(F.count(F.lit(1)).alias("suppressed"))
-    b = known.groupBy("repo_id").agg(F.count(F.lit(1)).alias("baselined"))
+    d = d.withColumn("_ign", SP.is_ignored(SP.ignore_path("file"), CC.DEFAULT_IGNORE_PATTERNS))
+    base = B.spark_view(spark, sf, "t_baseline").select("repo_id", "fingerprint").dropDuplicates() \
+        .withColumn("_known", F.lit(True))
+    d = SP.with_fingerprint(d).join(base, ["repo_id", "fingerprint"], "left")
+    kept = ~F.col("_ign")
+    w = X.lookup(CC.SEVERITY_WEIGHTS, F.col("severity"), 0)
+    fac = X.lookup(CC.CONFIDENCE_FACTORS, F.upper(X.s("confidence")), 1.0)
+    nf = F.regexp_replace(X.js_trim(X.s("file")), "\\\\", "/")
+    agg = d.groupBy("repo_id").agg(
+        F.count_if(kept).alias("total"),
+        F.count_if(~kept).alias("suppressed"),
+        F.count_if(kept & F.coalesce(F.col("_known"), F.lit(False))).alias("baselined"),
+        *[F.count_if(kept & (F.col("severity") == s)).alias(s.lower()) for s in CC.SEVERITIES],
+        F.sum(F.when(kept, w * fac)).alias("_weighted"),
+        F.count_distinct(F.when(kept & (nf != ""), nf)).alias("n_files"))
+    agg = agg.where(F.col("total") > 0)
+    cap = F.lit(100)
+    for sev, c in reversed(CC.SCORE_CAPS):
+        cap = F.when(F.col(sev.lower()) > 0, F.lit(c)).otherwise(cap)
+    raw = 100 - (F.col("_weighted") / F.greatest(F.col("n_files"), F.lit(1))) * 5
+    score = F.greatest(F.lit(0), F.least(cap, X.js_round(F.round(raw, 9)))).cast("bigint")
     tm = T.tool_mode(B.spark_view(spark, sf, "t_tool_runs")).select("repo_id", F.col("mode").alias("tool_mode"))
-    out = (counts.join(score.select("repo_id", "score", "n_files"), "repo_id")
-           .join(s, "repo_id", "left").join(b, "repo_id", "left").join(tm, "repo_id", "left"))
-    return out.select("repo_id", "score", "total", F.coalesce("suppressed", F.lit(0)).alias("suppressed"),
-                      F.coalesce("baselined", F.lit(0)).alias("baselined"), "critical", "high", "medium", "low", "info",
-                      "n_files", F.coalesce("tool_mode", F.lit("Agent-Only")).alias("tool_mode"))
+    out = agg.withColumn("score", score).join(tm, "repo_id", "left")
+    return out.select("repo_id", "score", "total", "suppressed", "baselined", "critical", "high", "medium", "low",
+                      "info", "n_files", F.coalesce("tool_mode", F.lit("Agent-Only")).alias("tool_mode"))
