@@ -1,8 +1,9 @@
 """Sinks: SARIF 2.1.0 documents, findings JSON export, baseline documents.
 
 Documents are assembled per repository *chunk*: results are bucketed by a
-hash of their dedup key into at most ``max_results`` per document, so no
-single repository (however large) is gathered into one row. SARIF allows any
+hash of their dedup key into ``ceil(n / max_results)`` documents (about
+``max_results`` each), so no single repository, however large, is gathered
+into one row. SARIF allows any
 number of log files per analysis; rule metadata comes from the first finding
 of each rule id across the whole repository (a partial-aggregated ``min``).
 """

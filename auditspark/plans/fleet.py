@@ -69,7 +69,9 @@ def run(spark: SparkSession, files: DataFrame, reports: DataFrame | None = None,
     if checkpoint:
         checkpoint_dir(spark)
         new = new.checkpoint(eager=True)
-    score = R.score(new, files.select("repo_id", "path"), files.select("repo_id"))
+    from ..sources.files import file_inventory
+    audited = file_inventory(files).select("repo_id", "path").distinct()   # discovered files only
+    score = R.score(new, audited, files.select("repo_id"))
     counts = R.severity_counts(new)
     summary = (score.join(counts, "repo_id", "left")
                .join(suppressed.groupBy("repo_id").agg(F.count(F.lit(1)).alias("suppressed")), "repo_id", "left")
