@@ -77,10 +77,10 @@ def rule_hits(lines: DataFrame, rules: list[Rule], use_guards: bool = True) -> D
     elems = []
     for i, r in enumerate(rules):
         pat = F.lit(to_java(r.pattern, r.flags))
-        cond = _scope(r)
         g = _guard(r, raw, low) if use_guards else None
-        if g is not None:
-            cond = cond & g
+        # the cheap literal guard first: AND short-circuits, so scope regexes
+        # (same-line context, non-source path) only run on candidate lines
+        cond = _scope(r) if g is None else (g & _scope(r))
         matches = F.regexp_extract_all(raw, pat, F.lit(0))
         groups = F.regexp_extract_all(raw, pat, F.lit(1)) if r.groups else F.array_repeat(F.lit(""), F.size(matches))
         elems.append(F.when(cond, F.struct(F.lit(i).alias("rule_ord"), matches.alias("m"), groups.alias("g"))))

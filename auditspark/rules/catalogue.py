@@ -60,7 +60,7 @@ SECRET_RULES = [
     _secret("JWT_TOKEN", "JWT Token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_\-+=\/]+", "g", "HIGH", ("eyJ",)),
     _secret("OPENAI_KEY", "OpenAI API Key", r"(?:sk-proj-[A-Za-z0-9_\-]{20,}|sk-[A-Za-z0-9]{48})", "g", "CRITICAL", ("sk-",)),
     _secret("ANTHROPIC_KEY", "Anthropic API Key", r"sk-ant-api03-[A-Za-z0-9_\-]{20,}", "g", "CRITICAL", ("sk-ant-api03-",)),
-    _secret("AZURE_STORAGE_KEY", "Azure Storage Account Key", r"""(?:DefaultEndpointsProtocol|AccountName|AccountKey)['"]?\s*[:=]\s*['"]?[A-Za-z0-9+\/=]{88}['"]?""", "gi", "CRITICAL", (("account", "defaultendpointsprotocol"), (":", "="))),
+    _secret("AZURE_STORAGE_KEY", "Azure Storage Account Key", r"""(?:DefaultEndpointsProtocol|AccountName|AccountKey)['"]?\s*[:=]\s*['"]?[A-Za-z0-9+\/=]{88}['"]?""", "gi", "CRITICAL", (("accountname", "accountkey", "defaultendpointsprotocol"), (":", "="))),
     _secret("TWILIO_CREDENTIALS", "Twilio Credentials", r"""(?:AC[a-f0-9]{32}|twilio[_\-]?(?:account[_\-]?sid|auth[_\-]?token))['"]?\s*[:=]\s*['"]?[a-f0-9]{32}['"]?""", "gi", "CRITICAL", (("ac", "twilio"), (":", "="))),
     _secret("SENDGRID_KEY", "SendGrid API Key", r"SG\.[A-Za-z0-9_\-]{22}\.[A-Za-z0-9_\-]{43}", "g", "CRITICAL", ("SG.",)),
     _secret("MAILGUN_KEY", "Mailgun API Key", r"key-[A-Za-z0-9]{32}", "g", "HIGH", ("key-",)),
@@ -95,7 +95,7 @@ VULN_RULES = [
     _v("SQL_INJECTION_CONCAT", "CRITICAL", "Injection", "SQL Injection via + Concatenation", r"""(?:SELECT|INSERT|UPDATE|DELETE|DROP|ALTER|CREATE)\s+.*?['"]\s*\+\s*(?:req\.|params\.|query\.|body\.|input|user|args|ctx\.)""", "CWE-89", INJ, "HIGH", True, ("+",)),
     _v("NOSQL_INJECTION", "CRITICAL", "Injection", "NoSQL Injection", r"\$\s*(?:where|gt|gte|lt|lte|ne|nin|in|regex|exists|not)\s*[:(]|\.find\s*\(\s*\{[^}]*(?:req\.|params\.|query\.|body\.|input)", "CWE-943", INJ, "MEDIUM", True, ("$", ".find")),
     _v("COMMAND_INJECTION", "CRITICAL", "Injection", "OS Command Injection", r"(?:^|[^\w.])(?:child_process\.)?(?:exec|execSync|spawn|spawnSync)\s*\(\s*[^)]*(?:req\.|params\.|query\.|body\.|input|args|user|ctx\.)", "CWE-78", INJ, "HIGH", True, ("exec", "spawn")),
-    _v("COMMAND_INJECTION_EXEC", "CRITICAL", "Injection", "Command Injection via exec()", r"""(?:^|[^\w.])(?:exec|eval|system)\s*\(\s*(?:`[^`]*\$\{|['"][^'"]*['"]\s*\+|.*?\.format\s*\()""", "CWE-78", INJ, "HIGH", True, ("exec", "eval", "system")),
+    _v("COMMAND_INJECTION_EXEC", "CRITICAL", "Injection", "Command Injection via exec()", r"""(?:^|[^\w.])(?:exec|eval|system)\s*\(\s*(?:`[^`]*\$\{|['"][^'"]*['"]\s*\+|.*?\.format\s*\()""", "CWE-78", INJ, "HIGH", True, (("exec", "eval", "system"), ("(",))),
     _v("SSTI", "CRITICAL", "Injection", "Server-Side Template Injection", r"""(?:render_template_string|render\s*\(\s*`|Template\s*\(\s*['"]?\s*\+|Jinja2.*?\{\{.*?req\.|pug.*?\#\{.*?req)""", "CWE-1336", INJ, "HIGH", True, ("render", "template", "jinja2", "pug")),
     _v("LDAP_INJECTION", "HIGH", "Injection", "LDAP Injection", r"(?:ldap|LDAP).*?(?:filter|search|query)\s*\(\s*[^)]*(?:\+|`|\$\{|\.format)", "CWE-90", INJ, "MEDIUM", True, ("ldap",)),
     _v("XPATH_INJECTION", "HIGH", "Injection", "XPath Injection", r"(?:xpath|XPath).*?(?:select|evaluate|compile)\s*\(\s*[^)]*(?:\+|`|\$\{|\.format)", "CWE-91", INJ, "MEDIUM", True, ("xpath",)),
@@ -110,7 +110,7 @@ VULN_RULES = [
     _v("XSS_ANGULAR_BYPASS", "HIGH", "Cross-Site Scripting", "XSS via Angular Security Bypass", r"(?:bypassSecurityTrust(?:Html|Script|Style|Url|ResourceUrl)|trustAs(?:Html|ResourceUrl|Js))", "CWE-79", INJ, "HIGH", True, ("bypasssecuritytrust", "trustas")),
     _v("XSS_HREF_JAVASCRIPT", "HIGH", "Cross-Site Scripting", "XSS via javascript: URL", r"""(?:href|src|action)\s*=\s*['"]?\s*javascript\s*:""", "CWE-79", INJ, "HIGH", True, ("javascript",)),
     _v("XSS_EVENT_HANDLER", "MEDIUM", "Cross-Site Scripting", "XSS via Dynamic Event Handlers", r"\.on(?:click|load|error|mouseover|focus|blur|submit|change|input|keydown|keyup)\s*=\s*(?!.*(?:function|=>|\bthis\b))", "CWE-79", INJ, "LOW", True, (".on",), lookahead=True),
-    _v("IDOR", "HIGH", "Access Control", "Insecure Direct Object Reference", r"(?:findById|findOne|get|fetch|load)\s*\(\s*(?:req\.|params\.|query\.|ctx\.)(?:params\.|query\.|body\.)?(?:id|_id|userId|user_id)", "CWE-639", BAC, "MEDIUM", True, ("req.", "params.", "query.", "ctx.")),
+    _v("IDOR", "HIGH", "Access Control", "Insecure Direct Object Reference", r"(?:findById|findOne|get|fetch|load)\s*\(\s*(?:req\.|params\.|query\.|ctx\.)(?:params\.|query\.|body\.)?(?:id|_id|userId|user_id)", "CWE-639", BAC, "MEDIUM", True, (("req.", "params.", "query.", "ctx."), ("(",))),
     _v("PATH_TRAVERSAL", "CRITICAL", "Access Control", "Path Traversal", r"(?:readFile|readFileSync|writeFile|writeFileSync|createReadStream|createWriteStream|readdir|unlink|access|open)\s*\(\s*(?:path\.(?:join|resolve)\s*\()?(?:req\.|params\.|query\.|body\.|input|args|ctx\.)", "CWE-22", BAC, "HIGH", True, ("req.", "params.", "query.", "body.", "input", "args", "ctx.")),
     _v("OPEN_REDIRECT", "MEDIUM", "Access Control", "Open Redirect", r"(?:res\.redirect|redirect\s*\(|window\.location(?:\.href)?\s*=|location\s*(?:\.href)?\s*=|Response\.Redirect)\s*\(\s*(?:req\.|params\.|query\.|body\.|input|url|returnUrl|next|redirect)", "CWE-601", BAC, "MEDIUM", True, ("redirect", "location")),
     _v("CORS_WILDCARD", "HIGH", "Access Control", "CORS Wildcard Origin", r"""(?:Access-Control-Allow-Origin|origin)\s*[:=]\s*['"]?\*['"]?""", "CWE-942", MIS, "HIGH", True, ("origin",)),
@@ -130,9 +130,9 @@ VULN_RULES = [
     _v("DEBUG_ENABLED", "MEDIUM", "Configuration", "Debug Mode Enabled", r"""(?:DEBUG\s*=\s*(?:True|true|1|['"]true['"])|debug\s*[:=]\s*(?:true|1))""", "CWE-215", MIS, "MEDIUM", True, ("debug",)),
     _v("CORS_PERMISSIVE", "HIGH", "Configuration", "Permissive CORS with Credentials", r"""(?:cors|CORS)\s*\(\s*\{[^}]*credentials\s*:\s*(?:true|['"]include['"])[^}]*origin\s*:\s*(?:true|\*|['"]\*['"])""", "CWE-942", MIS, "HIGH", True, ("cors",)),
     _v("DIRECTORY_LISTING", "MEDIUM", "Configuration", "Directory Listing Enabled", r"(?:autoindex\s+on|directory_listing\s*(?:=|:)\s*(?:true|1|enabled))", "CWE-548", MIS, "LOW", False, ("autoindex", "directory_listing")),
-    _v("DEFAULT_CREDENTIALS", "CRITICAL", "Configuration", "Default Credentials", r"""(?:pass(?:word|wd)?|pwd|secret|credential)['"]?\s*[:=]\s*['"](?:admin|password|123456|root|default|changeme|test|pass|secret|letmein|qwerty|admin123|password1|password123)['"]""", "CWE-798", A07, "MEDIUM", False, ("pass", "pwd", "secret", "credential")),
-    _v("SSRF", "CRITICAL", "Server-Side Request Forgery", "Server-Side Request Forgery", r"(?:fetch|axios\.(?:get|post|put|delete|patch|request)|request|got|superagent|http\.(?:get|request)|urllib|requests\.(?:get|post))\s*\(\s*(?:req\.|params\.|query\.|body\.|input|url|href|target)", "CWE-918", "A10:2021-Server-Side Request Forgery", "HIGH", True, ("fetch", "axios", "request", "got", "superagent", "http.", "urllib")),
-    _v("LOG_SENSITIVE_DATA", "HIGH", "Data Leakage", "Sensitive Data in Logs", r"(?:console\.(?:log|warn|error|debug|info)|logger?\.(?:log|warn|error|debug|info|silly|verbose)|print|logging\.\w+)\s*\([^)]*(?:password|token|secret|key|credit.?card|ssn|social.?security)", "CWE-532", "A09:2021-Security Logging and Monitoring Failures", "MEDIUM", True, ("console.", "log", "print")),
+    _v("DEFAULT_CREDENTIALS", "CRITICAL", "Configuration", "Default Credentials", r"""(?:pass(?:word|wd)?|pwd|secret|credential)['"]?\s*[:=]\s*['"](?:admin|password|123456|root|default|changeme|test|pass|secret|letmein|qwerty|admin123|password1|password123)['"]""", "CWE-798", A07, "MEDIUM", False, (("pass", "pwd", "secret", "credential"), (":", "="), ("'", '"'))),
+    _v("SSRF", "CRITICAL", "Server-Side Request Forgery", "Server-Side Request Forgery", r"(?:fetch|axios\.(?:get|post|put|delete|patch|request)|request|got|superagent|http\.(?:get|request)|urllib|requests\.(?:get|post))\s*\(\s*(?:req\.|params\.|query\.|body\.|input|url|href|target)", "CWE-918", "A10:2021-Server-Side Request Forgery", "HIGH", True, (("fetch", "axios", "request", "got", "superagent", "http.", "urllib"), ("(",))),
+    _v("LOG_SENSITIVE_DATA", "HIGH", "Data Leakage", "Sensitive Data in Logs", r"(?:console\.(?:log|warn|error|debug|info)|logger?\.(?:log|warn|error|debug|info|silly|verbose)|print|logging\.\w+)\s*\([^)]*(?:password|token|secret|key|credit.?card|ssn|social.?security)", "CWE-532", "A09:2021-Security Logging and Monitoring Failures", "MEDIUM", True, (("console.", "log", "print"), ("(",), ("password", "token", "secret", "key", "credit", "ssn", "social"))),
     _v("ERROR_EXPOSURE", "MEDIUM", "Data Leakage", "Error Details to Client", r"res\.(?:status|json|send)\s*\(\s*(?:{[^}]*error\s*:\s*(?:err|error|e)\b|err(?:or)?\.message|err\.stack)", "CWE-209", "A04:2021-Insecure Design", "MEDIUM", True, ("res.",)),
     _v("COMMENT_SECRETS", "MEDIUM", "Data Leakage", "Secrets in Comments", r"(?:\/\/|#|\/\*|\*)\s*(?:TODO|FIXME|HACK|NOTE|TEMP|XXX|password|secret|key|token|credential)\s*:?\s*(?:.*?)(?:password|secret|key|token|api.?key|credential)\s*[:=]\s*\S+", "CWE-615", MIS, "LOW", False, ("//", "#", "*")),
     _v("PROTOTYPE_POLLUTION", "CRITICAL", "Supply Chain", "Prototype Pollution", r"Object\.assign\s*\(\s*(?:target|dest|obj|result|output|merged)\s*,\s*(?:req\.|params\.|query\.|body\.|input|data|source|src)|__proto__|constructor\.prototype", "CWE-1321", INJ, "HIGH", True, ("object.assign", "__proto__", "constructor.prototype")),
