@@ -115,7 +115,7 @@ def prepare_lines(files: DataFrame, rebalance: bool = True) -> DataFrame:
     f = S.with_file_flags(f).where(~F.col("is_binary") & ~F.col("is_empty"))
     f = f.withColumn("language", F.when(F.col("language") != "unknown", F.col("language")))
     keep = ["repo_id", "path", "language", "kind", "depth", "is_minified"]
-    lines = S.split_lines(f.select(*keep, "content"), keep)
+    lines = S.split_lines(f.select(*keep, "_lines"), keep)
     if rebalance and not files.isStreaming:
         spark = files.sparkSession
         want = spark.sparkContext.defaultParallelism
@@ -209,7 +209,7 @@ def detect_distinct_content(spark: SparkSession, files: DataFrame, rules: list[R
             .withColumn("kind", F.when(F.col("_cfg"), "config").otherwise("source"))
             # a representative path carrying the non-source flag for the context rules
             .withColumn("path", F.when(F.col("_ns"), F.lit("test/x")).otherwise(F.lit("src/x"))))
-    lines = S.split_lines(uniq, ctx + ["kind", "path"])
+    lines = S.split_lines(uniq.withColumn("_lines", F.split("content", "\n", -1)), ctx + ["kind", "path"])
     hits = rule_hits(lines, rules).drop("path", "kind")
     paths = f.select("repo_id", "path", "depth", *ctx)
     joined = hits.join(paths, ctx).drop("content_sha", "_cfg", "_ns")

@@ -105,7 +105,9 @@ def with_file_flags(files: DataFrame) -> DataFrame:
     longer than 10000) and ``is_binary`` when missing."""
     if "is_binary" not in files.columns:
         files = read_text(files)
-    arr = F.split("content", "\n", -1)
+    # split once; the line array is kept as ``_lines`` for ``split_lines``
+    files = files.withColumn("_lines", F.split("content", "\n", -1))
+    arr = F.col("_lines")
     minified = (F.length("content") / F.size(arr) > 500) | F.exists(arr, lambda l: F.length(l) > 10000)
     return (files.withColumn("is_empty", F.coalesce(F.col("content") == "", F.lit(True)))
             .withColumn("is_minified", F.coalesce(minified, F.lit(False))))
@@ -113,6 +115,7 @@ def with_file_flags(files: DataFrame) -> DataFrame:
 
 def split_lines(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``src_split_lines`` keeping file-level columns."""
-    keep = keep or [c for c in files.columns if c != "content"]
-    return (files.select(*keep, F.posexplode(F.split("content", "\n", -1)).alias("_pos", "text"))
+    keep = keep or [c for c in files.columns if c not in ("content", "_lines")]
+    arr = F.col("_lines") if "_lines" in files.columns else F.split("content", "\n", -1)
+    return (files.select(*keep, F.posexplode(arr).alias("_pos", "text"))
             .withColumn("line", (F.col("_pos") + 1).cast("int")).drop("_pos"))
