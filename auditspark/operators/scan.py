@@ -61,6 +61,8 @@ def _scope(rule: Rule) -> Column:
     cond = (text != "") & (F.length(text) <= 2000) & ~F.col("is_minified")
     if rule.scope == "config":
         cond = cond & F.col("kind").isin("config", "baas")
+    elif rule.scope.startswith("lang:"):
+        cond = cond & F.col("language").isin(*rule.scope[5:].split(","))
     elif rule.scope != "all":
         langs = [lang for lang, sc in LANGUAGE_SCOPES.items() if sc == rule.scope]
         cond = cond & F.col("language").isin(*langs)

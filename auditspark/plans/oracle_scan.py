@@ -48,6 +48,8 @@ def scope_sql(r: Rule) -> str:
     cond = "text <> '' AND length(text) <= 2000 AND NOT is_minified"
     if r.scope == "config":
         cond += " AND kind IN ('config','baas')"
+    elif r.scope.startswith("lang:"):
+        cond += " AND language IN (" + ",".join(Q.q(x) for x in r.scope[5:].split(",")) + ")"
     elif r.scope != "all":
         langs = ",".join(Q.q(lang) for lang, sc in LANGUAGE_SCOPES.items() if sc == r.scope)
         cond += f" AND language IN ({langs})"

@@ -397,7 +397,7 @@ def agg_origin(spark, sf):
     return D.origin_breakdown(final(spark, sf)).select("repo_id", "source", "count", "total", "confirmed", "label")
 
 
-@register("agg_headline", sqlv("SELECT repo_id, count(*) AS total, count(DISTINCT file) AS files, 0 AS vibe_risk, "
+@register("agg_headline", sqlv("SELECT repo_id, count(*) AS total, count(DISTINCT file) AS files, CAST(0 AS BIGINT) AS vibe_risk, "
                                + _counts_sql() + ", " + ", ".join(
                                    f"round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE severity = '{s}') / "
                                    f"count(*) * 360 ELSE 0.0 END, 6) AS {s.lower()}_deg" for s in C.SEVERITIES)

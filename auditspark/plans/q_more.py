@@ -259,9 +259,10 @@ def _scope_counts():
     return general, per_lang, len(CONFIG_RULES)
 
 
-@register("jn_rule_scope", B.with_views(f"""SELECT repo_id, path, {len([r for r in builtin_rules() if r.scope == 'secret'])}
+@register("jn_rule_scope", B.with_views(f"""SELECT repo_id, path, CAST({len([r for r in builtin_rules() if r.scope == 'secret'])}
   + CASE WHEN is_minified THEN 0 ELSE {_scope_counts()[0]} + coalesce({Q.case_map('language', _scope_counts()[1], '0')}, 0)
-  + CASE WHEN kind IN ('config', 'baas') THEN {_scope_counts()[2]} ELSE 0 END END AS applicable_rules FROM scan_files""",
+  + CASE WHEN kind IN ('config', 'baas') THEN {_scope_counts()[2]} ELSE 0 END END AS BIGINT) AS applicable_rules
+FROM scan_files""",
                                         __import__("auditspark.plans.oracle_scan", fromlist=["x"]).detect_ctes(
                                             builtin_rules())[:1]))
 def jn_rule_scope(spark, sf):
@@ -276,7 +277,7 @@ def jn_rule_scope(spark, sf):
     n = F.lit(n_secret) + F.when(F.col("is_minified"), F.lit(0)).otherwise(
         F.lit(general) + lang_n + F.when(F.col("kind").isin("config", "baas"), F.lit(n_cfg)).otherwise(F.lit(0)))
     del S
-    return f.select("repo_id", "path", n.alias("applicable_rules"))
+    return f.select("repo_id", "path", n.cast("bigint").alias("applicable_rules"))
 
 
 # ---------------------------------------------------------------- flagship summary

@@ -371,12 +371,13 @@ def set_scan_files(spark, sf):
     return parts[0].union(parts[1]).union(parts[2]).distinct()
 
 
-@register("srt_files_root_first", B.with_views("SELECT DISTINCT repo_id, path, len(string_split(path, '/')) AS depth "
+@register("srt_files_root_first", B.with_views("SELECT DISTINCT repo_id, path, CAST(len(string_split(path, '/')) AS BIGINT) AS depth "
                                                "FROM inv", _inventory_cte()))
 def srt_files_root_first(spark, sf):
     inv = _inventory(spark, sf).select("repo_id", "path").distinct()
     # a distributed range sort (no per-repo window), root-most first
-    return inv.select("repo_id", "path", F.size(F.split("path", "/")).alias("depth")).orderBy("repo_id", "depth", "path")
+    return inv.select("repo_id", "path", F.size(F.split("path", "/")).cast("bigint").alias("depth")) \
+        .orderBy("repo_id", "depth", "path")
 
 
 def _inside_sql(p):

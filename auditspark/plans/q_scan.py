@@ -87,11 +87,16 @@ def scan_custom_rules(spark, sf):
     return S.detect(spark, S.prepare_lines(docs), CUSTOM_RULES).select(*DET_COLS)
 
 
+# the two bundled structural rules (any eval(...) call in JavaScript/TypeScript,
+# any pickle.loads(...) call in Python; ERROR with HIGH impact -> CRITICAL),
+# expressed as regex rows over the same scan
 BUNDLED = [
-    user_rule("bundled-eval", "Dynamic eval of a value", r"\beval\s*\(\s*[^)'\"`\s]", flags="g", severity="HIGH",
-              category="Injection", cwe="CWE-95", scope="all", guard=("eval",)),
-    user_rule("bundled-pickle-loads", "pickle.loads of untrusted data", r"\bpickle\.loads\s*\(", flags="g",
-              severity="HIGH", category="Injection", cwe="CWE-502", scope="python", guard=("pickle.loads",)),
+    user_rule("bundled-eval", "Dynamic eval can execute attacker-controlled code", r"\beval\s*\(", flags="g",
+              severity="CRITICAL", category="Injection", cwe="CWE-95", scope="lang:javascript,typescript",
+              guard=("eval",)),
+    user_rule("bundled-pickle-loads", "Deserializing untrusted pickle data can execute code", r"\bpickle\.loads\s*\(",
+              flags="g", severity="CRITICAL", category="Injection", cwe="CWE-502", scope="lang:python",
+              guard=("pickle.loads",)),
 ]
 
 
@@ -130,11 +135,11 @@ def src_file_inventory(spark, sf):
 
 @register("src_read_text", B.with_views(
     "SELECT repo_id, path, strpos(substr(content, 1, 8192), chr(0)) > 0 AS is_binary, "
-    "content = '' AS is_empty, length(content) AS n_chars FROM t_files"))
+    "content = '' AS is_empty, CAST(length(content) AS BIGINT) AS n_chars FROM t_files"))
 def src_read_text(spark, sf):
     f = FS.read_text(B.spark_view(spark, sf, "t_files"))
     return f.select("repo_id", "path", "is_binary", (F.col("content") == "").alias("is_empty"),
-                    F.length("content").alias("n_chars"))
+                    F.length("content").cast("bigint").alias("n_chars"))
 
 
 @register("prj_minified", B.with_views(

@@ -68,6 +68,14 @@ def main():
             dcols = [d[0] for d in res.description]
             drows = res.fetchall()
             ok = sorted(cols) == sorted(dcols) and canon(rows, cols) == canon(drows, dcols)
+            spark_t = dict(df.dtypes)
+            duck_t = {d[0]: str(d[1]).upper() for d in res.description}
+            fam = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                   "boolean": "BOOLEAN", "smallint": "SMALLINT", "float": "FLOAT"}
+            tdiff = [(c, spark_t[c], duck_t.get(c)) for c in cols
+                     if spark_t[c] in fam and duck_t.get(c) and fam[spark_t[c]] != duck_t[c]]
+            if tdiff:
+                print(f"   TYPES {k}: {tdiff}")
             print(f"{'OK' if ok else 'MISMATCH'} {k}: spark={len(rows)} duck={len(drows)} {ts:.1f}s", flush=True)
             if not ok:
                 bad += 1
