@@ -73,10 +73,13 @@ def classify(files: DataFrame) -> DataFrame:
 
 
 def read_binary_tree(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
-    """``binaryFile`` listing of a checkout tree (recursive, dotfiles included).
+    """``binaryFile`` listing of a checkout tree (recursive).
 
-    Only ``path``/``length`` are projected before the path filter, so file bodies
-    are read solely for files that survive exclusion.
+    Spark's file listing skips hidden names (leading ``.`` or ``_``) and empty
+    files, so dotfiles such as ``.env`` are not seen this way; fleet ingestion
+    should provide a ``(repo_id, path, content)`` table instead (any format),
+    which every operator accepts. Exclusion filters on ``path`` run before
+    ``content`` is used, so bodies of excluded files are pruned.
     """
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
           .option("ignoreCorruptFiles", "true").load(root))
