@@ -146,7 +146,10 @@ def _finish(spark: SparkSession, hits: DataFrame, rules: list[Rule]) -> DataFram
     base_id = F.concat_ws("_", "rule_id", slug, F.col("line").cast("string"))
     w = Window.partitionBy("repo_id", "rule_id", "_base_id").orderBy("depth", "path", "match_no")
     downgrade = (F.col("rule_severity") != "INFO") & X.non_source("path")
-    f = (f.withColumn("_base_id", base_id)
+    # the snippet / redaction is computed before the id window, so the shuffle
+    # carries the short code text, not the (possibly very long) source line
+    f = (f.withColumn("_code", code).drop("text", "group1")
+         .withColumn("_base_id", base_id)
          .withColumn("_n", F.row_number().over(w) - 1)
          .select(
              "repo_id",
@@ -159,7 +162,7 @@ def _finish(spark: SparkSession, hits: DataFrame, rules: list[Rule]) -> DataFram
              F.col("rule_description").alias("description"),
              F.col("path").alias("file"),
              "line",
-             code.alias("vulnerable_code"),
+             F.col("_code").alias("vulnerable_code"),
              F.col("rule_cwe").alias("cwe"),
              F.col("rule_owasp").alias("owasp"),
              F.col("rule_vibe").alias("vibe_risk"),

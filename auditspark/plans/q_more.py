@@ -211,9 +211,9 @@ def snk_sarif(spark, sf):
     return K.sarif_rules(QF.final(spark, sf).withColumn("owasp", F.lit(None).cast("string"))).drop("owasp")
 
 
-@register("snk_findings_json", QF.sqlv(f"""SELECT f.repo_id, to_json(struct_pack(severity := f.severity,
+@register("snk_findings_json", QF.sqlv(f"""SELECT f.repo_id, CAST(to_json(struct_pack(severity := f.severity,
   category := f.category, name := f.name, file := f.file, line := f.line, cwe := f.cwe, confidence := f.confidence,
-  source := f.source, score := s.score)) AS finding_json FROM t_final f JOIN ({QF._score_sql()}) s USING (repo_id)""",
+  source := f.source, score := s.score)) AS VARCHAR) AS finding_json FROM t_final f JOIN ({QF._score_sql()}) s USING (repo_id)""",
                                        True))
 def snk_findings_json(spark, sf):
     f = QF.final(spark, sf)
