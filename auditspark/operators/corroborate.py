@@ -51,9 +51,9 @@ def _spread(df: DataFrame) -> DataFrame:
     their whole content (deterministic on retry, and a hot key is spread too)."""
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    from ..session import input_splits
+    n, want = input_splits(df)
+    if n is None or n >= want:
         return df
     return df.repartition(want * 2, F.xxhash64(*[F.col(c) for c in df.columns]))
 

@@ -119,9 +119,9 @@ def prepare_lines(files: DataFrame, rebalance: bool = True) -> DataFrame:
     keep = ["repo_id", "path", "language", "kind", "depth", "is_minified"]
     lines = S.split_lines(f.select(*keep, "_lines"), keep)
     if rebalance and not files.isStreaming:
-        spark = files.sparkSession
-        want = spark.sparkContext.defaultParallelism
-        if files.rdd.getNumPartitions() < want:
+        from ..session import input_splits
+        n, want = input_splits(files)
+        if n is not None and n < want:
             lines = lines.repartition(want * 2, "repo_id", "path", "line")
     return lines
 

@@ -57,3 +57,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def input_splits(df) -> tuple[int | None, int]:
+    """(number of input partitions of ``df``, cluster parallelism); the count is
+    None where it cannot be known without running a job (e.g. Spark Connect)."""
+    try:
+        sc = df.sparkSession.sparkContext
+        return df.rdd.getNumPartitions(), sc.defaultParallelism
+    except Exception:  # noqa: BLE001 - planning-only probe, never fatal
+        return None, 0
