@@ -2,8 +2,6 @@
 aggregates, top-k, sets (sections 2.4 - 2.10)."""
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from ..functions import catalogs as C
@@ -40,14 +38,12 @@ def _fold_sql() -> str:
             f"({cr('x.conf')} = {cr('c.conf')} AND {fs('x.src')} <> 'detector' AND {fs('c.src')} = 'detector'))))")
     srcs = "list_distinct(list_concat(c.srcs, x.srcs))"
     both = f"(list_contains({srcs}, 'detector') AND len({srcs}) > 1)"
-    pick = lambda f_: f"CASE WHEN {repl} THEN x.{f_} ELSE c.{f_} END AS {f_}"
     fields = ["sev_r", "severity", "category", "name", "file", "line", "cwe", "pseq"]
     src = (f"CASE WHEN {repl} THEN (CASE WHEN {Q.nonempty('x.src')} THEN x.src ELSE c.src END) "
            f"ELSE (CASE WHEN {Q.nonempty('c.src')} THEN c.src ELSE x.src END) END")
     body = ", ".join([f"{f_} := CASE WHEN {repl} THEN x.{f_} ELSE c.{f_} END" for f_ in fields] + [
         f"conf := CASE WHEN {both} THEN 'CONFIRMED' WHEN {repl} THEN x.conf ELSE c.conf END",
         f"src := {src}", f"srcs := {srcs}", "cnt := c.cnt + 1", "first_seq := c.first_seq"])
-    del pick
     elem = (f"struct_pack(sev_r := {Q.severity_rank('severity')}, severity := severity, category := category, "
             f"name := name, file := file, line := line, cwe := cwe, pseq := seq, conf := confidence, src := source, "
             f"srcs := [{fs('source')}], cnt := CAST(1 AS BIGINT), first_seq := seq)")
@@ -413,10 +409,6 @@ def agg_risk_level(spark, sf):
     return R.risk_level(final(spark, sf))
 
 
-def _ids_sql():
-    return (f"'{{}}'")
-
-
 @register("agg_owasp", sqlv(f"""SELECT repo_id, {Q.case_map('category', C.OWASP_CATEGORY_MAP, "'Other'")} AS owasp,
   arg_min(dedup_key, first_seq) AS first_id, count(*) AS n, 'FAIL' AS status
 FROM t_final GROUP BY ALL""", True))

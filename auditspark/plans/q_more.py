@@ -13,8 +13,8 @@ from ..operators import suppress as SP
 from ..operators import tools as T
 from ..rules.catalogue import builtin_rules
 from ..sources import bindings as B
+from . import oracle_scan as OS
 from . import q_findings as QF
-from . import q_ops as QO
 from . import q_scan as QS
 from . import sqlfrag as Q
 from .registry import register
@@ -263,11 +263,9 @@ def _scope_counts():
   + CASE WHEN is_minified THEN 0 ELSE {_scope_counts()[0]} + coalesce({Q.case_map('language', _scope_counts()[1], '0')}, 0)
   + CASE WHEN kind IN ('config', 'baas') THEN {_scope_counts()[2]} ELSE 0 END END AS BIGINT) AS applicable_rules
 FROM scan_files""",
-                                        __import__("auditspark.plans.oracle_scan", fromlist=["x"]).detect_ctes(
-                                            builtin_rules())[:1]))
+                                        OS.detect_ctes(builtin_rules())[:1]))
 def jn_rule_scope(spark, sf):
     """Rules applicable per file (the theta join folded into expressions)."""
-    from ..operators import scan as S
     from ..sources import files as FS
     general, per_lang, n_cfg = _scope_counts()
     f = FS.with_file_flags(FS.classify(B.spark_view(spark, sf, "t_files")).where(~X.is_binary_ext("path")))
@@ -276,7 +274,6 @@ def jn_rule_scope(spark, sf):
     lang_n = X.lookup(per_lang, F.col("language"), 0)
     n = F.lit(n_secret) + F.when(F.col("is_minified"), F.lit(0)).otherwise(
         F.lit(general) + lang_n + F.when(F.col("kind").isin("config", "baas"), F.lit(n_cfg)).otherwise(F.lit(0)))
-    del S
     return f.select("repo_id", "path", n.cast("bigint").alias("applicable_rules"))
 
 

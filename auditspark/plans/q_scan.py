@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..functions.catalogs import BINARY_EXTENSIONS
 from ..operators import scan as S
 from ..rules.catalogue import SECRET_RULES, VULN_RULES, CONFIG_RULES, builtin_rules, user_rule
 from ..sources import bindings as B
@@ -152,8 +153,7 @@ def prj_minified(spark, sf):
 
 @register("flt_binary_ext", B.with_views(
     "SELECT repo_id, path FROM t_files WHERE lower(CASE WHEN contains(path, '.') THEN '.' || split_part(path, '.', -1) "
-    "ELSE path END) NOT IN (" + ",".join(Q.q(e) for e in __import__(
-        "auditspark.functions.catalogs", fromlist=["x"]).BINARY_EXTENSIONS) + ")"))
+    "ELSE path END) NOT IN (" + ",".join(Q.q(e) for e in BINARY_EXTENSIONS) + ")"))
 def flt_binary_ext(spark, sf):
     return B.spark_view(spark, sf, "t_files").where(~X.is_binary_ext("path")).select("repo_id", "path")
 

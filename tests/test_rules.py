@@ -88,7 +88,6 @@ def test_secret_never_in_output(spark):
 
 def test_distinct_content_scan_equals_plain_scan(spark):
     """Vendored copies: scanning each distinct content once gives the same findings."""
-    from auditspark.functions import columns as X
     body = 'const password = "hunter2hunter2";\nel.innerHTML = x;\nconst token = Math.random();\n'
     rows = [(f"r{i % 3}", p, body) for i, p in enumerate(
         ["src/a.js", "lib/a.js", "test/a.js", "vendor2/x/a.js", "src/b.py", "docs/c.js", "src/a.js"])]
@@ -98,4 +97,3 @@ def test_distinct_content_scan_equals_plain_scan(spark):
     a = sorted(map(tuple, S.detect(spark, S.prepare_lines(df)).select(*cols).collect()))
     b = sorted(map(tuple, S.detect_distinct_content(spark, df).select(*cols).collect()))
     assert a == b and len(a) > 5
-    del X
