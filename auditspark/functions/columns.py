@@ -139,8 +139,10 @@ def is_detector(c) -> Column:
 
 
 def key_line(c) -> Column:
-    """Line as used in the dedup key (null counts as 0)."""
-    return F.coalesce(col(c).cast("bigint"), F.lit(0)).cast("string")
+    """Line as used in the dedup key: null counts as 0, a non-numeric value as 1
+    (JavaScript ``Number(null) = 0``, ``Number('x')`` is not finite)."""
+    c = col(c)
+    return F.when(c.isNull(), F.lit("0")).otherwise(F.coalesce(c.try_cast("bigint").cast("string"), F.lit("1")))
 
 
 def dedup_key(file, line, cwe, category, name) -> Column:
