@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_pivot
+from . import simhash_pivot, weak_quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,11 @@ def op7_simhash_near_dedup(spark, sf_dir):
     out = simhash_pivot.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                       F.col("component").alias("component_id"))
+
+
+@query
+def op10_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = weak_quality.fit(docs, table(spark, sf_dir, "labels"))
+    out = weak_quality.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.col("_p_junk").alias("p_junk"), F.col("_p_toxic").alias("p_toxic"), F.col("_kept").alias("kept"))
