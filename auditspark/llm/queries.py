@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_pivot, weak_quality
+from . import decontaminate, simhash_pivot, weak_quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,40 @@ def op10_quality_classifier(spark, sf_dir):
     model = weak_quality.fit(docs, table(spark, sf_dir, "labels"))
     out = weak_quality.score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", F.col("_p_junk").alias("p_junk"), F.col("_p_toxic").alias("p_toxic"), F.col("_kept").alias("kept"))
+
+
+@query
+def op1_benchmark_decontamination(spark, sf_dir):
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLE["op1_benchmark_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, len(g) AS k, g FROM (
+    SELECT item_id, unnest([array_to_string(w[i:i + least(10, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(10, len(w)) + 2)]) AS t,
+           least(10, len(w)) AS k0, string_split(t, ' ') AS g
+    FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (
+  SELECT r, k, unnest(range(1, len(w) - k + 2)) AS p,
+         unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS t
+  FROM d, ks WHERE len(w) >= k),
+hit AS (SELECT r, p, k, item_id FROM dw JOIN (SELECT item_id, k AS bk, array_to_string(g, ' ') AS bt FROM bw) ON bk = k AND bt = t),
+hw AS (SELECT r, count(DISTINCT p + o) AS n_hit FROM (SELECT r, p, unnest(range(0, k)) AS o FROM hit) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r)
+"""
