@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash_pivot, weak_quality
+from . import decontaminate, minimax_shards, simhash_pivot, weak_quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r)
 """
+
+
+@query
+def op2_sharding(spark, sf_dir):
+    out = minimax_shards.shards(table(spark, sf_dir, "documents"), n_shards=16)
+    return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+                      "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
