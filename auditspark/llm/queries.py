@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minimax_shards, simhash_pivot, weak_quality
+from . import decontaminate, minimax_shards, mixture, simhash_pivot, weak_quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,58 @@ def op2_sharding(spark, sf_dir):
     out = minimax_shards.shards(table(spark, sf_dir, "documents"), n_shards=16)
     return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
                       "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: target weights of the mixture query and of the pipeline; values that are not named weigh 1
+MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+MIX_SEED = 7
+
+
+def domain_of(source):
+    """Domain of a source: its number modulo 4 (the tables name no domain)."""
+    return F.concat(F.lit("domain"), (F.regexp_extract(source, r"(\d+)$", 1).cast("long") % 4).cast("string"))
+
+
+@query
+def op4_mixing_to_target_weights(spark, sf_dir):
+    out = mixture.mix(table(spark, sf_dir, "documents"), domain_of(F.col("source")), 0.6, MIX_WEIGHTS, 3, MIX_SEED)
+    return out.select(F.col("id").alias("doc_id"), "domain", "lang", "source", "epoch", "n_tokens", F.col("take").alias("take_tokens"))
+
+
+def _mix_level(k: int) -> str:
+    """One level of the budget tree: shares from the parent's budget ``g``."""
+    path = ", ".join(mixture.LEVELS[: k + 1])
+    level, parent = mixture.LEVELS[k], ", ".join(mixture.LEVELS[:k]) or "0"
+    cases = " ".join(f"WHEN '{v}' THEN {w}" for v, w in MIX_WEIGHTS.get(level, {}).items())
+    weight = f"CASE {level} {cases} ELSE 1 END" if cases else "1"
+    given = (f"(SELECT * FROM b{k - 1})" if k else "(SELECT least(CAST(floor(sum(tokens) * CAST(0.6 AS DOUBLE)) AS BIGINT), sum(tokens) * 3) AS g FROM leaf)")
+    join = f"JOIN {given} USING ({parent})" if k else f", {given}"
+    return f"""
+n{k} AS (SELECT * FROM (SELECT {path}, CAST(sum(tokens) * 3 AS HUGEINT) AS cap, CAST(any_value({weight}) AS HUGEINT) AS w FROM leaf GROUP BY {path}) {join}),
+s{k} AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE) / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(w) OVER (PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE) / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lw FROM n{k}),
+f{k} AS (SELECT *, cap * lw <= (g - before) * w AS filled FROM s{k}),
+r{k} AS (SELECT *, g - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER (PARTITION BY {parent}) AS rest,
+  sum(CASE WHEN filled THEN 0 ELSE w END) OVER (PARTITION BY {parent}) AS ow FROM f{k}),
+h{k} AS (SELECT *, CASE WHEN filled THEN cap ELSE (rest * w) // ow END AS share FROM r{k}),
+o{k} AS (SELECT *, rest - sum(CASE WHEN filled THEN 0 ELSE share END) OVER (PARTITION BY {parent}) AS odd,
+  sum(CASE WHEN filled THEN 0 ELSE 1 END) OVER (PARTITION BY {parent} ORDER BY {level} ROWS UNBOUNDED PRECEDING) AS nth FROM h{k}),
+b{k} AS (SELECT {path}, CAST(share + CASE WHEN NOT filled AND nth <= odd THEN 1 ELSE 0 END AS HUGEINT) AS g FROM o{k})"""
+
+
+ORACLE["op4_mixing_to_target_weights"] = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce('domain' || (CAST(nullif(regexp_extract(source, '(\d+)$', 1), '') AS BIGINT) % 4), '(none)') AS domain,
+         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')) AS n_tokens FROM documents),
+docs AS (SELECT * FROM t WHERE n_tokens > 0),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM docs GROUP BY ALL),{_mix_level(0)},{_mix_level(1)},{_mix_level(2)},
+p AS (SELECT domain, lang, source, tokens, g // tokens AS whole, g % tokens AS rest FROM leaf JOIN b2 USING (domain, lang, source)),
+k AS (SELECT docs.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+        ORDER BY md5('{MIX_SEED}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS pos
+      FROM docs JOIN p USING (domain, lang, source)),
+e AS (SELECT *, unnest(range(0, CAST(whole + CASE WHEN pos < rest THEN 1 ELSE 0 END AS BIGINT))) AS epoch FROM k)
+SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, CAST(n_tokens AS BIGINT) AS n_tokens,
+       CAST(CASE WHEN epoch < whole THEN n_tokens ELSE least(n_tokens, rest - pos) END AS BIGINT) AS take_tokens
+FROM e
+"""
