@@ -67,8 +67,9 @@ def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]
         path, parent = list(LEVELS[: k + 1]), list(LEVELS[:k])
         nodes = w.groupBy(*path).agg(F.sum("_cap").alias("_cap"), F.first(f"_w_{level}").alias("_w"))
         if given is None:
-            root = w.agg(F.least(budget.cast("long"), F.sum("_cap")).alias("_given"))
-            nodes = nodes.crossJoin(F.broadcast(root))  # one row
+            asked = leaves.agg(budget.cast("long").alias("_asked"))  # one row, as the sum below
+            root = nodes.agg(F.sum("_cap").alias("_all")).crossJoin(asked)
+            nodes = nodes.crossJoin(F.broadcast(root.select(F.least("_asked", "_all").alias("_given"))))
         else:
             nodes = nodes.join(given.withColumnRenamed("budget", "_given"), parent)
         given = _share_out(nodes, parent, level).select(*path, "budget")
