@@ -79,7 +79,8 @@ def tiles(rows: DataFrame, key: list[str], member: str, limit: int) -> DataFrame
     A bucket of up to ``limit`` rows is one tile. A larger one is split into
     sub-blocks by the hash of ``member``, and every pair of sub-blocks is a tile
     of its own: each pair of the bucket meets in some tile, and no task gets more
-    than about two sub-blocks at once. Adds ``_tile``.
+    than about two sub-blocks at once. Adds ``_tile`` (the lower sub-block in the
+    upper bits) and ``_block``, the row's own sub-block.
     """
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
     many = rows.join(sizes, key).withColumn("_s", F.ceil(F.col("_n") / F.lit(limit)).cast("int"))
@@ -87,7 +88,7 @@ def tiles(rows: DataFrame, key: list[str], member: str, limit: int) -> DataFrame
     other = F.explode(F.sequence(F.lit(0), F.col("_s") - 1))
     both = sub.withColumn("_j", other)
     tile = F.least("_i", "_j").cast("long") * F.lit(1 << 31) + F.greatest("_i", "_j")
-    return both.withColumn("_tile", tile).drop("_n", "_s", "_i", "_j")
+    return both.withColumn("_tile", tile).withColumnRenamed("_i", "_block").drop("_n", "_s", "_j")
 
 
 def deal(rows: DataFrame, key: list[str]) -> DataFrame:

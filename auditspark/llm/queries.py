@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minimax_shards, mixture, simhash_pivot, weak_quality
+from . import decontaminate, embedding_dedup, minimax_shards, mixture, simhash_pivot, weak_quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,28 @@ SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, CAST(n_tok
        CAST(CASE WHEN epoch < whole THEN n_tokens ELSE least(n_tokens, rest - pos) END AS BIGINT) AS take_tokens
 FROM e
 """
+
+
+@query
+def op6_embedding_near_dedup(spark, sf_dir):
+    out = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                      F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+ORACLE["op6_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0),
+n AS (SELECT *, list_inner_product(e, e) AS s FROM v),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / sqrt(a.s * b.s) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
+"""

@@ -137,7 +137,7 @@ def _spanning(fp: np.ndarray, coord: np.ndarray, group: np.ndarray, max_bits: in
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints within ``max_bits`` bits: enough
     of them that whatever a chain of links joins stays joined."""
-    rows = tiles(pivot_table(fps.select("fp").distinct(), max_bits), ["key"], "fp", TILE)
+    rows = tiles(pivot_table(fps.select("fp").distinct(), max_bits), ["key"], "fp", TILE).drop("_block")
 
     def run(batches):
         for t in whole_groups(batches, ["key", "_tile"]):
