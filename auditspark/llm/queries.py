@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, minimax_shards, mixture, simhash_pivot, weak_quality
+from . import decontaminate, embedding_dedup, minimax_shards, mixture, simhash_pivot, token_files, weak_quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,10 @@ k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
 """
+
+
+@query
+def op3_token_id_output(spark, sf_dir):
+    import public_tokenizers
+    manifest = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(manifest).withColumnRenamed("id", "doc_id")
