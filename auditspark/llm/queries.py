@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, minimax_shards, mixture, simhash_pivot, token_files, weak_quality
+from . import decontaminate, embedding_dedup, language_id, minimax_shards, mixture, simhash_pivot, token_files, weak_quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,11 @@ def op3_token_id_output(spark, sf_dir):
     import public_tokenizers
     manifest = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read(manifest).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"),
+                      F.col("_score").alias("score"), F.col("_bits").alias("bits_per_char"), F.col("_rejected").alias("rejected"))
