@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, minimax_shards, mixture, simhash_pivot, token_files, weak_quality
+from . import decontaminate, embedding_dedup, language_id, line_spread, minimax_shards, mixture, simhash_pivot, token_files, weak_quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,21 @@ def op5_language_id(spark, sf_dir):
     out = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"),
                       F.col("_score").alias("score"), F.col("_bits").alias("bits_per_char"), F.col("_rejected").alias("rejected"))
+
+
+@query
+def op8_line_dedup(spark, sf_dir):
+    out = line_spread.remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=10)
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+ORACLE["op8_line_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS a FROM documents),
+l AS (SELECT r, source, unnest(a) AS raw, unnest(range(0, len(a))) AS i, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM d WHERE text IS NOT NULL),
+b AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+k AS (SELECT r, count(*) AS n_lines, count(b.line) AS n_removed,
+             string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE b.line IS NULL) AS clean
+      FROM l LEFT JOIN b USING (line) GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(clean, '')) AS text_sha256
+FROM d LEFT JOIN k USING (r)
+"""
