@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, line_spread, minimax_shards, mixture, simhash_pivot, token_files, weak_quality
+from . import decontaminate, embedding_dedup, language_id, line_spread, minimax_shards, mixture, simhash_pivot, suffix_dedup, token_files, weak_quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,9 @@ k AS (SELECT r, count(*) AS n_lines, count(b.line) AS n_removed,
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(clean, '')) AS text_sha256
 FROM d LEFT JOIN k USING (r)
 """
+
+
+@query
+def op9_suffix_array_dedup(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
