@@ -101,13 +101,8 @@ def severity_audit(c) -> Column:
 
 
 def severity_tool(c, default: str = "MEDIUM") -> Column:
-    """Extra-tool severity: ERROR -> HIGH, WARNING -> MEDIUM, UNKNOWN -> LOW."""
-    u = F.upper(s(c))
-    return (F.when(u.isin("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"), u)
-            .when(u == "ERROR", F.lit("HIGH"))
-            .when(u == "WARNING", F.lit("MEDIUM"))
-            .when(u == "UNKNOWN", F.lit("LOW"))
-            .otherwise(F.lit(default)))
+    """Extra-tool severity words, see ``catalogs.TOOL_SEVERITY``."""
+    return lookup(C.TOOL_SEVERITY, F.upper(s(c)), default)
 
 
 def severity_opengrep(sev, impact) -> Column:
@@ -247,8 +242,8 @@ def compliance(cwe) -> Column:
 
 
 def owasp_code(owasp, category) -> Column:
-    """The finding's own OWASP text, else the code for its category, else 'Other'."""
-    return F.when(nonempty(owasp), col(owasp)).otherwise(lookup(C.OWASP_CATEGORY_MAP, s(category), "Other"))
+    """The finding's own OWASP text, else the code for its category, else null."""
+    return F.when(nonempty(owasp), col(owasp)).otherwise(F.try_element_at(lit_map(C.OWASP_CATEGORY_MAP), s(category)))
 
 
 def cwe_url(cwe) -> Column:
@@ -268,7 +263,7 @@ def owasp_url(owasp) -> Column:
 
 def source_label(source) -> Column:
     v = finding_source(source)
-    return (F.when(v.startswith("subagent:"), F.concat(F.lit("Subagent: "), F.substring(v, 10, 1 << 20)))
+    return (F.when(v.startswith("subagent:"), F.concat(F.lit("Subagent: "), v.substr(F.lit(10), F.length(v))))
             .otherwise(F.coalesce(F.try_element_at(lit_map(C.SOURCE_LABELS), v), v)))
 
 

@@ -26,8 +26,13 @@ def headers_map(json_col: str = "headers_json") -> Column:
     return F.transform_keys(F.from_json(F.col(json_col), "map<string,string>"), lambda k, v: F.lower(k))
 
 
+# scheme, optional user, then a bracketed address or a name (names with "_" too)
+HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@\s]*@)?(\[[^\]]*\]|[^/?#:@\s]*)"
+
+
 def url_host(url) -> Column:
-    return F.lower(F.try_parse_url(X.col(url), F.lit("HOST")))
+    """Lower-case host of an absolute URL; null where there is none."""
+    return F.lower(F.nullif(F.regexp_extract(X.col(url), HOST_RE, 1), F.lit("")))
 
 
 def security_headers(responses: DataFrame, headers: str = "headers") -> DataFrame:

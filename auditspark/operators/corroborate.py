@@ -30,6 +30,11 @@ from pyspark.sql import functions as F
 from ..functions import catalogs as C
 from ..functions import columns as X
 
+# FIXED VALUES: the order in which the kinds of sources are merged, and the tools of each
+SOURCE_ORDER = ["detector", "opengrep", "package-audit", "osv-scanner", "extra", "partial"]
+SOURCE_TOOLS = {"detector": ["detector"], "opengrep": ["opengrep"], "package-audit": ["npm-audit", "bun-audit", "pnpm-audit"],
+                "osv-scanner": ["osv-scanner"], "extra": ["gitleaks", "bandit", "gosec", "trivy"], "partial": []}
+
 TEXT_FALLBACKS = ["description", "vulnerable_code", "fix", "exploitation"]
 PRIMARY_FIELDS = ["id", "severity", "confidence", "category", "name", "file", "line", "cwe", "owasp", "vibe_risk",
                   "compliance"]
@@ -45,30 +50,38 @@ def _with_defaults(df: DataFrame) -> DataFrame:
     return df
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Key derivation is per-row CPU work done before the first shuffle. When the
-    input has fewer splits than the cluster has cores, spread rows by a hash of
-    their whole content (deterministic on retry, and a hot key is spread too)."""
-    if df.isStreaming:
-        return df
-    from ..session import input_splits
-    n, want = input_splits(df)
-    if n is None or n >= want:
-        return df
-    return df.repartition(want * 2, F.xxhash64(*[F.col(c) for c in df.columns]))
+def ordered_union(parts: dict[str, DataFrame], order: dict[str, list]) -> DataFrame:
+    """``set_union_findings``: findings of all kinds of sources with the order key
+    ``seq``: the rank of the kind in SOURCE_ORDER, then the kind's own ``order``
+    columns, which must have the same names and types in every part."""
+    out = None
+    for kind in SOURCE_ORDER:
+        if kind not in parts:
+            continue
+        seq = F.struct(F.lit(SOURCE_ORDER.index(kind)).alias("source_rank"), *order[kind])
+        part = parts[kind].withColumn("seq", seq)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def _first_nonempty(c: str):
     return F.min(F.when(X.nonempty(c), F.struct(F.col("seq").alias("seq"), F.col(c).alias("v"))))
 
 
-def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_references: bool = True) -> DataFrame:
+def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_references: bool = True,
+                spread: bool = False) -> DataFrame:
     """Input: canonical findings with ``seq`` (any orderable column, unique per
     group). Output: one row per (group, dedup_key) with ``sources`` (sorted),
-    ``duplicate_count`` and ``first_seq``."""
+    ``duplicate_count`` and ``first_seq``.
+
+    ``spread`` deals the rows out by a hash of their content first, for an input
+    of few splits (keys are derived before the first shuffle); it is up to the
+    caller and never guessed.
+    """
     g = list(group_cols)
     f = _with_defaults(findings)
-    f = _spread(f)
+    if spread:
+        f = f.repartition(F.xxhash64(*[F.col(c) for c in f.columns]))
     f = (f.withColumn("dedup_key", X.dedup_key("file", "line", "cwe", "category", "name"))
          .withColumn("_sev_r", X.severity_rank("severity"))
          .withColumn("_conf_r", X.confidence_rank("confidence"))

@@ -52,13 +52,24 @@ def _guard(rule: Rule, raw: Column, low: Column) -> Column | None:
     return cond
 
 
-def _scope(rule: Rule) -> Column:
-    """Line/file applicability of a rule (secrets: any non-empty line; others:
-    non-empty line <= 2000 chars in a non-minified file, plus language/kind)."""
+# FIXED VALUE: the line length beyond which the reference's vulnerability rules do not look
+REFERENCE_MAX_LINE = 2000
+
+
+def _scope(rule: Rule, max_line: int | None, minified: bool) -> Column:
+    """Line/file applicability of a rule: non-empty lines, plus language/kind.
+
+    For all but the secret rules ``max_line`` leaves out longer lines and
+    ``minified=False`` minified files; by default nothing is left out.
+    """
     text = F.col("text")
+    cond = text != ""
     if rule.scope == "secret":
-        return text != ""
-    cond = (text != "") & (F.length(text) <= 2000) & ~F.col("is_minified")
+        return cond
+    if max_line is not None:
+        cond = cond & (F.length(text) <= max_line)
+    if not minified:
+        cond = cond & ~F.col("is_minified")
     if rule.scope == "config":
         cond = cond & F.col("kind").isin("config", "baas")
     elif rule.scope.startswith("lang:"):
@@ -71,7 +82,17 @@ def _scope(rule: Rule) -> Column:
     return cond
 
 
-def rule_hits(lines: DataFrame, rules: list[Rule], use_guards: bool = True) -> DataFrame:
+def skipped_lines(lines: DataFrame, max_line: int | None = None, minified: bool = True) -> DataFrame:
+    """(repo_id, long_lines, minified_lines): how many lines the limits of
+    ``rule_hits`` keep from all but the secret rules."""
+    long = F.length("text") > max_line if max_line is not None else F.lit(False)
+    mini = F.lit(False) if minified else F.col("is_minified")
+    return lines.where(F.col("text") != "").groupBy("repo_id").agg(
+        F.count_if(long).alias("long_lines"), F.count_if(mini).alias("minified_lines"))
+
+
+def rule_hits(lines: DataFrame, rules: list[Rule], use_guards: bool = True, max_line: int | None = None,
+              minified: bool = True) -> DataFrame:
     """One output row per (line, rule, match). Input needs ``text``, ``path``,
     ``language``, ``kind``, ``is_minified``."""
     raw = F.col("text")
@@ -82,7 +103,8 @@ def rule_hits(lines: DataFrame, rules: list[Rule], use_guards: bool = True) -> D
         g = _guard(r, raw, low) if use_guards else None
         # the cheap literal guard first: AND short-circuits, so scope regexes
         # (same-line context, non-source path) only run on candidate lines
-        cond = _scope(r) if g is None else (g & _scope(r))
+        scope = _scope(r, max_line, minified)
+        cond = scope if g is None else (g & scope)
         matches = F.regexp_extract_all(raw, pat, F.lit(0))
         groups = F.regexp_extract_all(raw, pat, F.lit(1)) if r.groups else F.array_repeat(F.lit(""), F.size(matches))
         elems.append(F.when(cond, F.struct(F.lit(i).alias("rule_ord"), matches.alias("m"), groups.alias("g"))))
@@ -98,16 +120,13 @@ def rule_hits(lines: DataFrame, rules: list[Rule], use_guards: bool = True) -> D
     return out
 
 
-def prepare_lines(files: DataFrame, rebalance: bool = True) -> DataFrame:
+def prepare_lines(files: DataFrame, spread: bool = False) -> DataFrame:
     """Files (``repo_id, path, content`` + classification) -> scannable line rows.
 
     Drops binary-extension, binary and empty files; language falls back to the
-    path; lines carry the file flags.
-
-    The regex scan costs far more CPU per byte than reading, so when the input
-    has fewer splits than the cluster has cores (a few large files), lines are
-    hash-spread on (repo_id, path, line) before the scan; a fleet-size input
-    already has many splits and is scanned where it is read (no shuffle).
+    path; lines carry the file flags. Lines are scanned where they are read;
+    ``spread`` deals them out by (repo_id, path, line) first, for an input of few
+    splits. It is up to the caller and never guessed.
     """
     from ..sources import files as S
     f = files
@@ -118,20 +137,17 @@ def prepare_lines(files: DataFrame, rebalance: bool = True) -> DataFrame:
     f = f.withColumn("language", F.when(F.col("language") != "unknown", F.col("language")))
     keep = ["repo_id", "path", "language", "kind", "depth", "is_minified"]
     lines = S.split_lines(f.select(*keep, "_lines"), keep)
-    if rebalance and not files.isStreaming:
-        from ..session import input_splits
-        n, want = input_splits(files)
-        if n is not None and n < want:
-            lines = lines.repartition(want * 2, "repo_id", "path", "line")
+    if spread:
+        lines = lines.repartition("repo_id", "path", "line")
     return lines
 
 
 def detect(spark: SparkSession, lines: DataFrame, rules: list[Rule] | None = None,
-           use_guards: bool = True) -> DataFrame:
+           use_guards: bool = True, max_line: int | None = None, minified: bool = True) -> DataFrame:
     """``scan_detect``: rule hits -> canonical detector findings with ids,
     redaction and the non-source downgrade."""
     rules = rules if rules is not None else builtin_rules()
-    return _finish(spark, rule_hits(lines, rules, use_guards), rules)
+    return _finish(spark, rule_hits(lines, rules, use_guards, max_line, minified), rules)
 
 
 def _finish(spark: SparkSession, hits: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -176,18 +192,31 @@ def _finish(spark: SparkSession, hits: DataFrame, rules: list[Rule]) -> DataFram
     return f
 
 
+# FIXED VALUES: the risk flags of a change and the patterns that raise them
+RED_FLAGS = [
+    ("dynamic-exec", r"\beval\s*\(|new\s+Function\s*\(", ""),
+    ("process-exec", r"child_process|execSync|spawnSync|\bexecFile\b|\bspawn\s*\(", ""),
+    ("new-network", r"\bfetch\s*\(|https?\.request|net\.connect|new\s+WebSocket|axios|node-fetch", ""),
+    ("obfuscation", r"atob\s*\(|Buffer\.from\([^)]*['\"]base64['\"]\)|\\x[0-9a-f]{2}\\x[0-9a-f]{2}", "i"),
+    ("dependency-change", r"\"(?:dependencies|devDependencies)\"\s*:", ""),
+    ("safeguard-touch", r"redact|pathSafety|LOCAL_HOSTS|confirmed\s*!==\s*true|allow_force_pushes", ""),
+]
+RED_FLAG_NOTES = {
+    "dynamic-exec": "builds or runs code at run time",
+    "process-exec": "starts other programs",
+    "new-network": "opens network connections",
+    "obfuscation": "hides what it contains",
+    "dependency-change": "changes what is installed",
+    "safeguard-touch": "touches a protection",
+}
+
+
 def red_flags(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``scan_red_flags``: six risk flags per text (diff / update notes)."""
-    flags = [
-        ("dynamic-code-execution", r"\beval\s*\(|new\s+Function\s*\(|vm\.runIn"),
-        ("process-execution", r"child_process|\bexecSync?\s*\(|\bspawnSync?\s*\("),
-        ("network-access", r"https?://|\bfetch\s*\(|\baxios\b|\brequest\s*\("),
-        ("obfuscation", r"\\x[0-9a-f]{2}|atob\s*\(|Buffer\.from\([^)]*base64"),
-        ("dependency-change", r"package(-lock)?\.json|dependencies"),
-        ("safeguard-change", r"redact|allowlist|ignore|baseline|safeguard|timeout"),
-    ]
-    arr = F.array_compact(F.array(*[F.when(F.col(text_col).rlike(to_java(p, "i")), F.lit(n)) for n, p in flags]))
-    return texts.withColumn("flag", F.explode(arr))
+    """``scan_red_flags``: a row for each risk flag of a text (diff, update notes),
+    with ``flag`` and ``note``."""
+    found = F.array_compact(F.array(*[F.when(F.col(text_col).rlike(to_java(p, fl)), F.struct(
+        F.lit(n).alias("flag"), F.lit(RED_FLAG_NOTES[n]).alias("note"))) for n, p, fl in RED_FLAGS]))
+    return texts.select("*", F.inline(found))
 
 
 def detect_distinct_content(spark: SparkSession, files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -205,7 +234,8 @@ def detect_distinct_content(spark: SparkSession, files: DataFrame, rules: list[R
     f = files if "kind" in files.columns else S.classify(files)
     f = f.where(~X.is_binary_ext("path"))
     f = S.with_file_flags(f).where(~F.col("is_binary") & ~F.col("is_empty"))
-    f = (f.withColumn("language", F.when(F.col("language") != "unknown", F.col("language")))
+    # '' for an unknown language: a null would not join
+    f = (f.withColumn("language", F.when(F.col("language") != "unknown", F.col("language")).otherwise(F.lit("")))
          .withColumn("content_sha", F.sha2(F.col("content"), 256))
          .withColumn("_cfg", F.col("kind").isin("config", "baas"))
          .withColumn("_ns", X.non_source("path")))

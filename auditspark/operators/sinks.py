@@ -99,5 +99,6 @@ def write_findings_json(findings: DataFrame, score: DataFrame, path: str) -> Non
 def write_baseline(findings: DataFrame, path: str) -> None:
     """Baseline entries as JSON lines per repository (sorted within files)."""
     e = baseline_entries(findings)
-    (e.repartition("repo_id").sortWithinPartitions("repo_id", "fingerprint")
+    # a range of (repository, fingerprint) for each task: a large repository is several files
+    (e.repartitionByRange("repo_id", "fingerprint").sortWithinPartitions("repo_id", "fingerprint")
      .write.mode("overwrite").partitionBy("repo_id").json(path))

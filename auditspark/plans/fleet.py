@@ -1,22 +1,23 @@
-"""Fleet run: the whole audit for many repositories as one lazy plan.
+"""Fleet run: the whole audit for many repositories.
 
     files --scan--> detector findings --+
-    tool reports --normalise-----------+--> union (source rank) --> corroborate
-    partial documents --validate-------+        --> ignore --> baseline --> [checkpoint]
-                                                --> summary / score / gate / reports / SARIF
+    tool reports --normalise-----------+--> ordered union --> corroborate --> ignore flag --> baseline flag --> [checkpoint]
+    partial documents --validate-------+        --> findings / suppressed / baselined / score / summary / SARIF
 
-The merged finding table is the one large shuffle; everything after it reads a
-checkpoint written to the cluster's shared ``spark.checkpoint.dir`` (lineage
-cut, survives executor loss), so the ~15 report aggregates never re-run the
-scan.
+Sources are merged in their fixed order (``corroborate.SOURCE_ORDER``), detector
+findings by severity first. The merged, flagged table is checkpointed once to
+the cluster's shared ``spark.checkpoint.dir``; every result reads it, so scan and
+fold run once. ``checkpoint=False`` keeps all of it lazy.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import catalogs as C
+from ..functions import columns as X
 from ..operators import corroborate as D
 from ..operators import normalize as N
 from ..operators import reports as R
@@ -25,59 +26,76 @@ from ..operators import sinks as K
 from ..operators import suppress as SP
 from ..rules.catalogue import Rule, builtin_rules
 from ..session import checkpoint_dir
-
-SOURCE_RANK = {"detector": 0, "opengrep": 1, "package-audit": 2, "osv-scanner": 3, "extra": 4, "partial": 5}
+from ..sources import files as FS
+from ..sources.partials import valid_partials
 
 
 @dataclass
 class FleetResult:
-    findings: DataFrame      # merged, kept, new (checkpointed)
+    merged: DataFrame        # every finding with ``suppressed`` and ``known`` (checkpointed)
+    findings: DataFrame      # neither suppressed nor known
     suppressed: DataFrame
     baselined: DataFrame
     score: DataFrame
     summary: DataFrame
 
 
-def _ranked(df: DataFrame, rank: int, order_cols: list[str]) -> DataFrame:
-    return df.withColumn("seq", F.struct(F.lit(rank).alias("rank"), *[F.col(c).cast("string").alias(c)
-                                                                       for c in order_cols]))
+def _order(severity=None, depth=None, path=None, rule_pass=None, rule_ord=None, line=None, match_no=None, tool=None,
+           run_id=None, name=None, ordinal=None) -> list[Column]:
+    """The typed order key of all kinds of sources; what a kind lacks is null."""
+    cols = [("severity", severity, "int"), ("depth", depth, "int"), ("path", path, "string"), ("rule_pass", rule_pass, "int"),
+            ("rule_ord", rule_ord, "int"), ("line", line, "int"), ("match_no", match_no, "int"), ("tool", tool, "int"),
+            ("run_id", run_id, "bigint"), ("name", name, "string"), ("ordinal", ordinal, "bigint")]
+    return [(F.lit(None) if c is None else c).cast(t).alias(n) for n, c, t in cols]
 
 
-def run(spark: SparkSession, files: DataFrame, reports: DataFrame | None = None, baseline: DataFrame | None = None,
-        ignore_patterns: list[str] | None = None, rules: list[Rule] | None = None,
-        checkpoint: bool = True) -> FleetResult:
-    rules = rules if rules is not None else builtin_rules()
-    det = S.detect(spark, S.prepare_lines(files), rules)
-    det = _ranked(det.withColumn("_d", F.lpad(F.col("depth").cast("string"), 4, "0"))
-                  .withColumn("_l", F.lpad(F.col("line").cast("string"), 9, "0"))
-                  .withColumn("_m", F.lpad(F.col("match_no").cast("string"), 6, "0")),
-                  0, ["_d", "file", "rule_pass", "rule_ord", "_l", "_m"])
-    parts = [det.drop("_d", "_l", "_m", "depth", "rule_pass", "rule_ord", "match_no", "match")]
+def merge_findings(spark: SparkSession, files: DataFrame, reports: DataFrame | None = None, partials: DataFrame | None = None,
+                   rules: list[Rule] | None = None, spread: bool = False) -> DataFrame:
+    """The corroborated findings of all sources, merged in the fixed order."""
+    det = S.detect(spark, S.prepare_lines(files, spread), rules if rules is not None else builtin_rules())
+    det_order = _order(R.sev_order("severity", 99), F.col("depth"), F.col("file"), F.col("rule_pass"), F.col("rule_ord"), F.col("line"),
+                       F.col("match_no"))
+    parts, order = {"detector": det}, {"detector": det_order}
     if reports is not None:
         tools = N.normalize_all(reports)
-        tools = tools.withColumn("_o", F.lpad(F.regexp_extract("id", "(\\d+)$", 1), 9, "0"))
-        parts.append(_ranked(tools, 1, ["source", "run_id", "_o"]).drop("_o", "run_id"))
-    allf = parts[0]
-    for p in parts[1:]:
-        allf = allf.unionByName(p, allowMissingColumns=True)
-    merged = D.deduplicate(allf)
-    kept, suppressed = SP.apply_ignore(merged, ignore_patterns)
-    if baseline is not None:
-        new, known = SP.apply_baseline(kept, baseline)
-    else:
-        new, known = kept, kept.limit(0)
+        names = [t for k in D.SOURCE_ORDER for t in D.SOURCE_TOOLS[k]]
+        rank = X.lookup({t: i for i, t in enumerate(names)}, F.col("source"), len(names))
+        number = F.regexp_extract("id", "(\\d+)$", 1).cast("bigint")
+        for kind in ("opengrep", "package-audit", "osv-scanner", "extra"):
+            mine = F.col("source").isin(*D.SOURCE_TOOLS[kind])
+            if kind == "extra":  # and those of normalisers that users registered
+                mine = ~F.col("source").isin(*[t for k in D.SOURCE_ORDER if k != kind for t in D.SOURCE_TOOLS[k]])
+            parts[kind] = tools.where(mine)
+            order[kind] = _order(tool=rank, run_id=F.col("run_id"), name=F.col("source"), ordinal=number)
+    if partials is not None:
+        parts["partial"] = valid_partials(partials)
+        order["partial"] = _order(run_id=F.col("run_id"), name=F.col("file_name"), ordinal=F.col("ordinal"))
+    extra = ["depth", "rule_pass", "rule_ord", "match_no", "match", "run_id", "file_name", "ordinal"]
+    return D.deduplicate(D.ordered_union(parts, order).drop(*extra), spread=False)
+
+
+def run(spark: SparkSession, files: DataFrame, reports: DataFrame | None = None, baseline: DataFrame | None = None,
+        ignore_patterns: list[str] | None = None, rules: list[Rule] | None = None, checkpoint: bool = True,
+        partials: DataFrame | None = None, spread: bool = False) -> FleetResult:
+    merged = merge_findings(spark, files, reports, partials, rules, spread)
+    patterns = list(C.DEFAULT_IGNORE_PATTERNS) + list(ignore_patterns or [])
+    merged = merged.withColumn("suppressed", SP.is_ignored(SP.ignore_path("file"), patterns))
+    merged = SP.flag_baseline(merged, baseline) if baseline is not None else \
+        SP.with_fingerprint(merged).withColumn("known", F.lit(False))
     if checkpoint:
         checkpoint_dir(spark)
-        new = new.checkpoint(eager=True)
-    from ..sources.files import file_inventory
-    audited = file_inventory(files).select("repo_id", "path").distinct()   # discovered files only
+        merged = merged.checkpoint(eager=True)
+    suppressed = merged.where("suppressed").drop("suppressed", "known")
+    kept = merged.where("not suppressed")
+    new, known = kept.where("not known").drop("suppressed", "known"), kept.where("known").drop("suppressed", "known")
+    audited = FS.file_inventory(files).select("repo_id", "path").distinct()   # discovered files only
     score = R.score(new, audited, files.select("repo_id"))
-    counts = R.severity_counts(new)
-    summary = (score.join(counts, "repo_id", "left")
-               .join(suppressed.groupBy("repo_id").agg(F.count(F.lit(1)).alias("suppressed")), "repo_id", "left")
-               .join(known.groupBy("repo_id").agg(F.count(F.lit(1)).alias("baselined")), "repo_id", "left")
-               .na.fill(0))
-    return FleetResult(new, suppressed, known, score, summary)
+    is_new = ~F.col("suppressed") & ~F.col("known")
+    counts = merged.groupBy("repo_id").agg(
+        *[F.count_if(is_new & (F.col("severity") == s)).alias(s.lower()) for s in C.SEVERITIES],
+        F.count_if("suppressed").alias("suppressed"), F.count_if(~F.col("suppressed") & F.col("known")).alias("baselined"))
+    summary = score.join(counts, "repo_id", "left").na.fill(0)
+    return FleetResult(merged, new, suppressed, known, score, summary)
 
 
 def write_outputs(res: FleetResult, out_dir: str) -> None:

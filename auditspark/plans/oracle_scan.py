@@ -42,10 +42,14 @@ def rule_re2(r: Rule) -> str:
     return to_re2(p, r.flags)
 
 
-def scope_sql(r: Rule) -> str:
+def scope_sql(r: Rule, max_line: int | None = None, minified: bool = True) -> str:
     if r.scope == "secret":
         return "text <> ''"
-    cond = "text <> '' AND length(text) <= 2000 AND NOT is_minified"
+    cond = "text <> ''"
+    if max_line is not None:
+        cond += f" AND length(text) <= {max_line}"
+    if not minified:
+        cond += " AND NOT is_minified"
     if r.scope == "config":
         cond += " AND kind IN ('config','baas')"
     elif r.scope.startswith("lang:"):
@@ -76,7 +80,7 @@ def scan_files_sql(files_view: str = "t_files", classify: bool = True) -> str:
    OR list_bool_or(list_transform(string_split(content, chr(10)), lambda l: length(l) > 10000))) AS is_minified
 FROM {files_view}
 WHERE NOT {excluded} AND ({cats}) AND {dotext} NOT IN ({binext})
-  AND content IS NOT NULL AND content <> '' AND strpos(substr(content, 1, 8192), chr(0)) = 0"""
+  AND content IS NOT NULL AND content <> '' AND strpos(content, chr(0)) = 0"""
 
 
 def scan_lines_sql() -> str:
@@ -85,7 +89,7 @@ def scan_lines_sql() -> str:
 FROM (SELECT *, string_split(content, chr(10)) AS a FROM scan_files)"""
 
 
-def hits_sql(rules: list[Rule]) -> str:
+def hits_sql(rules: list[Rule], max_line: int | None = None, minified: bool = True) -> str:
     parts = []
     for i, r in enumerate(rules):
         pat = Q.q(rule_re2(r))
@@ -93,7 +97,7 @@ def hits_sql(rules: list[Rule]) -> str:
         parts.append(f"""SELECT repo_id, path, line, text, depth, {i} AS rule_ord,
   unnest(ms) AS match, unnest(gs) AS grp, unnest(range(len(ms))) AS match_no
 FROM (SELECT *, {g} AS gs FROM (SELECT *, regexp_extract_all(text, {pat}, 0) AS ms FROM scan_lines
-      WHERE {scope_sql(r)}) WHERE len(ms) > 0)""")
+      WHERE {scope_sql(r, max_line, minified)}) WHERE len(ms) > 0)""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -106,10 +110,11 @@ def rules_values(rules: list[Rule]) -> str:
             ") AS v(rule_ord, rule_id, rule_severity, category, cwe, rule_confidence, rule_pass, rule_redact)")
 
 
-def detect_ctes(rules: list[Rule], files_view: str = "t_files", classify: bool = True) -> list[tuple[str, str]]:
+def detect_ctes(rules: list[Rule], files_view: str = "t_files", classify: bool = True, max_line: int | None = None,
+                minified: bool = True) -> list[tuple[str, str]]:
     code = (f"CASE WHEN rule_pass = 0 THEN {Q.redact_match('match', 'grp')} "
             f"WHEN rule_redact THEN {Q.replace_first(Q.js_trim('text'), 'match', Q.redact_match('match', 'grp'))} "
-            f"ELSE {Q.js_trim('text')} END")
+            f"ELSE {Q.snippet('text', 'match')} END")
     slug = "regexp_replace(regexp_replace(path, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
     down = f"(rule_severity <> 'INFO' AND {Q.non_source('path')})"
     findings = f"""SELECT repo_id, rule_id, path AS file, line, category, cwe,
@@ -121,7 +126,7 @@ FROM (SELECT h.*, r.*, rule_id || '_' || {slug} || '_' || CAST(line AS VARCHAR)
     ided = """SELECT *, row_number() OVER (PARTITION BY repo_id, rule_id, base_id ORDER BY depth, file, match_no) - 1 AS n
 FROM det_raw"""
     return [("scan_files", scan_files_sql(files_view, classify)), ("scan_lines", scan_lines_sql()),
-            ("hits", hits_sql(rules)), ("rules", rules_values(rules)), ("det_raw", findings), ("det", ided)]
+            ("hits", hits_sql(rules, max_line, minified)), ("rules", rules_values(rules)), ("det_raw", findings), ("det", ided)]
 
 
 DET_ID = "CASE WHEN n > 0 THEN base_id || '_' || CAST(n AS VARCHAR) ELSE base_id END"

@@ -21,7 +21,8 @@ def findings(spark, sf):
 
 
 def deduped(spark, sf):
-    return D.deduplicate(findings(spark, sf), with_references=False)
+    # the table is one file: its rows are dealt out before the keys are derived
+    return D.deduplicate(findings(spark, sf), with_references=False, spread=True)
 
 
 def final(spark, sf):
@@ -98,14 +99,23 @@ def prj_fingerprint(spark, sf):
                                       X.fingerprint("file", "cwe", "category", "name").alias("fingerprint"))
 
 
-@register("set_union_findings", sqlv("SELECT source, count(*) AS n, count(DISTINCT file) AS files FROM ("
-                                     "SELECT * FROM t_findings WHERE source = 'detector' UNION ALL "
-                                     "SELECT * FROM t_findings WHERE source <> 'detector') GROUP BY source"))
+RANKS_SQL = ("CASE source WHEN 'detector' THEN 0 WHEN 'opengrep' THEN 1 WHEN 'npm-audit' THEN 2 WHEN 'osv-scanner' THEN 3 "
+             "WHEN 'gitleaks' THEN 4 WHEN 'trivy' THEN 4 ELSE 5 END")
+
+
+@register("set_union_findings", sqlv(f"""SELECT repo_id, source, CAST(source_rank AS INTEGER) AS source_rank, n, files, first_key FROM (
+  SELECT repo_id, source, {RANKS_SQL} AS source_rank, count(*) AS n, count(DISTINCT file) AS files,
+    arg_min({Q.dedup_key()}, seq) AS first_key FROM t_findings GROUP BY ALL)"""))
 def set_union_findings(spark, sf):
+    """The ordered union of the six kinds of sources, and what comes first of each."""
     f = findings(spark, sf)
-    parts = [f.where(F.col("source") == "detector"), f.where(F.col("source") != "detector")]
-    u = parts[0].unionByName(parts[1], allowMissingColumns=True)
-    return u.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
+    tools = {k: [t for t in D.SOURCE_TOOLS[k]] for k in D.SOURCE_ORDER}
+    known = [t for ts in tools.values() for t in ts]
+    parts = {k: f.where(F.col("source").isin(*ts) if ts else ~F.coalesce(F.col("source"), F.lit("")).isin(*known)) for k, ts in tools.items()}
+    u = D.ordered_union(parts, {k: [F.col("seq").alias("at")] for k in parts})
+    key = X.dedup_key("file", "line", "cwe", "category", "name")
+    return u.groupBy("repo_id", "source", F.col("seq.source_rank").alias("source_rank")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"), F.min_by(key, "seq").alias("first_key"))
 
 
 # ---------------------------------------------------------------- suppression
@@ -122,10 +132,8 @@ def flt_ignore(spark, sf):
 @register("flt_baseline", sqlv(f"""SELECT repo_id, dedup_key, fp IN (SELECT fingerprint FROM t_baseline b
   WHERE b.repo_id = d.repo_id) AS baselined FROM (SELECT *, {Q.fingerprint()} AS fp FROM t_final) d""", True))
 def flt_baseline(spark, sf):
-    f = final(spark, sf)
-    new, known = SP.apply_baseline(f, B.spark_view(spark, sf, "t_baseline"))
-    return (new.select("repo_id", "dedup_key", F.lit(False).alias("baselined"))
-            .unionByName(known.select("repo_id", "dedup_key", F.lit(True).alias("baselined"))))
+    f = SP.flag_baseline(final(spark, sf), B.spark_view(spark, sf, "t_baseline"))
+    return f.select("repo_id", "dedup_key", F.col("known").alias("baselined"))
 
 
 @register("jn_baseline", sqlv(f"""SELECT repo_id, count(*) FILTER (WHERE NOT known) AS new_findings,
@@ -133,12 +141,8 @@ def flt_baseline(spark, sf):
   FROM (SELECT *, {Q.fingerprint()} AS fp FROM t_final) d LEFT JOIN t_baseline b
   ON b.repo_id = d.repo_id AND b.fingerprint = d.fp) GROUP BY repo_id""", True))
 def jn_baseline(spark, sf):
-    f = final(spark, sf)
-    new, known = SP.apply_baseline(f, B.spark_view(spark, sf, "t_baseline"))
-    a = new.groupBy("repo_id").agg(F.count(F.lit(1)).alias("new_findings"))
-    b = known.groupBy("repo_id").agg(F.count(F.lit(1)).alias("baselined"))
-    return (a.join(b, "repo_id", "full").select("repo_id", F.coalesce("new_findings", F.lit(0)).alias("new_findings"),
-                                                 F.coalesce("baselined", F.lit(0)).alias("baselined")))
+    f = SP.flag_baseline(final(spark, sf), B.spark_view(spark, sf, "t_baseline"))
+    return f.groupBy("repo_id").agg(F.count_if(~F.col("known")).alias("new_findings"), F.count_if("known").alias("baselined"))
 
 
 @register("set_new_vs_known", sqlv(f"""SELECT d.repo_id, d.dedup_key, d.severity, 'new' AS status
@@ -148,9 +152,8 @@ UNION ALL
 SELECT d.repo_id, d.dedup_key, d.severity, 'known' FROM (SELECT *, {Q.fingerprint()} AS fp FROM t_final) d
 WHERE EXISTS (SELECT 1 FROM t_baseline b WHERE b.repo_id = d.repo_id AND b.fingerprint = d.fp)""", True))
 def set_new_vs_known(spark, sf):
-    new, known = SP.apply_baseline(final(spark, sf), B.spark_view(spark, sf, "t_baseline"))
-    return (new.select("repo_id", "dedup_key", "severity", F.lit("new").alias("status"))
-            .unionByName(known.select("repo_id", "dedup_key", "severity", F.lit("known").alias("status"))))
+    f = SP.flag_baseline(final(spark, sf), B.spark_view(spark, sf, "t_baseline"))
+    return f.select("repo_id", "dedup_key", "severity", F.when(F.col("known"), "known").otherwise("new").alias("status"))
 
 
 @register("snk_baseline", sqlv(f"""SELECT repo_id, fingerprint, arg_min(severity, first_seq) AS severity,
@@ -176,18 +179,18 @@ def src_load_baseline(spark, sf):
 # ---------------------------------------------------------------- projections
 
 MIXED_SEV_SQL = ("CASE line % 4 WHEN 0 THEN severity WHEN 1 THEN 'error' WHEN 2 THEN 'Warning' "
-                 "ELSE 'moderate' END")
+                 "ELSE CASE WHEN line % 8 = 3 THEN 'informational' ELSE 'moderate' END END")
 
 
 def _mixed_sev():
     m = F.col("line") % 4
     return (F.when(m == 0, F.col("severity")).when(m == 1, F.lit("error")).when(m == 2, F.lit("Warning"))
-            .otherwise(F.lit("moderate")))
+            .otherwise(F.when(F.col("line") % 8 == 3, F.lit("informational")).otherwise(F.lit("moderate"))))
 
 
 @register("prj_severity", sqlv(f"""SELECT repo_id, file, line, {Q.severity_audit(MIXED_SEV_SQL)} AS sev_audit,
   {Q.case_map("upper(" + MIXED_SEV_SQL + ")", {'CRITICAL': 'CRITICAL', 'HIGH': 'HIGH', 'MEDIUM': 'MEDIUM',
-      'LOW': 'LOW', 'INFO': 'INFO', 'ERROR': 'HIGH', 'WARNING': 'MEDIUM', 'UNKNOWN': 'LOW'}, "'MEDIUM'")} AS sev_tool,
+      'LOW': 'LOW', 'INFO': 'INFO', 'ERROR': 'HIGH', 'WARNING': 'MEDIUM', 'UNKNOWN': 'LOW', 'INFORMATIONAL': 'INFO'}, "'MEDIUM'")} AS sev_tool,
   CASE WHEN upper({MIXED_SEV_SQL}) = 'ERROR' THEN (CASE WHEN upper(confidence) = 'HIGH' THEN 'CRITICAL' ELSE 'HIGH' END)
        WHEN upper({MIXED_SEV_SQL}) = 'WARNING' THEN 'MEDIUM' ELSE 'LOW' END AS sev_opengrep,
   CASE WHEN upper({MIXED_SEV_SQL}) IN ('CRITICAL','HIGH','MEDIUM','LOW','INFO') THEN upper({MIXED_SEV_SQL})
@@ -232,7 +235,7 @@ def prj_compliance(spark, sf):
     return findings(spark, sf).select("repo_id", "cwe", X.compliance(X.canonical_cwe("cwe")).alias("compliance"))
 
 
-@register("prj_owasp", sqlv(f"SELECT repo_id, category, {Q.case_map('category', C.OWASP_CATEGORY_MAP, chr(39) + 'Other' + chr(39))} AS owasp FROM t_findings"))
+@register("prj_owasp", sqlv(f"SELECT repo_id, category, {Q.case_map('category', C.OWASP_CATEGORY_MAP, 'NULL')} AS owasp FROM t_findings"))
 def prj_owasp(spark, sf):
     f = findings(spark, sf).withColumn("owasp", F.lit(None).cast("string"))
     return f.select("repo_id", "category", X.owasp_code("owasp", "category").alias("owasp"))
@@ -248,12 +251,12 @@ def _owasp_url_sql(o):
 @register("prj_reference_urls", sqlv(f"""SELECT repo_id, cwe, category,
   CASE WHEN regexp_extract(cwe, '(?i)CWE-(\\d+)', 1) <> '' THEN 'https://cwe.mitre.org/data/definitions/' ||
     regexp_extract(cwe, '(?i)CWE-(\\d+)', 1) || '.html' ELSE '' END AS cwe_url,
-  {_owasp_url_sql(Q.case_map('category', C.OWASP_CATEGORY_MAP, chr(39) + 'Other' + chr(39)))} AS owasp_url
+  {_owasp_url_sql(Q.case_map('category', C.OWASP_CATEGORY_MAP, "''"))} AS owasp_url
 FROM t_findings"""))
 def prj_reference_urls(spark, sf):
     f = findings(spark, sf)
     return f.select("repo_id", "cwe", "category", X.cwe_url("cwe").alias("cwe_url"),
-                    X.owasp_url(X.lookup(C.OWASP_CATEGORY_MAP, F.col("category"), "Other")).alias("owasp_url"))
+                    X.owasp_url(X.owasp_code(F.lit(None).cast("string"), "category")).alias("owasp_url"))
 
 
 @register("prj_source_label", sqlv(f"""SELECT source, {Q.case_map(Q.finding_source('source'), C.SOURCE_LABELS,
@@ -311,13 +314,8 @@ def prj_sarif_fields(spark, sf):
 @register("prj_triage", sqlv("""SELECT repo_id, dedup_key,
   CASE WHEN severity = 'CRITICAL' AND (contains(category, 'Injection') OR contains(category, 'XSS')) THEN 'Medium'
        WHEN severity = 'CRITICAL' THEN 'High' WHEN severity = 'HIGH' THEN 'Medium' ELSE 'Low' END AS effort,
-  CASE severity WHEN 'CRITICAL' THEN 'Remote code execution, full system compromise, or data breach'
-    WHEN 'HIGH' THEN 'Significant security risk, potential for data exposure or privilege escalation'
-    WHEN 'MEDIUM' THEN 'Moderate risk, could be chained with other vulnerabilities'
-    WHEN 'LOW' THEN 'Minor security concern, limited direct impact'
-    WHEN 'INFO' THEN 'Informational, best practice recommendation'
-    ELSE 'Security improvement recommended' END AS impact,
-  'Review and apply appropriate remediation' AS fix_summary FROM t_final""", True))
+  """ + Q.case_map("severity", R.IMPACTS, Q.q(R.OTHER_IMPACT)) + " AS impact, " + Q.q(R.NO_FIX) +
+                                  " AS fix_summary FROM t_final", True))
 def prj_triage(spark, sf):
     return R.triage(final(spark, sf)).select("repo_id", "dedup_key", "effort", "impact", "fix_summary")
 
@@ -327,16 +325,14 @@ def prj_triage(spark, sf):
 @register("flt_gate", sqlv("SELECT repo_id, dedup_key, severity FROM t_final WHERE severity IN ('CRITICAL', 'HIGH')",
                            True))
 def flt_gate(spark, sf):
-    return final(spark, sf).where(F.col("severity").isin("CRITICAL", "HIGH")).select("repo_id", "dedup_key",
-                                                                                     "severity")
+    return R.gate_findings(final(spark, sf), "high").select("repo_id", "dedup_key", "severity")
 
 
 @register("flt_report", sqlv("SELECT repo_id, dedup_key FROM t_final WHERE severity IN ('CRITICAL','MEDIUM') AND "
                              "category IN ('Injection','Cross-Site Scripting') AND contains(lower(file), 'f1')", True))
 def flt_report(spark, sf):
-    f = final(spark, sf)
-    return f.where(F.col("severity").isin("CRITICAL", "MEDIUM") & F.col("category").isin(
-        "Injection", "Cross-Site Scripting") & F.lower(X.s("file")).contains("f1")).select("repo_id", "dedup_key")
+    f = R.report_filter(final(spark, sf), ["CRITICAL", "MEDIUM"], ["Injection", "Cross-Site Scripting"], "F1")
+    return f.select("repo_id", "dedup_key")
 
 
 # ---------------------------------------------------------------- aggregates
@@ -409,35 +405,38 @@ def agg_risk_level(spark, sf):
     return R.risk_level(final(spark, sf))
 
 
-@register("agg_owasp", sqlv(f"""SELECT repo_id, {Q.case_map('category', C.OWASP_CATEGORY_MAP, "'Other'")} AS owasp,
-  arg_min(dedup_key, first_seq) AS first_id, count(*) AS n, 'FAIL' AS status
-FROM t_final GROUP BY ALL""", True))
+OWASP_SQL = Q.case_map('category', C.OWASP_CATEGORY_MAP, 'NULL')
+
+
+@register("agg_owasp", sqlv(f"""SELECT repo_id, owasp, first_id, n, 'FAIL' AS status FROM (
+  SELECT repo_id, {OWASP_SQL} AS owasp, arg_min(dedup_key, first_seq) AS first_id, count(*) AS n FROM t_final GROUP BY ALL)
+WHERE owasp IS NOT NULL
+UNION ALL SELECT repo_id, '-', NULL, 0, 'PASS' FROM t_final GROUP BY repo_id HAVING count({OWASP_SQL}) = 0""", True))
 def agg_owasp(spark, sf):
     f = final(spark, sf).withColumn("id", F.col("dedup_key")).withColumn("owasp", F.lit(None).cast("string"))
     return R.owasp_rows(f)
 
 
-@register("agg_privacy", sqlv(f"""SELECT repo_id, CASE WHEN sum(CASE WHEN regexp_matches(upper(comp),
-  'GDPR|DATA PROTECTION|PERSONAL DATA') THEN 1 ELSE 0 END) > 0 THEN 'FAIL'
-  WHEN bool_or(category IN ('Sensitive Data Exposure','Cryptographic Failures','Data Leakage')
-       OR contains(lower(comp), 'data')) THEN 'REVIEW' ELSE 'PASS' END AS gdpr,
-  CASE WHEN sum(CASE WHEN regexp_matches(upper(comp), 'LGPD|DADOS PESSOAIS') THEN 1 ELSE 0 END) > 0 THEN 'FAIL'
-  WHEN bool_or(category IN ('Sensitive Data Exposure','Cryptographic Failures','Data Leakage')
-       OR contains(lower(comp), 'data')) THEN 'REVIEW' ELSE 'PASS' END AS lgpd,
-  count(*) FILTER (WHERE regexp_matches(upper(comp), 'GDPR|DATA PROTECTION|PERSONAL DATA')) AS gdpr_rows
-FROM (SELECT *, {Q.case_map(Q.canonical_cwe('cwe'), C.COMPLIANCE_MAP, "''")} AS comp FROM t_final) GROUP BY repo_id""",
-                              True))
+@register("agg_owasp_ids", sqlv(f"SELECT repo_id, {OWASP_SQL} AS owasp, dedup_key AS id FROM t_final WHERE {OWASP_SQL} IS NOT NULL", True))
+def agg_owasp_ids(spark, sf):
+    f = final(spark, sf).withColumn("id", F.col("dedup_key")).withColumn("owasp", F.lit(None).cast("string"))
+    return R.owasp_ids(f)
+
+
+def _law_sql(law, article, words):
+    hit = f"regexp_matches(upper(comp), '{words}')"
+    return f"""SELECT repo_id, '{law}' AS law, '{article}' AS article, severity AS status, dedup_key AS id FROM c WHERE {hit}
+  UNION ALL SELECT repo_id, '{law}', '{article}', CASE WHEN bool_or(category IN ('Sensitive Data Exposure',
+    'Cryptographic Failures', 'Data Leakage') OR contains(lower(comp), 'data')) THEN 'MEDIUM' ELSE 'PASS' END, NULL
+  FROM c GROUP BY repo_id HAVING NOT bool_or({hit})"""
+
+
+@register("agg_privacy", sqlv("SELECT x.* FROM (WITH c AS (SELECT *, " + Q.case_map(Q.canonical_cwe('cwe'), C.COMPLIANCE_MAP, "''") +
+                              " AS comp FROM t_final) " + _law_sql("gdpr", "Art.32", "GDPR|DATA PROTECTION|PERSONAL DATA") +
+                              " UNION ALL " + _law_sql("lgpd", "Art.46", "LGPD|DADOS PESSOAIS") + ") x", True))
 def agg_privacy(spark, sf):
-    f = final(spark, sf).withColumn("comp", X.compliance(X.canonical_cwe("cwe")))
-    up = F.upper("comp")
-    fallback = F.bool_or(F.col("category").isin("Sensitive Data Exposure", "Cryptographic Failures", "Data Leakage")
-                         | F.lower("comp").contains("data"))
-    gd = F.count_if(up.rlike("GDPR|DATA PROTECTION|PERSONAL DATA"))
-    lg = F.count_if(up.rlike("LGPD|DADOS PESSOAIS"))
-    return f.groupBy("repo_id").agg(
-        F.when(gd > 0, "FAIL").when(fallback, "REVIEW").otherwise("PASS").alias("gdpr"),
-        F.when(lg > 0, "FAIL").when(fallback, "REVIEW").otherwise("PASS").alias("lgpd"),
-        gd.alias("gdpr_rows"))
+    f = final(spark, sf).withColumn("compliance", X.compliance(X.canonical_cwe("cwe"))).withColumn("id", F.col("dedup_key"))
+    return R.privacy_rows(f)
 
 
 @register("agg_compliance_tags", sqlv(f"""SELECT DISTINCT severity, {Q.case_map(Q.canonical_cwe('cwe'),

@@ -13,6 +13,7 @@ from ..operators import suppress as SP
 from ..operators import tools as T
 from ..rules.catalogue import builtin_rules
 from ..sources import bindings as B
+from ..sources.partials import load_partials
 from . import oracle_scan as OS
 from . import q_findings as QF
 from . import q_scan as QS
@@ -43,45 +44,6 @@ def partial_docs(spark, sf):
     return docs.select("repo_id", "run_id", name.alias("file_name"), body.alias("json"))
 
 
-PARTIAL_SCHEMA = ("struct<severity:string, category:string, name:string, description:string, file:string, "
-                  "line:string, cwe:string, fix:string, confidence:string, source:string>")
-
-
-def load_partials(docs):
-    """``src_load_partials``: (findings, errors, tool executions) from partial
-    documents. Bad file name, bad JSON or a missing findings array -> error row."""
-    name_ok = F.col("file_name").rlike("(?i)^[a-z0-9][a-z0-9_-]*\\.json\\z")
-    as_obj = F.from_json("json", "map<string,string>")
-    as_arr = F.from_json("json", "array<string>")
-    valid_json = as_obj.isNotNull() | as_arr.isNotNull()
-    items = F.coalesce(as_arr, F.from_json(F.try_element_at(as_obj, F.lit("findings")), "array<string>"),
-                       F.from_json(F.try_element_at(as_obj, F.lit("partialFindings")), "array<string>"))
-    tool_fields = ["toolExecutions", "toolRuns", "toolsExecuted", "executedTools"]
-    meta = F.from_json(F.try_element_at(as_obj, F.lit("metadata")), "map<string,string>")
-    tools = F.flatten(F.array(*[F.coalesce(F.from_json(F.try_element_at(as_obj, F.lit(t)), "array<string>"),
-                                           F.array().cast("array<string>")) for t in tool_fields] +
-                               [F.coalesce(F.from_json(F.try_element_at(meta, F.lit(t)), "array<string>"),
-                                           F.array().cast("array<string>")) for t in tool_fields]))
-    d = docs.select("*", name_ok.alias("name_ok"), valid_json.alias("valid_json"), items.alias("items"),
-                    tools.alias("tools"))
-    err = F.when(~F.col("name_ok"), F.concat(F.lit("Partial file "), F.col("file_name"),
-                                             F.lit(" must match <subagent>.json.")))
-    err = err.when(~F.col("valid_json"), F.concat(F.lit("Partial file "), F.col("file_name"), F.lit(" is not valid JSON.")))
-    err = err.when(F.col("items").isNull(), F.concat(F.lit("Partial file "), F.col("file_name"),
-                                                     F.lit(" must contain a findings array.")))
-    d = d.withColumn("doc_error", err)
-    ok = d.where(F.col("doc_error").isNull())
-    findings = (ok.select("repo_id", "run_id", "file_name", F.posexplode("items").alias("_i", "_raw"))
-                .select("repo_id", "run_id", "file_name", (F.col("_i") + 1).alias("ordinal"),
-                        F.from_json("_raw", PARTIAL_SCHEMA).alias("f"))
-                .select("repo_id", "run_id", "file_name", "ordinal", "f.*"))
-    execs = (d.where(F.col("name_ok") & F.col("valid_json"))
-             .select("repo_id", "run_id", F.explode("tools").alias("raw_tool"))
-             .select("repo_id", "run_id", T.tool_name("raw_tool").alias("tool")).where(F.col("tool") != ""))
-    errors = d.where(F.col("doc_error").isNotNull()).select("repo_id", "run_id", F.col("doc_error").alias("error"))
-    return findings, errors, execs
-
-
 def _partials(spark, sf):
     return load_partials(partial_docs(spark, sf))
 
@@ -112,10 +74,10 @@ def src_load_partials(spark, sf):
 
 @register("flt_partial_valid", QF.sqlv(f"""SELECT repo_id, run_id, ordinal, e AS error FROM (
   SELECT *, unnest(list_filter([
-    CASE WHEN description = '' THEN file_name || ' finding #' || ordinal || ' is missing required field "description".' END,
-    CASE WHEN pline < 1 THEN file_name || ' finding #' || ordinal || ' field "line" must be a positive number.' END,
+    CASE WHEN description = '' THEN file_name || ' finding #' || ordinal || ': "description" is empty.' END,
+    CASE WHEN pline < 1 THEN file_name || ' finding #' || ordinal || ': "line" is no number from 1 on.' END,
     CASE WHEN NOT regexp_matches(psource, '(?i)^subagent:[a-z0-9][a-z0-9_-]*$') THEN file_name || ' finding #' ||
-      ordinal || ' must set source: "subagent:<domain>".' END], lambda x: x IS NOT NULL)) AS e
+      ordinal || ': "source" names no subagent.' END], lambda x: x IS NOT NULL)) AS e
   FROM ({P_BASE}) WHERE doc_ok)"""))
 def flt_partial_valid(spark, sf):
     f, _, _ = _partials(spark, sf)
@@ -178,21 +140,18 @@ def agg_reconcile(spark, sf):
 # ---------------------------------------------------------------- ignore files
 
 IGNORE_DOC = ("concat('# generated', char(10), '', char(10), '  ', path, '  ', char(13), char(10), char(10), '!', path, "
-              "char(10), '   # note')")
+              "char(10), char(9), '# note')")
 IGNORE_DOC_SQL = ("'# generated' || chr(10) || '' || chr(10) || '  ' || path || '  ' || chr(13) || chr(10) || chr(10) || "
-                  "'!' || path || chr(10) || '   # note'")
+                  "'!' || path || chr(10) || chr(9) || '# note'")
 
 
-@register("src_load_ignore", QF.sqlv(f"""SELECT repo_id, path, CAST(o AS BIGINT) AS ordinal, trim(l) AS pattern FROM (
+@register("src_load_ignore", QF.sqlv(f"""SELECT repo_id, path, CAST(o AS BIGINT) AS ordinal, {Q.js_trim('l')} AS pattern FROM (
   SELECT repo_id, path, unnest(string_split_regex({IGNORE_DOC_SQL}, '\\r?\\n')) AS l,
     unnest(range(len(string_split_regex({IGNORE_DOC_SQL}, '\\r?\\n')))) AS o FROM t_files)
-WHERE trim(l) <> '' AND NOT starts_with(trim(l), '#')"""))
+WHERE {Q.js_trim('l')} <> '' AND NOT starts_with({Q.js_trim('l')}, '#')"""))
 def src_load_ignore(spark, sf):
     f = B.spark_view(spark, sf, "t_files").select("repo_id", "path", F.expr(IGNORE_DOC).alias("doc"))
-    lines = f.select("repo_id", "path", F.posexplode(F.split("doc", "\r?\n")).alias("ordinal", "l"))
-    t = F.trim("l")
-    return lines.where((t != "") & ~t.startswith("#")).select("repo_id", "path", F.col("ordinal").cast("bigint"),
-                                                             t.alias("pattern"))
+    return SP.ignore_lines(f, "doc", ["repo_id", "path"])
 
 
 # ---------------------------------------------------------------- sinks

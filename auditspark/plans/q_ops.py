@@ -449,31 +449,17 @@ def _redact_sql():
 @register("prj_redact_match", _redact_sql())
 def prj_redact_match(spark, sf):
     from ..rules.catalogue import SECRET_RULES
-    hits = S.rule_hits(S.prepare_lines(v(spark, sf, "t_files")), SECRET_RULES)
+    hits = S.rule_hits(S.prepare_lines(v(spark, sf, "t_files"), spread=True), SECRET_RULES)
     return hits.select("repo_id", F.col("path").alias("file"), "line", "rule_ord", "match",
                        X.redact_match("match", "group1").alias("redacted"))
 
 
-RED_FLAGS = [
-    ("dynamic-exec", r"\beval\s*\(|new\s+Function\s*\(", ""),
-    ("process-exec", r"child_process|execSync|spawnSync|\bexecFile\b|\bspawn\s*\(", ""),
-    ("new-network", r"\bfetch\s*\(|https?\.request|net\.connect|new\s+WebSocket|axios|node-fetch", ""),
-    ("obfuscation", r"atob\s*\(|Buffer\.from\([^)]*['\"]base64['\"]\)|\\x[0-9a-f]{2}\\x[0-9a-f]{2}", "i"),
-    ("dependency-change", r"\"(?:dependencies|devDependencies)\"\s*:", ""),
-    ("safeguard-touch", r"redact|pathSafety|LOCAL_HOSTS|confirmed\s*!==\s*true|allow_force_pushes", ""),
-]
-
-
-def red_flags(texts, text_col="text"):
-    arr = F.array_compact(F.array(*[F.when(F.col(text_col).rlike(to_java(p, fl)), F.lit(n)) for n, p, fl in RED_FLAGS]))
-    return texts.select("*", F.explode(arr).alias("flag"))
-
-
-@register("scan_red_flags", W("SELECT repo_id, path, line, flag FROM (SELECT repo_id, path, line, unnest(list_filter([" + ", ".join(
-    f"CASE WHEN regexp_matches(text, {Q.q(('(?i)' if fl else '') + p)}) THEN {Q.q(n)} END" for n, p, fl in RED_FLAGS)
+@register("scan_red_flags", W("SELECT repo_id, path, line, flag, " + Q.case_map("flag", S.RED_FLAG_NOTES, "NULL") +
+    " AS note FROM (SELECT repo_id, path, line, unnest(list_filter([" + ", ".join(
+    f"CASE WHEN regexp_matches(text, {Q.q(('(?i)' if fl else '') + p)}) THEN {Q.q(n)} END" for n, p, fl in S.RED_FLAGS)
     + "], lambda x: x IS NOT NULL)) AS flag FROM t_lines)"))
 def scan_red_flags(spark, sf):
-    return red_flags(v(spark, sf, "t_lines")).select("repo_id", "path", "line", "flag")
+    return S.red_flags(v(spark, sf, "t_lines")).select("repo_id", "path", "line", "flag", "note")
 
 
 # ---------------------------------------------------------------- checksums

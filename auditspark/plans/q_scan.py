@@ -18,7 +18,8 @@ DET_COLS = ["repo_id", "id", "rule_id", "file", "line", "severity", "confidence"
 
 
 def _lines(spark, sf):
-    return S.prepare_lines(B.spark_view(spark, sf, "t_files"))
+    # the tables are one file each: the lines are dealt out before the scan
+    return S.prepare_lines(B.spark_view(spark, sf, "t_files"), spread=True)
 
 
 def detector(spark, sf, rules=None):
@@ -35,6 +36,22 @@ def scan_detect(spark, sf):
     return detector(spark, sf).select(*DET_COLS)
 
 
+@register("scan_detect_limited", B.with_views(
+    f"SELECT repo_id, {O.DET_ID} AS id, rule_id, file, line, severity, confidence, category, cwe, vulnerable_code FROM det",
+    O.detect_ctes(builtin_rules(), max_line=S.REFERENCE_MAX_LINE, minified=False)))
+def scan_detect_limited(spark, sf):
+    """The scan with the reference's limits: no long lines and no minified files but for secrets."""
+    return S.detect(spark, _lines(spark, sf), max_line=S.REFERENCE_MAX_LINE, minified=False).select(*DET_COLS)
+
+
+@register("scan_skipped", B.with_views(
+    f"""SELECT repo_id, count(*) FILTER (WHERE length(text) > {S.REFERENCE_MAX_LINE}) AS long_lines,
+    count(*) FILTER (WHERE is_minified) AS minified_lines FROM scan_lines WHERE text <> '' GROUP BY repo_id""",
+    [("scan_files", O.scan_files_sql()), ("scan_lines", O.scan_lines_sql())]))
+def scan_skipped(spark, sf):
+    return S.skipped_lines(_lines(spark, sf), S.REFERENCE_MAX_LINE, minified=False)
+
+
 @register("scan_secrets", _det_sql(SECRET_RULES))
 def scan_secrets(spark, sf):
     return detector(spark, sf, SECRET_RULES).select(*DET_COLS)
@@ -85,17 +102,17 @@ def scan_custom_rules(spark, sf):
         F.col("text").alias("content"))
     docs = docs.withColumn("kind", F.lit("source")).withColumn("language", X.language("path")) \
         .withColumn("depth", F.size(F.split("path", "/")))
-    return S.detect(spark, S.prepare_lines(docs), CUSTOM_RULES).select(*DET_COLS)
+    return S.detect(spark, S.prepare_lines(docs, spread=True), CUSTOM_RULES).select(*DET_COLS)
 
 
 # the two bundled structural rules (any eval(...) call in JavaScript/TypeScript,
 # any pickle.loads(...) call in Python; ERROR with HIGH impact -> CRITICAL),
 # expressed as regex rows over the same scan
 BUNDLED = [
-    user_rule("bundled-eval", "Dynamic eval can execute attacker-controlled code", r"\beval\s*\(", flags="g",
+    user_rule("bundled-eval", "Text run as code through eval", r"\beval\s*\(", flags="g",
               severity="CRITICAL", category="Injection", cwe="CWE-95", scope="lang:javascript,typescript",
               guard=("eval",)),
-    user_rule("bundled-pickle-loads", "Deserializing untrusted pickle data can execute code", r"\bpickle\.loads\s*\(",
+    user_rule("bundled-pickle-loads", "Pickle data loaded without a check of its origin", r"\bpickle\.loads\s*\(",
               flags="g", severity="CRITICAL", category="Injection", cwe="CWE-502", scope="lang:python",
               guard=("pickle.loads",)),
 ]
@@ -135,7 +152,7 @@ def src_file_inventory(spark, sf):
 
 
 @register("src_read_text", B.with_views(
-    "SELECT repo_id, path, strpos(substr(content, 1, 8192), chr(0)) > 0 AS is_binary, "
+    "SELECT repo_id, path, strpos(content, chr(0)) > 0 AS is_binary, "
     "content = '' AS is_empty, CAST(length(content) AS BIGINT) AS n_chars FROM t_files"))
 def src_read_text(spark, sf):
     f = FS.read_text(B.spark_view(spark, sf, "t_files"))

@@ -94,6 +94,17 @@ def redact_secret(v: str) -> str:
             f"'[REDACTED:' || length({v}) || ':...' || right({v}, 4) || ']' ELSE '[REDACTED]' END)")
 
 
+def snippet(text: str, match: str, size: int = 2000) -> str:
+    """The trimmed text, or the part of it around the match."""
+    t, m = js_trim(text), match
+    idx = f"(CASE WHEN {m} <> '' THEN strpos({t}, {m}) - 1 ELSE -1 END)"
+    ctx = f"greatest(0, CAST(floor(({size} - length({m}) - 6) / 2) AS INTEGER))"
+    start, end = f"greatest(0, {idx} - {ctx})", f"least(length({t}), {idx} + length({m}) + {ctx})"
+    return (f"(CASE WHEN length({t}) <= {size} THEN {t} WHEN {idx} < 0 THEN substr({t}, 1, {size - 3}) || '...' "
+            f"ELSE (CASE WHEN {start} > 0 THEN '...' ELSE '' END) || substr({t}, {start} + 1, {end} - {start}) || "
+            f"(CASE WHEN {end} < length({t}) THEN '...' ELSE '' END) END)")
+
+
 def replace_first(text: str, target: str, repl: str) -> str:
     pos = f"strpos({text}, {target})"
     return (f"(CASE WHEN {pos} > 0 THEN substr({text}, 1, {pos} - 1) || {repl} || "

@@ -90,28 +90,12 @@ def to_re2(pattern: str, flags: str) -> str:
     return _flag_prefix(flags) + "".join(out)
 
 
+_GLOB_TOKEN = re.compile(r"\*\*/|\*\*|.", re.DOTALL)
+_GLOB_PART = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+
+
 def glob_to_regex(glob: str) -> str:
-    """Translate a discovery glob (``*`` within a segment, ``**`` across) to a
-    Java regex body; used for file categories."""
-    out = []
-    i = 0
-    while i < len(glob):
-        c = glob[i]
-        if c == "*":
-            if glob[i + 1:i + 2] == "*":
-                if glob[i + 2:i + 3] == "/":
-                    out.append("(?:.*/)?")
-                    i += 3
-                    continue
-                out.append(".*")
-                i += 2
-                continue
-            out.append("[^/]*")
-        elif c == "?":
-            out.append("[^/]")
-        elif c in ".+^${}()|[]\\":
-            out.append("\\" + c)
-        else:
-            out.append(c)
-        i += 1
-    return "".join(out)
+    """A glob (``*`` and ``?`` within a path segment, ``**`` across) as the body of
+    a Java or RE2 regex; neighbouring ``**`` runs count as one."""
+    tokens = _GLOB_TOKEN.findall(re.sub(r"\*\*(?:/?\*+)*", "**", glob))
+    return "".join(_GLOB_PART.get(t) or (t if t.isalnum() or t in "/_- " or ord(t) > 127 else "\\" + t) for t in tokens)

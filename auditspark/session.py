@@ -1,14 +1,10 @@
 """SparkSession helpers.
 
 The engine never hard-codes cluster paths: the lineage-cutting directory comes
-from ``spark.checkpoint.dir`` (set by the cluster); tests set their own only when
-it is unset.
+from ``spark.checkpoint.dir`` (set by the cluster); tests set their own.
 """
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -47,23 +43,11 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared lineage-cut folder: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a fresh scratch folder is made.
+    Raises where neither that setting nor the context names one: a folder of this
+    machine alone would be missing on the executors.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="auditspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def input_splits(df) -> tuple[int | None, int]:
-    """(number of input partitions of ``df``, cluster parallelism); the count is
-    None where it cannot be known without running a job (e.g. Spark Connect)."""
-    try:
-        sc = df.sparkSession.sparkContext
-        return df.rdd.getNumPartitions(), sc.defaultParallelism
-    except Exception:  # noqa: BLE001 - planning-only probe, never fatal
-        return None, 0

@@ -73,7 +73,7 @@ VIEWS = {
         "concat('repo', user_id % 20) AS repo_id",
         "CASE event_id % 4 WHEN 0 THEN '.env' WHEN 1 THEN '.env.local' WHEN 2 THEN '.env.development' ELSE '.env.production' END AS file",
         "event_id AS line",
-        "CASE event_id % 5 WHEN 0 THEN concat('API_URL=https://h', user_id, '.example.com/v1') WHEN 1 THEN 'API_URL=http://localhost:8080' WHEN 2 THEN concat('DB_HOST=db', user_id, '.internal.net:5432') WHEN 3 THEN 'CACHE_HOST=127.0.0.1' ELSE concat('FLAG=', event_type) END AS text",
+        "CASE event_id % 5 WHEN 0 THEN concat('API_URL=https://h_', user_id, '.example.com/v1') WHEN 1 THEN 'API_URL=http://localhost:8080' WHEN 2 THEN concat('DB_HOST=db', user_id, '.internal.net:5432') WHEN 3 THEN 'CACHE_HOST=127.0.0.1' ELSE concat('FLAG=', event_type) END AS text",
     ]),
     "t_labels": ("labels", [
         "doc_id", "CASE WHEN quality = 1 AND doc_id % 11 IN (0, 1, 9) THEN 'CWE-798' ELSE NULL END AS expected_cwe",

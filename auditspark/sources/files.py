@@ -72,33 +72,77 @@ def classify(files: DataFrame) -> DataFrame:
             .drop("_cats"))
 
 
-def read_binary_tree(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
-    """``binaryFile`` listing of a checkout tree (recursive).
-
-    Spark's file listing skips hidden names (leading ``.`` or ``_``) and empty
-    files, so dotfiles such as ``.env`` are not seen this way; fleet ingestion
-    should provide a ``(repo_id, path, content)`` table instead (any format),
-    which every operator accepts. Exclusion filters on ``path`` run before
-    ``content`` is used, so bodies of excluded files are pruned.
+def _file_system(uri: str):
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri.rstrip("/"))
+
+
+_LISTED = "path string, length long, is_dir boolean"
+
+
+def _list_folders(root: str, recursive: bool):
+    """Folders (relative to ``root``) -> what lies in them, names of all kinds."""
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pfs
+        fs, base = _file_system(root)
+        for b in batches:
+            for folder in b.column("path").to_pylist():
+                top = f"{base}/{folder}".rstrip("/")
+                found = fs.get_file_info(pfs.FileSelector(top, recursive=recursive))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f.path[len(base) + 1:] for f in found], pa.string()), pa.array([f.size or 0 for f in found], pa.int64()),
+                     pa.array([f.type == pfs.FileType.Directory for f in found], pa.bool_())], names=["path", "length", "is_dir"])
+    return run
+
+
+def read_binary_tree(spark: SparkSession, root: str, repo_id: str | None = None, excluded: bool = False) -> DataFrame:
+    """(path, length, content, repo_id) of every file of a checkout tree, dotfiles
+    and empty files too; ``root`` is a path or URI that all executors reach.
+
+    The folders directly under ``root`` are listed in parallel, and the bodies are
+    read in parallel; those of excluded paths only with ``excluded``. A file that
+    can't be read stays, with null content (``read_text`` calls it binary).
     """
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .option("ignoreCorruptFiles", "true").load(root))
-    prefix = root.rstrip("/") + "/"
-    rel = F.expr(f"substr(regexp_replace(path, '^file:', ''), {len(prefix) + 1})")
-    out = df.select(rel.alias("path"), "length", "content")
+    top = spark.createDataFrame([("",)], "path string").mapInArrow(_list_folders(root, False), _LISTED)
+    below = top.where("is_dir").select("path").repartition("path").mapInArrow(_list_folders(root, True), _LISTED)
+    files = top.union(below).where("not is_dir").select("path", "length")
+    if not excluded:
+        files = files.where(~is_excluded("path"))
+
+    def read(batches):
+        import pyarrow as pa
+        fs, base = _file_system(root)
+        for b in batches:
+            for path, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    with fs.open_input_stream(f"{base}/{path}") as f:
+                        body = f.read()
+                except OSError:
+                    body = None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length], pa.int64()), pa.array([body], pa.binary())],
+                                                 names=["path", "length", "content"])
+
+    out = files.repartition("path").mapInArrow(read, "path string, length long, content binary")
     return out.withColumn("repo_id", F.lit(repo_id or root))
 
 
-def read_text(contents: DataFrame) -> DataFrame:
-    """``src_read_text``: NUL in the first 8192 bytes -> binary; else UTF-8 with
-    replacement characters. ``content`` may be binary or already a string."""
+# FIXED VALUE: the bytes that the reference looks at for a NUL
+REFERENCE_SNIFF = 8192
+
+
+def read_text(contents: DataFrame, sniff: int | None = None) -> DataFrame:
+    """``src_read_text``: a NUL in the content (in its first ``sniff`` bytes, where
+    given) -> binary; else UTF-8 with replacement characters. ``content`` may be
+    binary or already a string."""
+    head_of = lambda c: c if sniff is None else F.substring(c, 1, sniff)
     is_bin_col = dict(contents.dtypes).get("content") == "binary"
     if is_bin_col:
-        head = F.substring("content", 1, 8192).cast("string")
-        binary = F.instr(head, "\u0000") > 0
+        head = head_of(F.col("content")).cast("string")
+        binary = F.coalesce(F.instr(head, "\u0000") > 0, F.lit(True))  # what could not be read is binary
         text = F.make_valid_utf8(F.col("content").cast("string"))
     else:
-        binary = F.instr(F.substring("content", 1, 8192), F.lit("\u0000")) > 0
+        binary = F.instr(head_of(F.col("content")), F.lit("\u0000")) > 0
         text = F.col("content")
     return contents.withColumn("is_binary", binary).withColumn("content", F.when(~F.col("is_binary"), text))
 

@@ -33,7 +33,7 @@ def stream_findings(spark: SparkSession, files: DataFrame, rules: list[Rule] | N
                     baseline: DataFrame | None = None) -> DataFrame:
     """Streaming detector findings (no window, no action)."""
     rules = rules if rules is not None else builtin_rules()
-    lines = S.prepare_lines(files, rebalance=False)
+    lines = S.prepare_lines(files)
     hits = S.rule_hits(lines, rules)
     meta = F.broadcast(S.rule_table(spark, rules))
     f = hits.join(meta, "rule_ord")

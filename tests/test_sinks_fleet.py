@@ -57,3 +57,47 @@ def test_fleet_run(spark):
     s = {r.repo_id: r for r in res.summary.collect()}
     # r1: one CRITICAL over one audited file (dist/ is not discovered): 100 - 5*25 -> 0
     assert s["r2"].score == 100 and s["r1"].score == 0 and s["r1"].suppressed == 1
+
+
+def test_merge_order_follows_the_sources(spark):
+    """A line that a severer rule matches after another: the severer one comes first."""
+    key = "sk_live_" + "4eC39HqLyjWDarjtT1zdp7dc"
+    files = spark.createDataFrame([("r", "src/pay.js", f'const password = "{key}";\n')], "repo_id string, path string, content string")
+    d = {r.dedup_key: r for r in fleet.merge_findings(spark, files).collect()}
+    names = {r.name for r in d.values() if r.cwe == "CWE-798"}
+    assert any("Stripe" in n for n in names) and not any("Password" in n for n in names)
+
+
+def test_sequence_is_typed(spark):
+    many = [{"RuleID": "pw", "File": "a.js", "StartLine": 5, "Secret": f"secret-{i}-x"} for i in range(12)]
+    reports = spark.createDataFrame([("r", 2, "gitleaks", json.dumps(many)), ("r", 10, "gitleaks", json.dumps(many[:1]))],
+                                    "repo_id string, run_id long, tool string, report_json string")
+    files = spark.createDataFrame([("r", "b.js", "x\n")], "repo_id string, path string, content string")
+    m = fleet.merge_findings(spark, files, reports).collect()
+    assert len(m) == 1 and m[0].duplicate_count == 13
+    assert (m[0].first_seq.run_id, m[0].first_seq.ordinal) == (2, 1) and m[0].id == "GITLEAKS_1"
+
+
+def test_partials_are_merged_last(spark):
+    item = {"severity": "CRITICAL", "category": "Injection", "name": "SQL", "description": "d", "file": "src/a.js", "line": 1,
+            "cwe": "CWE-798", "fix": "f", "confidence": "HIGH", "source": "subagent:auth"}
+    docs = spark.createDataFrame([("r1", 1, "auth-1.json", json.dumps({"findings": [item, item | {"line": 0}]}))],
+                                 "repo_id string, run_id long, file_name string, json string")
+    files = spark.createDataFrame([("r1", "src/a.js", 'const password = "hunter2hunter2";\n')],
+                                  "repo_id string, path string, content string")
+    res = fleet.run(spark, files, partials=docs)
+    f = [r for r in res.findings.collect() if r.cwe == "CWE-798"]
+    assert len(f) == 1 and f[0].sources == ["detector", "subagent:auth"] and f[0].first_seq.source_rank == 0
+    assert f[0].confidence == "CONFIRMED"
+
+
+def test_known_findings_and_one_scan(spark):
+    files = spark.createDataFrame([("r1", "src/a.js", 'const password = "hunter2hunter2";\n')],
+                                  "repo_id string, path string, content string")
+    first = fleet.run(spark, files)
+    base = first.findings.select("repo_id", "fingerprint")
+    res = fleet.run(spark, files, baseline=base)
+    assert res.findings.count() == 0 and res.baselined.count() == first.findings.count() > 0
+    assert res.summary.first().baselined == res.baselined.count()
+    plan = res.summary._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan        # the results read the checkpoint, not the scan

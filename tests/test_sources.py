@@ -15,6 +15,9 @@ def test_binary_file_tree(spark):
         "img/logo.bin.js": b"\x00\x01\x02binary",
         "empty.py": b"",
         "dist/app.min.js": b"x",
+        ".env": b"API_URL=https://db_1.example.com\n",
+        "site/.htaccess": b"Options All\n",
+        ".github/workflows/ci.yml": b"on: push\n",
     }
     for rel, data in layout.items():
         p = os.path.join(root, rel)
@@ -23,7 +26,9 @@ def test_binary_file_tree(spark):
             fh.write(data)
     tree = FS.read_binary_tree(spark, root, "repo")
     inv = {(r.path, r.category) for r in FS.file_inventory(tree).collect()}
-    # Spark's file listing skips hidden ('.', '_') and empty files; fleets feed a file table instead
+    sizes = {r.path: r.length for r in tree.collect()}
+    assert sizes["empty.py"] == 0 and sizes[".env"] > 0 and "site/.htaccess" in sizes and ".github/workflows/ci.yml" in sizes
+    assert "node_modules/x/index.js" in {r.path for r in FS.read_binary_tree(spark, root, "repo", excluded=True).collect()}
     assert ("src/app.js", "source") in inv and ("deploy/nginx.conf", "config") in inv
     assert not any(p.startswith(("node_modules/", "dist/")) for p, _ in inv)
     text = FS.read_text(tree.where(~FS.is_excluded("path")))
@@ -35,6 +40,22 @@ def test_binary_file_tree(spark):
     assert not any(f.startswith("img/") or f == "empty.py" for f, _ in found)
 
 
+def test_unreadable_file_is_binary(spark):
+    df = spark.createDataFrame([("r", "a.js", None), ("r", "b.js", bytearray(b"x" * 9000 + b"\0"))], "repo_id string, path string, content binary")
+    assert all(r.is_binary for r in FS.read_text(df).collect())
+    assert not FS.read_text(df, sniff=FS.REFERENCE_SNIFF).where("path = 'b.js'").first().is_binary
+
+
+def test_distinct_content_keeps_unknown_languages(spark):
+    from auditspark.rules.catalogue import builtin_rules
+    line = 'password = "hunter2hunter2"\n'
+    df = spark.createDataFrame([("r", "Dockerfile", line), ("r", ".htaccess", line), ("r", "src/a.js", line)],
+                               "repo_id string, path string, content string")
+    want = {(r.file, r.rule_id) for r in S.detect(spark, S.prepare_lines(df)).collect()}
+    got = {(r.file, r.rule_id) for r in S.detect_distinct_content(spark, df, builtin_rules()).collect()}
+    assert got == want and {f for f, _ in want} >= {"Dockerfile", "src/a.js"}
+
+
 def test_manifest_deps_last_section_wins(spark):
     doc = '{"dependencies": {"a": "1", "b": "1"}, "devDependencies": {"b": "2"}, "peerDependencies": {"c": "3"}}'
     comp = '{"require": {"laravel/framework": "^10"}, "require-dev": {"x/y": "1"}}'
