@@ -53,16 +53,22 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
 
 def to_sarif(findings: DataFrame, max_results: int = 5000, order_col: str = "first_seq", version: str = "0.1.0",
-             g=("repo_id",)) -> DataFrame:
-    """``snk_sarif``: (repo_id, part, sarif_json). Never includes the code snippet."""
-    rules = sarif_rules(findings, order_col, g)
-    res = sarif_results(findings)
-    counts = findings.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+             g=("repo_id",), repos: DataFrame | None = None) -> DataFrame:
+    """``snk_sarif``: (repo_id, part, parts, sarif_json). Never includes the code snippet.
+
+    A repository of more than ``max_results`` findings is several documents of
+    about that many, each of which says which ``part`` of how many ``parts`` it
+    is; every document is whole by itself. Repositories of ``repos`` without
+    findings get one empty document. Result arrays are built once and joined
+    once with the rules of their document.
+    """
+    key = list(g)
     parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / max_results)).cast("long")
-    res = res.join(counts, list(g)).withColumn("part", F.pmod(F.xxhash64("dedup_key"), parts))
-    docs = res.groupBy(*g, "part").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col("_result").alias("r")))).alias("_rs"),
-        F.collect_set(F.col("_result.ruleId")).alias("_ids"))
+    counts = findings.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).select(*key, parts.alias("parts"))
+    res = sarif_results(findings).select(*key, order_col, "dedup_key", "_result").join(counts, key)
+    res = res.withColumn("part", F.pmod(F.xxhash64("dedup_key"), F.col("parts")) + 1)
+    docs = res.groupBy(*key, "part").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col("_result").alias("r")))).alias("_rs"))
     rule_struct = F.struct(F.col("rule_id").alias("id"), "name",
                            F.struct(F.col("short_description").alias("text")).alias("shortDescription"),
                            F.col("help_uri").alias("helpUri"),
@@ -70,17 +76,24 @@ def to_sarif(findings: DataFrame, max_results: int = 5000, order_col: str = "fir
                                     F.array_compact(F.array(F.lit("security"), F.when(X.nonempty("owasp"),
                                                                                       F.col("owasp")))).alias("tags"))
                            .alias("properties"))
-    r = docs.select(*g, "part", F.explode("_ids").alias("rule_id"), "_rs").join(rules, [*g, "rule_id"])
-    per = r.groupBy(*g, "part").agg(F.array_sort(F.collect_list(rule_struct)).alias("rules"),
-                                    F.first("_rs").alias("_rs"))
+    used = res.select(*key, "part", F.col("_result.ruleId").alias("rule_id")).distinct()
+    rules = used.join(sarif_rules(findings, order_col, g), [*key, "rule_id"]).groupBy(*key, "part").agg(
+        F.array_sort(F.collect_list(rule_struct)).alias("_rules"))
+    # every part of every repository, an empty one too where no result fell
+    every = counts if repos is None else counts.join(repos.select(*key).distinct(), key, "full")
+    every = every.select(*key, F.coalesce("parts", F.lit(1).cast("long")).alias("parts"))
+    every = every.select(*key, "parts", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts"))).alias("part"))
+    every = every.join(docs, [*key, "part"], "left").join(rules, [*key, "part"], "left")
+    rule_type = "array<" + rules.schema["_rules"].dataType.elementType.simpleString().replace("security-severity", "`security-severity`") + ">"
     doc = F.struct(
         F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"),
         F.lit("2.1.0").alias("version"),
         F.array(F.struct(
             F.struct(F.struct(F.lit("auditspark").alias("name"), F.lit(version).alias("version"),
-                              F.col("rules").alias("rules")).alias("driver")).alias("tool"),
-            F.transform("_rs", lambda x: x["r"]).alias("results"))).alias("runs"))
-    return per.select(*g, "part", F.to_json(doc).alias("sarif_json"))
+                              F.coalesce("_rules", F.array().cast(rule_type)).alias("rules")).alias("driver")).alias("tool"),
+            F.coalesce(F.transform("_rs", lambda x: x["r"]), F.array()).alias("results"),
+            F.struct(F.col("part"), F.col("parts")).alias("properties"))).alias("runs"))
+    return every.select(*key, "part", "parts", F.to_json(doc).alias("sarif_json"))
 
 
 def findings_export(findings: DataFrame, score: DataFrame, g=("repo_id",)) -> DataFrame:

@@ -102,5 +102,5 @@ def write_outputs(res: FleetResult, out_dir: str) -> None:
     """Partitioned outputs per repository (parquet findings, JSON lines, SARIF)."""
     res.findings.write.mode("overwrite").partitionBy("repo_id").parquet(f"{out_dir}/findings")
     res.summary.write.mode("overwrite").parquet(f"{out_dir}/summary")
-    K.to_sarif(res.findings).write.mode("overwrite").partitionBy("repo_id").json(f"{out_dir}/sarif")
+    K.to_sarif(res.findings, repos=res.summary.select("repo_id")).write.mode("overwrite").partitionBy("repo_id").json(f"{out_dir}/sarif")
     K.write_findings_json(res.findings, res.score, f"{out_dir}/findings_json")

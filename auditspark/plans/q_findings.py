@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import catalogs as C
 from ..functions import columns as X
 from ..operators import corroborate as D
+from ..operators import normalize as N
 from ..operators import reports as R
 from ..operators import suppress as SP
 from ..sources import bindings as B
@@ -528,10 +529,20 @@ def srt_findings_index(spark, sf):
     return f.orderBy("repo_id", "sev_pos", "first_seq").drop("first_seq")
 
 
-@register("lim_misc", sqlv("""SELECT repo_id, dedup_key, substr(name, 1, 5) AS short_name,
-  CASE WHEN length(file) <= 8 THEN file ELSE substr(file, 1, 8) || '...' END AS summary FROM t_final""", True))
+# texts and lists beyond each limit of the reports, and within it
+LONG_FIX = "CASE WHEN duplicate_count % 2 = 0 THEN concat(repeat(concat(name, ' '), 9), name) ELSE concat(name, chr(10), cwe) END"
+LONG_LINE = "CASE WHEN duplicate_count % 40 = 0 THEN concat(repeat('ab ', 500), name, repeat(' cd', 400)) ELSE concat(name, ' ', cwe) END"
+
+
+@register("lim_misc", sqlv(f"""SELECT repo_id, dedup_key, CASE WHEN length(fix) <= 80 THEN fix ELSE
+    substr(split_part(fix, chr(10), 1), 1, 80) || '...' END AS fix_summary, {Q.snippet('text', 'name', 2000)} AS code,
+  array_to_string([i FOR i IN range(1, least(duplicate_count % 20, {N.REFERENCE_MAX_REASONS}) + 1)], '|') AS reasons,
+  array_to_string([i FOR i IN range(1, least(duplicate_count % 20, {N.REFERENCE_MAX_REFERENCES}) + 1)], '|') AS refs
+FROM (SELECT *, {LONG_FIX} AS fix, {LONG_LINE} AS text FROM t_final)""", True))
 def lim_misc(spark, sf):
-    f = final(spark, sf)
-    return f.select("repo_id", "dedup_key", F.substring("name", 1, 5).alias("short_name"),
-                    F.when(F.length("file") <= 8, F.col("file")).otherwise(
-                        F.concat(F.substring("file", 1, 8), F.lit("..."))).alias("summary"))
+    """The limits of the reports: 80 characters of a fix, 2000 of a snippet, 10 reasons, 5 references."""
+    f = final(spark, sf).withColumn("fix", F.expr(LONG_FIX)).withColumn("text", F.expr(LONG_LINE))
+    some = F.filter(F.sequence(F.lit(0), (F.col("duplicate_count") % 20).cast("int")), lambda i: i > 0)
+    return R.triage(f).select("repo_id", "dedup_key", "fix_summary", X.snippet("text", "name").alias("code"),
+                              F.concat_ws("|", N.head_of(some, N.REFERENCE_MAX_REASONS).cast("array<string>")).alias("reasons"),
+                              F.concat_ws("|", N.head_of(some, N.REFERENCE_MAX_REFERENCES).cast("array<string>")).alias("refs"))

@@ -170,6 +170,39 @@ def snk_sarif(spark, sf):
     return K.sarif_rules(QF.final(spark, sf).withColumn("owasp", F.lit(None).cast("string"))).drop("owasp")
 
 
+SARIF_DOC = ("struct<runs: array<struct<tool: struct<driver: struct<name:string, rules: array<struct<id:string, name:string>>>>, "
+             "properties: struct<part:bigint, parts:bigint>, results: array<struct<ruleId:string, level:string, message: struct<text:string>, "
+             "locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri:string>, region: struct<startLine:int>>>>, "
+             "partialFingerprints: struct<auditsparkFingerprint:string>, properties: struct<severity:string, confidence:string, "
+             "cwe:string, vibeRisk:boolean, source:string>>>>>>")
+SEV_SQL = f"(CASE WHEN upper({Q.s('severity')}) IN ('CRITICAL','HIGH','MEDIUM','LOW','INFO') THEN upper(severity) ELSE 'MEDIUM' END)"
+
+
+@register("snk_sarif_document", QF.sqlv(f"""SELECT repo_id, {QF._sarif_rule_sql()} AS rule_id, {Q.case_map(SEV_SQL, C.SARIF_LEVEL, "'warning'")} AS level,
+  coalesce(NULLIF(name, ''), 'Security finding') AS message, regexp_replace(replace(file, '\\', '/'), '^\\./', '') AS uri,
+  greatest(1, coalesce(line, 1)) AS start_line,
+  lower(regexp_replace(replace(file, '\\', '/'), '^\\./', '')) || ':' ||
+    CASE WHEN {Q.canonical_cwe('cwe')} <> '' THEN {Q.canonical_cwe('cwe')} ELSE lower(category) END || ':' ||
+    regexp_replace(lower({Q.js_trim(Q.s('name'))}), '{Q.WS}+', ' ', 'g') AS fingerprint,
+  {SEV_SQL} AS severity, coalesce(NULLIF(confidence, ''), 'N/A') AS confidence, NULLIF({Q.canonical_cwe('cwe')}, '') AS cwe,
+  {Q.finding_source('source')} AS source, TRUE AS rule_listed FROM t_final
+UNION ALL SELECT 'no findings here', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""", True))
+def snk_sarif_document(spark, sf):
+    """The SARIF documents, read back: a row for each result, one for a clean repository."""
+    f = QF.final(spark, sf).withColumn("owasp", F.lit(None).cast("string"))
+    clean = B.spark_view(spark, sf, "t_findings").select(F.lit("no findings here").alias("repo_id")).distinct()
+    docs = K.to_sarif(f, repos=clean)
+    run = docs.select("repo_id", F.from_json("sarif_json", SARIF_DOC)["runs"][0].alias("run"))
+    rules = F.col("run.tool.driver.rules.id")
+    r = run.select("repo_id", rules.alias("rules"), F.explode_outer("run.results").alias("r"))
+    at = F.col("r.locations")[0]["physicalLocation"]
+    return r.select("repo_id", F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.message.text").alias("message"),
+                    at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("start_line"),
+                    F.col("r.partialFingerprints.auditsparkFingerprint").alias("fingerprint"), "r.properties.severity",
+                    "r.properties.confidence", "r.properties.cwe", "r.properties.source",
+                    F.array_contains("rules", F.col("r.ruleId")).alias("rule_listed"))
+
+
 @register("snk_findings_json", QF.sqlv(f"""SELECT f.repo_id, CAST(to_json(struct_pack(severity := f.severity,
   category := f.category, name := f.name, file := f.file, line := f.line, cwe := f.cwe, confidence := f.confidence,
   source := f.source, score := s.score)) AS VARCHAR) AS finding_json FROM t_final f JOIN ({QF._score_sql()}) s USING (repo_id)""",
