@@ -470,25 +470,27 @@ def _score_sql():
   max(n) AS n_findings, max(nf) AS n_files
 FROM (SELECT repo_id, sum({w} * {fac}) AS weighted, count(*) AS n, {cap} AS cap FROM t_final GROUP BY repo_id) f
 JOIN (SELECT repo_id, count(DISTINCT p) AS nf FROM (SELECT repo_id, replace({Q.js_trim(Q.s('file'))}, '\\', '/') AS p
-      FROM t_final) WHERE p <> '' GROUP BY repo_id) a USING (repo_id) GROUP BY f.repo_id"""
+      FROM t_final UNION ALL SELECT repo_id, replace({Q.js_trim(Q.s('path'))}, '\\', '/') FROM t_inventory)
+      WHERE p <> '' GROUP BY repo_id) a USING (repo_id) GROUP BY f.repo_id"""
 
 
 @register("agg_score", sqlv(_score_sql(), True))
 def agg_score(spark, sf):
-    return R.score(final(spark, sf))
+    return R.score(final(spark, sf), B.spark_view(spark, sf, "t_inventory"))
 
 
 @register("prj_score_band", sqlv(f"""SELECT repo_id, score, CASE WHEN score >= 80 THEN 'Good' WHEN score >= 60 THEN
   'Fair' WHEN score >= 40 THEN 'Poor' ELSE 'Critical' END AS band FROM ({_score_sql()})""", True))
 def prj_score_band(spark, sf):
-    s = R.score(final(spark, sf))
+    s = R.score(final(spark, sf), B.spark_view(spark, sf, "t_inventory"))
     return s.select("repo_id", "score", X.score_band("score").alias("band"))
 
 
 @register("set_audited_files", sqlv(f"""SELECT DISTINCT repo_id, replace({Q.js_trim(Q.s('file'))}, '\\', '/') AS path
-FROM t_final WHERE replace({Q.js_trim(Q.s('file'))}, '\\', '/') <> ''""", True))
+FROM t_final WHERE replace({Q.js_trim(Q.s('file'))}, '\\', '/') <> ''
+UNION SELECT repo_id, replace({Q.js_trim(Q.s('path'))}, '\\', '/') FROM t_inventory WHERE {Q.js_trim(Q.s('path'))} <> ''""", True))
 def set_audited_files(spark, sf):
-    return R.audited_files(None, final(spark, sf))
+    return R.audited_files(B.spark_view(spark, sf, "t_inventory"), final(spark, sf))
 
 
 @register("agg_suppressed_by_source", sqlv(f"""SELECT {Q.finding_source('source')} AS source, count(*) AS suppressed

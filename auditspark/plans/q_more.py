@@ -16,6 +16,7 @@ from ..sources import bindings as B
 from ..sources.partials import load_partials
 from . import oracle_scan as OS
 from . import q_findings as QF
+from . import q_ops as QO
 from . import q_scan as QS
 from . import sqlfrag as Q
 from .registry import register
@@ -209,7 +210,7 @@ def snk_sarif_document(spark, sf):
                                        True))
 def snk_findings_json(spark, sf):
     f = QF.final(spark, sf)
-    return K.findings_export(f.drop("id"), R.score(f))
+    return K.findings_export(f.drop("id"), R.score(f, B.spark_view(spark, sf, "t_inventory")))
 
 
 # ---------------------------------------------------------------- rule quality / scope
@@ -273,9 +274,15 @@ def jn_rule_scope(spark, sf):
 
 @register("agg_summary", QF.sqlv(f"""SELECT f.repo_id, s.score, f.total, coalesce(sup.suppressed, 0) AS suppressed,
   coalesce(bl.baselined, 0) AS baselined, f.critical, f.high, f.medium, f.low, f.info, s.n_files,
-  coalesce(tm.mode, 'Agent-Only') AS tool_mode
+  coalesce(inv.source_files, 0) AS source_files, coalesce(inv.config_files, 0) AS config_files,
+  coalesce(inv.dependency_files, 0) AS dependency_files, coalesce(inv.baas_files, 0) AS baas_files,
+  coalesce(tm.mode, 'Agent-Only') AS tool_mode, coalesce(fw.frameworks, '') AS frameworks, coalesce(pt.project_type, 'unknown') AS project_type
 FROM (SELECT repo_id, count(*) AS total, {QF._counts_sql()} FROM t_final GROUP BY repo_id) f
 JOIN ({QF._score_sql()}) s USING (repo_id)
+LEFT JOIN (SELECT repo_id, {", ".join(f"count(*) FILTER (WHERE category = '{c}') AS {c}_files" for c in R.FILE_CATEGORIES)}
+           FROM (SELECT DISTINCT repo_id, path, category FROM t_inventory) GROUP BY repo_id) inv USING (repo_id)
+LEFT JOIN (SELECT repo_id, string_agg(framework, ',' ORDER BY framework) AS frameworks FROM ({QO._fw_sql()}) GROUP BY repo_id) fw USING (repo_id)
+LEFT JOIN ({QO.PROJECT_TYPE_SQL}) pt USING (repo_id)
 LEFT JOIN (SELECT repo_id, count(*) AS suppressed FROM t_dedup WHERE {QF.ignore_sql('file', C.DEFAULT_IGNORE_PATTERNS)}
            GROUP BY repo_id) sup USING (repo_id)
 LEFT JOIN (SELECT d.repo_id, count(*) AS baselined FROM (SELECT *, {Q.fingerprint()} AS fp FROM t_final) d
@@ -286,37 +293,17 @@ LEFT JOIN (SELECT repo_id, CASE WHEN available_count = 0 THEN 'Agent-Only' WHEN
     (tool = 'package-audit' AND NOT coalesce(skipped, FALSE)) AS rel, available AND (tool <> 'opengrep' OR diagnostic
     IS NULL OR diagnostic = 'complete') AS ok FROM t_tool_runs) GROUP BY repo_id)) tm USING (repo_id)""", True))
 def agg_summary(spark, sf):
-    """One run-summary row per repository: score, totals, suppressed, baselined,
-    severity counts, audited files, tool mode.
-
-    The merged findings are computed once and every figure comes out of ONE
-    ``groupBy(repo_id)`` with conditional aggregates (ignored / baselined are
-    flags, the baseline a left join on the fingerprint), so the corroboration
-    shuffle is never repeated per figure."""
-    from ..functions import catalogs as CC
+    """One run-summary row per repository. The merged findings are computed once:
+    suppressed and known are flags, and findings and inventory go through one
+    grouped pass (``reports.run_summary``)."""
     d = QF.deduped(spark, sf)
-    d = d.withColumn("_ign", SP.is_ignored(SP.ignore_path("file"), CC.DEFAULT_IGNORE_PATTERNS))
-    base = B.spark_view(spark, sf, "t_baseline").select("repo_id", "fingerprint").dropDuplicates() \
-        .withColumn("_known", F.lit(True))
-    d = SP.with_fingerprint(d).join(base, ["repo_id", "fingerprint"], "left")
-    kept = ~F.col("_ign")
-    w = X.lookup(CC.SEVERITY_WEIGHTS, F.col("severity"), 0)
-    fac = X.lookup(CC.CONFIDENCE_FACTORS, F.upper(X.s("confidence")), 1.0)
-    nf = F.regexp_replace(X.js_trim(X.s("file")), "\\\\", "/")
-    agg = d.groupBy("repo_id").agg(
-        F.count_if(kept).alias("total"),
-        F.count_if(~kept).alias("suppressed"),
-        F.count_if(kept & F.coalesce(F.col("_known"), F.lit(False))).alias("baselined"),
-        *[F.count_if(kept & (F.col("severity") == s)).alias(s.lower()) for s in CC.SEVERITIES],
-        F.sum(F.when(kept, w * fac)).alias("_weighted"),
-        F.count_distinct(F.when(kept & (nf != ""), nf)).alias("n_files"))
-    agg = agg.where(F.col("total") > 0)
-    cap = F.lit(100)
-    for sev, c in reversed(CC.SCORE_CAPS):
-        cap = F.when(F.col(sev.lower()) > 0, F.lit(c)).otherwise(cap)
-    raw = 100 - (F.col("_weighted") / F.greatest(F.col("n_files"), F.lit(1))) * 5
-    score = F.greatest(F.lit(0), F.least(cap, X.js_round(F.round(raw, 9)))).cast("bigint")
-    tm = T.tool_mode(B.spark_view(spark, sf, "t_tool_runs")).select("repo_id", F.col("mode").alias("tool_mode"))
-    out = agg.withColumn("score", score).join(tm, "repo_id", "left")
-    return out.select("repo_id", "score", "total", "suppressed", "baselined", "critical", "high", "medium", "low",
-                      "info", "n_files", F.coalesce("tool_mode", F.lit("Agent-Only")).alias("tool_mode"))
+    d = d.withColumn("suppressed", SP.is_ignored(SP.ignore_path("file"), C.DEFAULT_IGNORE_PATTERNS))
+    d = SP.flag_baseline(d, B.spark_view(spark, sf, "t_baseline"))
+    mode = T.tool_mode(B.spark_view(spark, sf, "t_tool_runs")).select("repo_id", F.col("mode").alias("tool_mode"))
+    fw = QO.jn_frameworks(spark, sf).groupBy("repo_id").agg(
+        F.array_join(F.array_sort(F.collect_set("framework")), ",").alias("frameworks"))  # a fixed list of names
+    out = R.run_summary(d, B.spark_view(spark, sf, "t_inventory"), mode, fw, QO.agg_project_type(spark, sf))
+    return out.select("repo_id", "score", "total", "suppressed", "baselined", "critical", "high", "medium", "low", "info", "n_files",
+                      *[f"{c}_files" for c in R.FILE_CATEGORIES], F.coalesce("tool_mode", F.lit("Agent-Only")).alias("tool_mode"),
+                      F.coalesce("frameworks", F.lit("")).alias("frameworks"),
+                      F.coalesce("project_type", F.lit("unknown")).alias("project_type"))

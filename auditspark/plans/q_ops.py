@@ -263,7 +263,7 @@ def _manifest_docs(spark, sf):
     return d.select("repo_id", F.col("manifest_path").alias("path"), F.expr(MANIFEST_DOC).alias("content"))
 
 
-@register("agg_project_type", W(f"""WITH fw AS ({_fw_sql()}),
+PROJECT_TYPE_SQL = f"""WITH fw AS ({_fw_sql()}),
 flags AS (SELECT repo_id, bool_or(framework IN ({', '.join(Q.q(x) for x in P.MOBILE_FW)})) AS mobile,
   bool_or(framework IN ({', '.join(Q.q(x) for x in P.DESKTOP_FW)})) AS desktop,
   bool_or(framework IN ({', '.join(Q.q(x) for x in P.BACKEND_FW)})) AS backend,
@@ -277,7 +277,10 @@ repos AS (SELECT repo_id FROM fw UNION SELECT repo_id FROM docs)
 SELECT r.repo_id, CASE WHEN coalesce(mobile, FALSE) THEN 'mobile' WHEN coalesce(desktop, FALSE) THEN 'desktop'
   WHEN coalesce(backend, FALSE) AND NOT coalesce(frontend, FALSE) THEN 'api' WHEN coalesce(frontend, FALSE) THEN 'web'
   WHEN coalesce(library, FALSE) THEN 'library' ELSE 'unknown' END AS project_type
-FROM repos r LEFT JOIN flags USING (repo_id) LEFT JOIN root USING (repo_id)"""))
+FROM repos r LEFT JOIN flags USING (repo_id) LEFT JOIN root USING (repo_id)"""
+
+
+@register("agg_project_type", W(PROJECT_TYPE_SQL))
 def agg_project_type(spark, sf):
     fw = P.frameworks(spark, deps=v(spark, sf, "t_deps"), files=v(spark, sf, "t_files").select("repo_id", "path"))
     docs = _manifest_docs(spark, sf)

@@ -75,6 +75,11 @@ VIEWS = {
         "event_id AS line",
         "CASE event_id % 5 WHEN 0 THEN concat('API_URL=https://h_', user_id, '.example.com/v1') WHEN 1 THEN 'API_URL=http://localhost:8080' WHEN 2 THEN concat('DB_HOST=db', user_id, '.internal.net:5432') WHEN 3 THEN 'CACHE_HOST=127.0.0.1' ELSE concat('FLAG=', event_type) END AS text",
     ]),
+    "t_inventory": ("part", [
+        "concat('repo', p_partkey % 5) AS repo_id",
+        "concat(CASE p_partkey % 4 WHEN 0 THEN 'src' WHEN 1 THEN 'conf' WHEN 2 THEN 'test' ELSE 'apps/web' END, '/f', p_partkey % 60, '.js') AS path",
+        "CASE p_partkey % 7 WHEN 0 THEN 'config' WHEN 1 THEN 'dependency' WHEN 2 THEN 'baas' ELSE 'source' END AS category",
+    ]),
     "t_labels": ("labels", [
         "doc_id", "CASE WHEN quality = 1 AND doc_id % 11 IN (0, 1, 9) THEN 'CWE-798' ELSE NULL END AS expected_cwe",
     ]),
@@ -138,7 +143,7 @@ def duckdb_cte(name: str) -> str:
 
 
 VIEW_ORDER = ["t_files", "t_lines", "t_findings", "t_deps", "t_tool_runs", "t_responses", "t_env_lines",
-              "t_labels"]
+              "t_inventory", "t_labels"]
 
 
 def with_views(sql: str, extra_ctes: list[tuple[str, str]] | None = None) -> str:
