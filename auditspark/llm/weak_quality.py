@@ -21,7 +21,8 @@ from .common import cut
 from .words import ALNUM, LOWER, NOT_SPACE, buffer, hashes, pieces, prefix_hashes, spans
 
 DIMS = 1 << 20            # hashed weights of a trait
-SAMPLE = 16000            # documents that train the scorer at most
+SAMPLE = 12000            # documents that train the scorer at most
+MIN_DOCS = 3              # documents of the sample that share a feature, for it to get a weight
 ANNOTATION_ERROR = 0.001  # rate of wrong annotations at most
 PREFIXES = (4, 5, 6)      # bytes of the word prefixes that are features beside the word
 TRAITS = ("junk", "toxic")
@@ -34,6 +35,7 @@ _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _LETTER = _UPPER | (np.arange(256) >= 97) & (np.arange(256) <= 122)
 _MARKS = np.array([0, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5, 0.8])
 _STEPS = hashes(np.arange(64, dtype=np.uint8), np.arange(55), np.ones(55, np.int64), 3).reshape(5, 11) % np.uint64(DIMS)
+_BLOCK = 512  # documents of the sample whose features are multiplied at a time
 _ABSTAIN, _GOOD, _BAD = 0, 1, 2
 #: labellers of each trait; the last vote of each comes from the annotations
 LABELLERS = {"junk": ("symbols", "repeats", "tables", "shouting", "variety", "annotated"), "toxic": ("insults", "annotated")}
@@ -170,24 +172,34 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, alone: float = 3.0, e
     w = np.zeros(DIMS, np.float32)
     if not len(rows) or target.max(initial=0) < 0.5 or target.min(initial=1) >= 0.5:
         return w, (4.0 if len(rows) and target.min(initial=1) >= 0.5 else -4.0)
-    idx = np.concatenate(rows)
-    lens = np.array([len(r) for r in rows])
-    at = np.concatenate([[0], np.cumsum(lens)[:-1]])
     weight = np.where(target >= 0.5, 0.5 / (target >= 0.5).sum(), 0.5 / (target < 0.5).sum())
     l1 = alone * weight.max()
-    g2, b, gb2 = np.full(DIMS, 1e-12), 0.0, 1e-12
-    wd = np.zeros(DIMS)
+    used = np.zeros(DIMS, bool)
+    for r in rows:
+        used[r] = True
+    column = np.cumsum(used, dtype=np.int32) - 1
+    blocks = []  # some documents at a time, so that a pass needs little memory
+    for at in range(0, len(rows), _BLOCK):
+        part = rows[at: at + _BLOCK]
+        lens = np.array([len(r) for r in part])
+        blocks.append((slice(at, at + len(part)), column[np.concatenate(part)], lens, np.cumsum(lens) - lens))
+    wd = np.zeros(int(used.sum()))
+    g2, b, gb2 = np.full(len(wd), 1e-12), 0.0, 1e-12
     for _ in range(epochs):
-        z = np.add.reduceat(wd[idx], at) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight
-        g = np.bincount(idx, weights=np.repeat(err, lens), minlength=DIMS)
+        g, gb = np.zeros(len(wd)), 0.0
+        for rows_at, idx, lens, starts in blocks:
+            z = np.add.reduceat(wd[idx], starts) + b
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[rows_at]) * weight[rows_at]
+            g += np.bincount(idx, weights=np.repeat(err, lens), minlength=len(wd))
+            gb += err.sum()
         g2 += g * g
         step = rate / np.sqrt(g2)
         wd -= step * g
         wd = np.sign(wd) * np.maximum(0, np.abs(wd) - step * l1)
-        gb2 += err.sum() ** 2
-        b -= rate / np.sqrt(gb2) * err.sum()
-    return wd.astype(np.float32), float(b)
+        gb2 += gb ** 2
+        b -= rate / np.sqrt(gb2) * gb
+    w[used] = wd
+    return w, float(b)
 
 
 @dataclass
@@ -257,7 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = src.where("text is not null").join(picked, "id").select("id", "text", "v", "junk", "toxic")
     got = rows.mapInArrow(take, "id long, f binary, v int, junk int, toxic int").toArrow().sort_by("id")
-    feats = [np.frombuffer(x.as_py(), np.int32) for x in got.column("f")]
+    df = np.zeros(DIMS, np.int32)
+    for x in got.column("f"):
+        df[np.frombuffer(x.as_buffer(), np.int32)] += 1
+    feats = [(f := np.frombuffer(x.as_buffer(), np.int32))[df[f] >= MIN_DOCS] for x in got.column("f")]
+    got = got.drop_columns(["f"])
     weights, bias = {}, {}
     for trait in TRAITS:
         keys = [_split(v, {"junk": j, "toxic": t})[trait] for v, j, t in
