@@ -269,9 +269,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     ``_score`` is the language's share of 2 ** -bits among all languages. A null
     text and one without a letter get "und" and score 0; so does every text when
     nothing was learned. ``_rejected`` tells whether the cross-entropy, ``_bits``,
-    is above the language's calibrated limit. Other columns pass through.
+    is above the language's calibrated limit. Other columns pass through; columns
+    of these names are replaced.
     """
     from pyspark.sql import types as T
+    docs = docs.drop("_lang", "_score", "_bits", "_rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS and MAX_LANGUAGES
     at = docs.columns.index(text_col)
 

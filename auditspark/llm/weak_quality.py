@@ -284,12 +284,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(weights, bias, acc, prior)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``_p_junk``, ``_p_toxic`` and ``_kept`` (both below ``threshold``).
+def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5,
+          names: tuple[str, str, str] = ("_p_junk", "_p_toxic", "_kept")) -> DataFrame:
+    """``docs`` with the probabilities of both traits and whether both are below
+    ``threshold``, under ``names`` (a column of ``docs`` of such a name is replaced).
 
     Map-only; other columns pass through. Null and empty texts score as a text
     without words.
     """
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * DIMS floats, whatever the corpus
     at = docs.columns.index(text_col)
 
@@ -299,8 +302,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
             p = m.score(*buffer(b.column(at)))
             kept = (p < threshold).all(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(kept)],
-                                             names=[*b.schema.names, "_p_junk", "_p_toxic", "_kept"])
+                                             names=[*b.schema.names, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_p_junk", T.DoubleType()),
-                           T.StructField("_p_toxic", T.DoubleType()), T.StructField("_kept", T.BooleanType())])
+    kinds = T.DoubleType(), T.DoubleType(), T.BooleanType()
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
     return docs.mapInArrow(run, schema)
