@@ -13,46 +13,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark.llm import decontaminate, minimax_shards, mixture, simhash_pivot, weak_quality
-from auditspark.llm.common import cut, table
+from auditspark.llm.common import cut, free_name, table
 from auditspark.llm.queries import MIX_SEED, MIX_WEIGHTS, domain_of
 
 MIX_SHARE = 0.9   # of the tokens that are left, for the mixture
 N_SHARDS = 16
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key column, and its name: the id, or for a row without one a
+    number above all ids. Such numbers must not change, so they are written."""
+    key = free_name(docs, "key")
+    if docs.where("doc_id is null").isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    number = F.lit(1 << 62) + F.monotonically_increasing_id()
+    return cut(docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), number)), "keyed"), key
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; null and empty texts stay
     unless the scorer rejects a text without words."""
     model = weak_quality.fit(docs, table(spark, sf_dir, "labels"))
-    return weak_quality.score(docs, model).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [free_name(docs, n) for n in ("p_junk", "p_toxic", "kept")]
+    return weak_quality.score(docs, model, names=names).where(F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the row whose id names the component. Of
-    several rows with that id one stays; a group with null ids only keeps one
-    row. Null and empty texts form one group."""
-    groups = simhash_pivot.near_duplicates(docs, shingle=3, max_bits=2).select("id", "component")
-    named = groups.where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    first = [c for c in docs.columns if c != "doc_id"]
-    kept = docs.where("doc_id is not null").join(named, "doc_id", "left_semi")
-    kept = kept.groupBy("doc_id").agg(*[F.min(F.struct(*first)).alias("_row")]).select("doc_id", *[F.col(f"_row.`{c}`").alias(c) for c in first])
-    return kept.select(*docs.columns)
+    several rows with that id the one with the smallest text stays. A row without
+    an id yields to any with one; of a group without ids one row stays. Null and
+    empty texts form one group."""
+    rows, key = keyed(docs)
+    groups = simhash_pivot.near_duplicates(rows, id_col=key, shingle=3, max_bits=2)
+    named = groups.where("id = component").select(F.col("id").alias(key)).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rows.join(named, key, "left_semi").groupBy(key).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row"))
+    return kept.select("row.*")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word of any test item's windows. A row goes when a row
-    of its id (null being an id) is contaminated."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("n_hit > 0").select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """Documents without a word of any test item's windows. Rows of equal id go
+    together."""
+    rows, key = keyed(docs)
+    found = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=key)
+    bad = found.where("n_hit > 0").select(F.col("id").alias(key)).distinct()
+    return rows.join(bad, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture chooses in one epoch, whole: the one in
     which a leaf's token prefix ends stays as it is. Texts without words go."""
-    chosen = mixture.mix(docs, domain_of(F.col("source")), MIX_SHARE, MIX_WEIGHTS, 1, MIX_SEED)
-    ids = chosen.select(F.col("id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    rows, key = keyed(docs)
+    chosen = mixture.mix(rows, domain_of(F.col("source")), MIX_SHARE, MIX_WEIGHTS, 1, MIX_SEED, id_col=key)
+    ids = chosen.select(F.col("id").alias(key)).distinct()
+    return rows.join(ids, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
