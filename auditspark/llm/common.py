@@ -46,10 +46,33 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``cut``, in one bucket of ``key`` for each shuffle partition: joins and
+    aggregates by ``key`` read it without a shuffle."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    known = "llm_" + uuid.uuid4().hex
+    (df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parallelism(spark), key).sortBy(key)
+     .saveAsTable(known))
+    out = spark.table(known)
+    out.schema  # resolved; the session's catalogue need not keep the name
+    spark.sql(f"DROP TABLE {known}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` behind as many underscores as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
