@@ -88,8 +88,9 @@ def shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col
     groups = ordered_prefix(groups.withColumn("_lo", order), ["_lo", "_key"], {"_start": "_bytes", "_first": "_n"}, "shard-order")
     groups = cut(groups.withColumn("_end", F.col("_start") + F.col("_bytes")), "shard-groups")
     total, largest = groups.agg(F.sum("_bytes"), F.max("_bytes")).first()
-    narrow = groups.select("_start", "_end")
+    narrow = groups.select("_start", "_end").persist()  # two numbers a group, read at every step; rebuilt if lost
     cuts = smallest_capacity(narrow, n_shards, total, largest)[1] if total else []
+    narrow.unpersist()
     shard = F.lit(0)
     for c in cuts[:-1]:  # at most n_shards terms
         shard = shard + F.when(F.col("_start") >= F.lit(c).cast("long"), 1).otherwise(0)

@@ -18,6 +18,7 @@ LEVELS = ("domain", "lang", "source")
 TOKEN = r"[^\x09-\x0D\x20]+"
 MAX_WEIGHT = 1000
 _NONE = "(none)"
+SALT = 16  # tasks over which the rows of a leaf are joined
 
 
 def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
@@ -76,6 +77,14 @@ def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]
     return leaves.join(given, list(LEVELS)).select(*LEVELS, "tokens", "budget")
 
 
+def _per_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their leaf. A leaf may hold a third of all rows:
+    its row is copied SALT times, so that its rows are joined in as many tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(SALT)).cast("int"))
+    copies = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return salted.join(copies, [*LEVELS, "_salt"]).drop("_salt")
+
+
 def mix(docs: DataFrame, domain: Column, budget_share: float = 1.0, weights: dict[str, dict[str, int]] | None = None,
         max_epochs: int = 1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         source_col: str = "source") -> DataFrame:
@@ -102,10 +111,10 @@ def mix(docs: DataFrame, domain: Column, budget_share: float = 1.0, weights: dic
     plan = cut(budgets(leaves, F.floor(F.sum("tokens") * F.lit(budget_share)), weights, max_epochs), "mix-budgets")
     plan = plan.select(*LEVELS, F.expr("budget div tokens").alias("_whole"), (F.col("budget") % F.col("tokens")).alias("_rest"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    keyed = rows.join(plan, list(LEVELS)).withColumn("_key", key)
+    keyed = _per_leaf(rows, plan).withColumn("_key", key)
     placed = ordered_prefix(keyed, [*LEVELS, "_key", "id", "n_tokens"], {"_at": "n_tokens"}, "mix-order")
     first = placed.groupBy(*LEVELS).agg(F.min("_at").alias("_base"))
-    placed = placed.join(first, list(LEVELS)).withColumn("_at", F.col("_at") - F.col("_base"))
+    placed = _per_leaf(placed, first).withColumn("_at", F.col("_at") - F.col("_base"))
     last = F.when(F.col("_at") < F.col("_rest"), F.col("_whole")).otherwise(F.col("_whole") - 1)
     chosen = placed.withColumn("_last", last).where("_last >= 0")
     chosen = chosen.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
