@@ -85,11 +85,10 @@ def local(rows, n, gram, shallow, buckets=3):
     schema = pa.schema([("shard", pa.int64()), ("text", pa.binary()), ("offsets", pa.binary()), ("ids", pa.list_(pa.int64())),
                         ("codes", pa.list_(pa.struct([("bucket", pa.int32()), ("payload", pa.binary())])))])
     rec = [t | {"codes": [{"bucket": c["bucket"], "payload": c["payload"]} for c in codes.get(t["shard"], [])]} for t in texts]
-    found, parts = by(S._contexts(buckets, n, gram)([pa.RecordBatch.from_pylist(rec, schema=schema)]), "bucket")
-    own = parts.pop(-1, [])
-    sent = [(r["bucket"], r["shard"], r["payload"]) for r in found if r["bucket"] >= 0]
+    found = by(S._contexts(buckets, n, gram)([pa.RecordBatch.from_pylist(rec, schema=schema)]), "bucket")[0]
+    sent = [(r["bucket"], r["shard"], r["payload"]) for r in found]
     ranges = {}
-    for r in own + [x for b in S._sorted_out(n, shallow)([S._batch(sent)]) for x in b.to_pylist()]:
+    for r in [x for b in S._sorted_out(n, shallow)([S._batch(sent)]) for x in b.to_pylist()]:
         ranges.setdefault(r["shard"], []).append(r["payload"])
     schema = pa.schema([*list(schema)[:4], ("ranges", pa.list_(pa.binary()))])
     rec = [t | {"ranges": ranges.get(t["shard"])} for t in texts]
