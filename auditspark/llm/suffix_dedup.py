@@ -29,14 +29,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, deal, parallelism
+from .common import cut_by, deal, parallelism
 from .words import buffer, mix, pieces
 
 LENGTH = 100           # bytes of a string that must not repeat
 GRAM = 24              # bytes of an anchor
 SHALLOW = 48           # depth at which blind tries take over
-SHARD_BYTES = 4 << 20  # text of a shard
+SHARD_BYTES = 2 << 20  # text of a shard
 CHUNK = 1 << 20        # string starts whose anchors are found at a time
+BUCKETS = 4            # buckets of anchors for each shuffle partition
 HOT = 1024             # occurrences beyond which an anchor's strings are dealt by their digests
 _LAST = np.int64((1 << 63) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -100,7 +101,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
         head[1:] &= ~valid[:-1] | (at[1:] != at[:-1])
         first = np.flatnonzero(head)
         number = np.add.reduceat(valid, first, dtype=np.int64) if len(first) else first
-        for col, x in zip(cols, (h[at[first]], np.searchsorted(off, first + c, "right") - 1, first + c, number, at[first] - first)):
+        chosen = mix(h[at[first]] ^ np.uint64(_BASE))  # the smallest hashes of many are all small: spread them again
+        for col, x in zip(cols, (chosen, np.searchsorted(off, first + c, "right") - 1, first + c, number, at[first] - first)):
             col.append(x)
     empty = np.zeros(0, np.int64)
     return tuple(np.concatenate(col) if col else (empty.view(np.uint64) if k == 0 else empty) for k, col in enumerate(cols))
@@ -258,12 +260,12 @@ def _first_of(keys: list) -> np.ndarray:
     return np.array([seen.setdefault(k, i) for i, k in enumerate(keys)], np.int64)
 
 
-def _ranges(shard_rows: int, row, lo, hi) -> list[tuple]:
+def _ranges(bucket: int, shard: int, row, lo, hi) -> list[tuple]:
     row, lo, hi = _merge(row, lo, hi)
-    return [(-1, shard_rows, _pack(row, lo, hi))] if len(row) else []
+    return [(bucket, shard, _pack("ranges", row, lo, hi))] if len(row) else []
 
 
-_MESSAGE = "bucket int, shard long, payload binary"  # bucket -1: ranges for the shard itself
+_MESSAGE = "bucket int, shard long, payload binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -374,7 +376,8 @@ def _contexts(n_buckets: int, length: int, gram: int):
             for k, i, j in _parts(bucket[o]):
                 x = o[i:j]
                 out.append((k, row["shard"], _pack("string", pairs[x], ids[d[x]], d[x].astype(np.uint32), at[x] - off[d[x]])))
-        return out + _ranges(row["shard"], row_, lo - off[row_], hi - off[row_])
+        # ranges covered within the shard pass through one of the buckets
+        return out + _ranges(row["shard"] % n_buckets, row["shard"], row_, lo - off[row_], hi - off[row_])
 
     def run(batches):
         for b in batches:
@@ -387,9 +390,10 @@ def _contexts(n_buckets: int, length: int, gram: int):
 
 def _sorted_out(length: int, shallow: int):
     """Buckets of contexts and strings -> covered ranges for the shards."""
-    def one(shards: list[int], data: list[bytes]) -> list[tuple]:
+    def one(bucket: int, shards: list[int], data: list[bytes]) -> list[tuple]:
         parts = [(s, _unpack(d)) for s, d in zip(shards, data)]
-        res: list[tuple[np.ndarray, ...]] = []  # shard, row, from, to
+        # shard, row, from, to
+        res = [(np.full(len(p[1]), s), *p[1:]) for s, p in parts if p[0] == "ranges"]
         ctx = [(s, p[1:]) for s, p in parts if p[0] == "context"]
         if ctx:
             h, place, number, ids, doc, start = (np.concatenate([p[k] for _, p in ctx]) for k in range(6))
@@ -419,17 +423,17 @@ def _sorted_out(length: int, shallow: int):
             same = (pairs[o][1:] == pairs[o][:-1]).all(axis=1)
             r = o[1:][same]
             res.append((shard[r], doc[r], at[r], at[r] + length))
-        shard, doc, lo, hi = (np.concatenate([r[k] for r in res]) for k in range(4))
+        shard, doc, lo, hi = (np.concatenate([r[k] for r in res]).astype(np.int64) for k in range(4))
         out = []
         o = np.argsort(shard, kind="stable")
         u, first = np.unique(shard[o], return_index=True)
         for s, x in zip(u.tolist(), np.split(o, first[1:])):
-            out += _ranges(s, doc[x], lo[x], hi[x])
+            out += _ranges(bucket, s, doc[x], lo[x], hi[x])
         return out
 
     def run(batches):
-        for _, shards, data in _by_bucket(batches):
-            yield _batch(one(shards, data))
+        for bucket, shards, data in _by_bucket(batches):
+            yield _batch(one(bucket, shards, data))
 
     return run
 
@@ -439,7 +443,7 @@ def _cut_out(batches):
     for b in batches:
         for row in b.to_pylist():
             data, off = _text(row)
-            parts = [_unpack(p) for p in row["ranges"] or []]
+            parts = [_unpack(p)[1:] for p in row["ranges"] or []]
             n = len(off) - 1
             none = np.zeros(0, np.int64)
             doc, lo, hi = _merge(*(np.concatenate([none, *[p[k] for p in parts]]) for k in range(3)))
@@ -477,9 +481,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 1 <= gram <= length <= 255:
         raise ValueError("need 1 <= gram <= length <= 255")
-    n = parallelism(docs.sparkSession)
+    n = BUCKETS * parallelism(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    shards = cut(_to_shards(src, n, length, gram), "suffix-shards")
+    # by shard, so that the texts are joined twice without being shuffled
+    shards = cut_by(_to_shards(src, n, length, gram), "shard", "suffix-shards")
     texts = shards.where("bucket = -1").select("shard", "text", "offsets", "ids")
     hashed = shards.where("bucket >= 0").select("bucket", "shard", "payload")
 
@@ -488,7 +493,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return texts.join(got, "shard", "left")  # what belongs to one shard
 
     codes = deal(hashed, ["bucket"]).mapInArrow(_repeated, _MESSAGE)
-    found = cut(to_shards(codes, "codes", "bucket", "payload").mapInArrow(_contexts(n, length, gram), _MESSAGE), "suffix-contexts")
-    ranges = deal(found.where("bucket >= 0"), ["bucket"]).mapInArrow(_sorted_out(length, shallow), _MESSAGE)
-    ranges = ranges.union(found.where("bucket = -1")).select("shard", "payload")
+    found = to_shards(codes, "codes", "bucket", "payload").mapInArrow(_contexts(n, length, gram), _MESSAGE)
+    ranges = deal(found, ["bucket"]).mapInArrow(_sorted_out(length, shallow), _MESSAGE)
     return to_shards(ranges, "ranges", "payload").mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
