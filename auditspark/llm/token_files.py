@@ -9,6 +9,7 @@ corpus is a prefix sum over it. Readers map the files into memory.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -21,7 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, new_path, parallelism
 
-CACHE = 1 << 18  # chunks between white space whose ids a worker remembers
+CACHE = 1 << 18  # chunks of a generation
+#: words of lower-case Latin letters, which no normalisation or splitting changes: the library's BPE takes them at once
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: byte-level BPE's characters for bytes: visible ones stay, the others follow from 256 on
+_BYTE_CHARS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+_MARKS, _PLAIN = frozenset(b".,;:!?"), frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _MANIFEST = "part long, path string, n_docs long, n_tokens long, width int"
 
 
@@ -40,8 +47,10 @@ def _put(fs: pa.fs.FileSystem, path: str, write) -> None:
 class Encoder:
     """The tokenizers library over whole texts, remembering chunks between white space.
 
-    The library drops white space and never joins across it, so a text's ids are
-    its chunks' ids one after the other.
+    The library drops white space, never joins across it and lowers all letters,
+    so a text's ids are those of its lower-cased chunks one after the other; and
+    one mark at the end of a chunk, after an ASCII letter or digit, is a token run
+    of its own. Two generations of CACHE chunks are remembered.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int):
@@ -50,20 +59,60 @@ class Encoder:
         self.lib = Tokenizer.from_file(tokenizer_path)
         self.code = "H" if max(self.lib.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "I"
         self.end = array(self.code, [end_id]).tobytes()
+        probe = ["abc", "straße", "é", "àÿø".lower()]  # whether the vocabulary treats such words so
+        self.simple = all([t.id for t in self.lib.model.tokenize(w.encode().decode("latin-1").translate(_BYTE_CHARS))]
+                          == self.lib.encode(w, add_special_tokens=False).ids for w in probe)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.specials = [t.encode() for t in self.lib.get_added_tokens_decoder().values() for t in [t.content]]
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        known, code, bpe = self.known, self.code, self.lib.model.tokenize
+        rest = []
+        for c in chunks:
+            if self.simple and _WORD.fullmatch(c):
+                known[c] = array(code, [t.id for t in bpe(c.decode() if c.isascii() else c.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+            else:
+                rest.append(c)
+        for at in range(0, len(rest), 4096):
+            part = rest[at: at + 4096]
+            for c, e in zip(part, self.lib.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
+                known[c] = array(code, e.ids).tobytes()
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        known, before = self.known, self.before
+        missing = {c for c in chunks if c not in known}
+        old = [c for c in missing if c in before]
+        for c in old:
+            known[c] = before[c]
+        missing.difference_update(old)
+        split = [c for c in missing if len(c) > 1 and c[-1] in _MARKS and c[-2] in _PLAIN]
+        missing.difference_update(split)
+        missing.update(c[:-1] for c in split)
+        missing.update(c[-1:] for c in split)
+        self._encode([c for c in missing if c not in known])
+        for c in split:
+            known[c] = known[c[:-1]] + known[c[-1:]]
 
     def __call__(self, text: bytes) -> bytes:
-        chunks = text.split()
-        known = self.known
-        new = [c for c in set(chunks) if c not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(chunks))
-        for at in range(0, len(new), 4096):
-            part = new[at: at + 4096]
-            for c, e in zip(part, self.lib.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                known[c] = array(self.code, e.ids).tobytes()
-        return b"".join(map(known.__getitem__, chunks)) + self.end
+        low = text.lower()
+        # a special token's string is matched as it is written, so such a text stays as it is
+        chunks = (text if any(t in low for t in self.specials) else low).split()
+        if len(self.known) > CACHE:
+            self.known, self.before = {}, self.known
+        self._learn(set(chunks))
+        return b"".join(map(self.known.__getitem__, chunks)) + self.end
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(tokenizer_path: str, end_id: int) -> Encoder:
+    """The worker's encoder, which later tasks of the worker use again."""
+    key = (tokenizer_path, end_id)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
@@ -84,7 +133,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
     bounds = np.array(sorted(set(cuts or [])), np.int64)
 
     def encode(batches):
-        enc = Encoder(tokenizer_path, end_id)
+        enc = encoder(tokenizer_path, end_id)
         for b in batches:
             ids = b.column(0)
             part = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "right").astype(np.int32)
@@ -97,7 +146,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
     def store(batches):
         fs, root = _file_system(folder)
         fs.create_dir(root, recursive=True)
-        width = np.dtype(Encoder(tokenizer_path, end_id).code).itemsize
+        width = np.dtype(encoder(tokenizer_path, end_id).code).itemsize
         held, lens, ids = None, [], []
 
         def rows():

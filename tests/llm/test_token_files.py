@@ -15,7 +15,7 @@ def test_round_trip(spark):
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     r = random.Random(1)
     odd = ["It's", "CAFÉ", "é", "ΟΔΟΣ", "ﬁ", "\x1c", "\xa0", "a\x85b", " ", "...", ",\"", "12x3", "😀😀", "<|endoftext|>", "İİ",
-           "\x0b", "\t\n", "ñandú", "中文", "\x00", "KK"]
+           "\x0b", "\t\n", "ñandú", "<|ENDOFTEXT|>", "I\u0307.", "Σ.", "ΑΣ,", "a.b.", "it's,", "x!", "7.", "é.", "K.", "don't!?", "ma'am.", "中文", "\x00", "KK"]
     texts = [None, "", " \n"] + odd + ["".join(r.choice(odd + [" ", "word", "The"]) for _ in range(r.randint(1, 60))) for _ in range(150)]
     texts.append("lorem ipsum " * 60000)
     rows = [(i * 3, t, "x") for i, t in enumerate(texts)]
@@ -37,6 +37,18 @@ def test_round_trip(spark):
     assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_remembering_changes_nothing(monkeypatch):
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(T, "CACHE", 5)
+    path = P.path("word_bpe_49k.json")
+    enc, lib = T.Encoder(path, END), Tokenizer.from_file(path)
+    r = random.Random(4)
+    parts = ["The", "the.", "the,", "THE", "a", "B.", "c!", "'s", "it's.", "\u0301.", "e\u0301.", "I\u0307", "ß", "ﬁ,", ".", ",,", "1.5", "#x.", "straße", "ÿàø", "×", "÷", "éé"]
+    for _ in range(300):
+        t = "".join(r.choice(parts + [" ", "\n"]) for _ in range(r.randint(0, 40)))
+        assert np.frombuffer(enc(t.encode()), "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids + [END]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert T.read(T.write(df, P.path("word_bpe_49k.json"), END)).collect() == []
