@@ -1,27 +1,31 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Character 4-grams of all training documents are counted per language on the
-executors and summed by Spark; lower orders follow from the distinct 4-grams
-(continuation counts). The models of all languages share sorted hash arrays, one
-for each order, with a row of log probabilities or back-off weights for each
-entry. A text gets the language with the lowest cross-entropy per character; a
-cross-entropy above what texts of that language reach is marked as rejected.
+executors and summed by Spark; lower orders (continuation counts) and the sums of
+each context are Spark aggregates over all of them. Every count of every language
+is written to the shared folder, by hash ranges, as sorted arrays that the
+workers map into memory. A text gets the language with the lowest cross-entropy
+per character; a cross-entropy above what texts of that language reach is marked
+as rejected.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+import tempfile
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, new_path
+from .token_files import _file_system
 from .words import buffer, mix, pieces
 
 PIECE = 1 << 20          # bytes of text taken at a time
-MAX_GRAMS = 1 << 18      # 4-grams kept of a language at most, the most frequent: the model's size bound
-MAX_LANGUAGES = 256      # languages with the most characters that are learned
+CELLS = 1 << 22          # probabilities (4-grams x languages) held at a time
+PARTS = 64               # hash ranges of the written counts, a power of two
 SAMPLE = 8000            # training documents that calibrate the rejection, at most
 ACCEPT = 0.995           # share of a language's training texts that stay accepted
 MARGIN = 1.1             # room above that cross-entropy, as the sample was trained on
@@ -75,123 +79,226 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return wide[use], np.concatenate([[0], np.cumsum(count + 1)])[:-1], letters
 
 
-class SortedHash:
-    """64-bit hashes in ascending order, found through an index on their top bits."""
+_MASK = [np.uint64((1 << 16 * k) - 1) for k in range(5)]
+_BOUNDS = np.arange(PARTS, dtype=np.uint64) << np.uint64(65 - PARTS.bit_length())
+#: of an n-gram its count, of a context the count and the number of its n-grams
+_VALUE = np.dtype([("lang", "<u4"), ("kinds", "<u4"), ("n", "<i8")])
+#: tables: n-grams of the orders 1 to 4, then the contexts of these orders
+_GRAMS, _CONTEXTS = (0, 1, 2, 3), (4, 5, 6, 7)
+_SECTIONS = "part int, t int, start long, size long, kinds long"
+_mapped: dict[str, dict[str, np.ndarray]] = {}
+
+
+def _map(folder: str, name: str, kind) -> np.ndarray:
+    """A file of the shared folder mapped into memory, which later tasks of the
+    worker use again; of a folder that isn't a local one, a copy without a name."""
+    if folder not in _mapped:
+        _mapped.clear()
+        _mapped[folder] = {}
+    held = _mapped[folder]
+    if name not in held:
+        fs, root = _file_system(folder)
+        if isinstance(fs, pa.fs.LocalFileSystem):
+            held[name] = np.memmap(f"{root}/{name}", kind, "r")
+        else:
+            f = tempfile.TemporaryFile()
+            with fs.open_input_stream(f"{root}/{name}") as src:
+                while block := src.read(1 << 22):
+                    f.write(block)
+            f.flush()
+            held[name] = np.memmap(f, kind, "r")
+    return held[name]
 
-    def __init__(self, keys: np.ndarray, bits: int = 16):
-        h = mix(keys)  # one to one
-        self.order = np.argsort(h)
-        self.hashes = np.append(h[self.order], np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.shift = np.uint64(64 - bits)
-        self.index = np.searchsorted(self.hashes[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Position of each key, -1 where it isn't."""
-        h = mix(keys)
-        at = self.index[(h >> self.shift).astype(np.int64)]
-        low = np.flatnonzero(self.hashes[at] < h)
-        while len(low):
-            at[low] += 1
-            low = low[self.hashes[at[low]] < h[low]]
-        return np.where((self.hashes[at] == h) & (at < len(self.hashes) - 1), at, -1)
+class Held:
+    """Counts in memory: for each table the sorted hashes and their values."""
 
+    def __init__(self, tables: list):
+        self.tables, self.bounds = tables, _BOUNDS[:1]
 
-_MASK = [np.uint64((1 << 16 * k) - 1) for k in range(5)]
+    def section(self, part: int, t: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.tables[t]
+
+
+class Written:
+    """Counts in the shared folder, found through the (start, size) of each table in each part."""
+
+    def __init__(self, folder: str, sections: dict):
+        self.folder, self.sections, self.bounds = folder, sections, _BOUNDS
+
+    def section(self, part: int, t: int) -> tuple[np.ndarray, np.ndarray]:
+        start, size = self.sections.get((part, t), (0, 0))
+        if not size:
+            return np.zeros(0, np.uint64), np.zeros(0, _VALUE)
+        at = slice(start, start + size)
+        return _map(self.folder, f"{part:04d}.hash", np.uint64)[at], _map(self.folder, f"{part:04d}.value", _VALUE)[at]
+
+
+def _find(counts, t: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in ``keys``, value) of every entry of these keys in any language."""
+    h = mix(keys)  # one to one
+    order = np.argsort(h)
+    h = h[order]
+    ends = np.append(np.searchsorted(h, counts.bounds), len(h))
+    where, values = [np.zeros(0, np.int64)], [np.zeros(0, _VALUE)]
+    for part in np.flatnonzero(np.diff(ends)):
+        hashes, value = counts.section(int(part), t)
+        mine = slice(ends[part], ends[part + 1])
+        low = np.searchsorted(hashes, h[mine], "left")
+        n = np.searchsorted(hashes, h[mine], "right") - low
+        if n.any():
+            where.append(np.repeat(order[mine], n))
+            values.append(value[np.repeat(low + n - np.cumsum(n), n) + np.arange(n.sum())])
+    return np.concatenate(where), np.concatenate(values)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    probs: list      # for order 4, 3, 2, 1: (SortedHash, log2 probability [entry, language])
-    backs: list      # for order 4, 3, 2: (SortedHash of contexts, log2 back-off weight [entry, language])
-    floor: np.ndarray  # log2 probability [language] of a character that was never seen
-    limit: dict[str, float]
+    counts: Held | Written
+    alphabet: int    # symbols seen, and one for all others
+    limit: dict[str, float] = field(default_factory=dict)
+
+    def probs(self, keys: np.ndarray, order: int = 4) -> np.ndarray:
+        """Probability [key, language] of the last symbol of distinct n-grams.
+
+        Interpolated Kneser-Ney with one discount: the highest order uses counts,
+        the lower ones the numbers of distinct left neighbours, down to the
+        uniform one.
+        """
+        if not order:
+            return np.full((len(keys), len(self.languages)), 1 / self.alphabet)
+        below, at = np.unique(keys & _MASK[order - 1], return_inverse=True)
+        p = self.probs(below, order - 1)[at]
+        ctx, at = np.unique(keys >> np.uint64(16), return_inverse=True)
+        lam, total = np.ones((len(ctx), len(self.languages))), np.full((len(ctx), len(self.languages)), np.inf)
+        k, v = _find(self.counts, _CONTEXTS[order - 1], ctx)
+        total[k, v["lang"]] = v["n"]
+        lam[k, v["lang"]] = DISCOUNT * v["kinds"] / v["n"]
+        p *= lam[at]
+        k, v = _find(self.counts, _GRAMS[order - 1], keys)
+        p[k, v["lang"]] += np.maximum(v["n"] - DISCOUNT, 0) / total[at[k], v["lang"]]
+        return p
 
     def log_probs(self, keys: np.ndarray) -> np.ndarray:
         """log2 probability of each 4-gram's last character in each language."""
-        out = np.zeros((len(keys), len(self.languages)), np.float32)
-        todo, k = np.arange(len(keys)), keys
-        for level, (index, table) in enumerate(self.probs):
-            at = index.find(k & _MASK[4 - level])
-            hit = at >= 0
-            out[todo[hit]] += table[at[hit]]
-            todo, k = todo[~hit], k[~hit]
-            if not len(todo):
-                break
-            if level < 3:
-                ctx, weight = self.backs[level]
-                c = ctx.find((k & _MASK[4 - level]) >> np.uint64(16))
-                on = c >= 0
-                out[todo[on]] += weight[c[on]]
-            else:
-                out[todo] += self.floor
-        return out
+        each, at = np.unique(keys, return_inverse=True)
+        return np.log2(self.probs(each)).astype(np.float32)[at]
 
     def entropies(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bits per character [row, language], letters)."""
         keys, starts, letters = grams(data, off)
-        lp = self.log_probs(keys)
         ends = np.append(starts[1:], len(keys))
-        total = np.add.reduceat(lp, starts, axis=0, dtype=np.float64)
+        total = np.zeros((len(starts), len(self.languages)))
+        step = max(1, CELLS // max(1, len(self.languages)))
+        for at in range(0, len(keys), step):
+            part = keys[at: at + step]
+            first, last = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + len(part))
+            total[first:last] += np.add.reduceat(self.log_probs(part), np.maximum(starts[first:last] - at, 0), axis=0, dtype=np.float64)
         return -total / (ends - starts)[:, None], letters
 
-
-def _distinct(keys: np.ndarray, mask_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of distinct n-grams, and how many n-grams end in each."""
-    return np.unique(keys & _MASK[mask_bits], return_counts=True)
+    def texts(self, batch: pa.RecordBatch, column: int):
+        """Slices of a batch whose results are of bounded size."""
+        step = max(1, CELLS // max(1, len(self.languages)))
+        for b in pieces(batch, column, PIECE):
+            yield from (b.slice(at, step) for at in range(0, b.num_rows, step))
 
 
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model from each language's 4-grams and their counts.
-
-    Interpolated Kneser-Ney with one discount: the highest order uses counts, the
-    lower ones the numbers of distinct left neighbours, down to the uniform one.
-    """
+    """The model in memory from each language's 4-grams and their counts."""
     langs = sorted(counts)
-    orders: list[dict[str, tuple[np.ndarray, np.ndarray]]] = [counts]
-    for n in (3, 2, 1):
-        orders.append({v: _distinct(orders[-1][v][0], n) for v in langs})
-    alphabet = len(np.unique(np.concatenate([orders[3][v][0] for v in langs]))) + 1 if langs else 1
-    floor = np.full(len(langs), 1 / alphabet)
-    probs, backs = [], []
-    lower = None  # (SortedHash, probabilities) of the order below
-    for n, grams_of in zip((1, 2, 3, 4), reversed(orders)):
-        every = np.unique(np.concatenate([grams_of[v][0] for v in langs]))
-        p = np.zeros((len(every), len(langs)))
-        if n == 1:
-            ctx_all, weight = None, None
-            below = np.full((len(every), len(langs)), 1 / alphabet)
-        else:
-            ctx_all = np.unique(every >> np.uint64(16))
-            weight = np.ones((len(ctx_all), len(langs)))
-            at = lower[0].find(every & _MASK[n - 1])
-            below = lower[1][at]
-        for k, v in enumerate(langs):
-            g, c = grams_of[v]
-            if not len(g):
-                p[:, k] = below[:, k]
-                continue
-            if n == 1:
-                total = c.sum()
-                lam = DISCOUNT * len(g) / total
-                floor[k] = lam / alphabet
-                p[:, k] = lam * below[:, k]
-                p[np.searchsorted(every, g), k] += np.maximum(c - DISCOUNT, 0) / total
-                continue
+    tables: list[list] = [[] for _ in range(8)]
+    for k, v in enumerate(langs):
+        g, c = counts[v]
+        for n in (4, 3, 2, 1):
+            if n < 4:
+                g, c = np.unique(g & _MASK[n], return_counts=True)
             ctx, inv = np.unique(g >> np.uint64(16), return_inverse=True)
-            total = np.bincount(inv, c)
-            kinds = np.bincount(inv)
-            lam = DISCOUNT * kinds / total
-            weight[np.searchsorted(ctx_all, ctx), k] = lam
-            p[:, k] = weight[np.searchsorted(ctx_all, every >> np.uint64(16)), k] * below[:, k]
-            p[np.searchsorted(every, g), k] += np.maximum(c - DISCOUNT, 0) / total[inv]
-        index = SortedHash(every)
-        lower = index, p[index.order]
-        probs.insert(0, (index, np.log2(p[index.order]).astype(np.float32)))
-        if ctx_all is not None:
-            ci = SortedHash(ctx_all)
-            backs.insert(0, (ci, np.log2(weight[ci.order]).astype(np.float32)))
-    return Model(langs, probs, backs, np.log2(floor).astype(np.float32), {})
+            for t, key, size, kinds in ((_GRAMS[n - 1], g, c, 0), (_CONTEXTS[n - 1], ctx, np.bincount(inv, c), np.bincount(inv))):
+                value = np.zeros(len(key), _VALUE)
+                value["lang"], value["n"], value["kinds"] = k, size, kinds
+                tables[t].append((mix(key), value))
+    held = []
+    for t in tables:
+        h = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in t)])
+        o = np.argsort(h, kind="stable")
+        held.append((h[o], np.concatenate([np.zeros(0, _VALUE), *(x[1] for x in t)])[o]))
+    return Model(langs, Held(held), len(np.unique(held[0][0])) + 1)
+
+
+def store(counted: DataFrame) -> Model:
+    """The model from (lang, gram, n) of all 4-grams, its counts written to the shared folder."""
+    spark = counted.sparkSession
+    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())  # a name for each language
+    folder = new_path(spark, "language-model")
+    tables, grams_of = [], counted
+    for n in (4, 3, 2, 1):
+        if n < 4:
+            grams_of = grams_of.groupBy("lang", F.col("gram").bitwiseAND(F.lit(int(_MASK[n]))).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        contexts = grams_of.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("gram")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+        tables.append(grams_of.select(F.lit(_GRAMS[n - 1]).alias("t"), "lang", "gram", "n", F.lit(0).cast("long").alias("kinds")))
+        tables.append(contexts.select(F.lit(_CONTEXTS[n - 1]).alias("t"), "lang", "gram", "n", "kinds"))
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+
+    def hashed(batches):
+        names = pa.array(langs, pa.string())
+        for b in batches:
+            h = mix(b.column(2).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((np.searchsorted(_BOUNDS, h, "right") - 1).astype(np.int32)), b.column(0), pa.array(h.view(np.int64)),
+                 pa.compute.index_in(b.column(1), value_set=names), b.column(3), b.column(4)], names=["part", "t", "h", "lang", "n", "kinds"])
+
+    def write(batches):
+        fs, root = _file_system(folder)
+        fs.create_dir(root, recursive=True)
+        out, held, found = {}, None, {}
+
+        def whole():
+            for end, (path, f) in out.items():
+                f.close()
+                fs.move(path, f"{root}/{held:04d}.{end}")
+            start, rows = 0, []
+            for t in sorted(found):
+                rows.append({"part": held, "t": t, "start": start, "size": found[t][0], "kinds": found[t][1]})
+                start += found[t][0]
+            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("t", pa.int32()), ("start", pa.int64()),
+                                                                      ("size", pa.int64()), ("kinds", pa.int64())]))
+
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            for lo, hi in _runs(part):
+                if part[lo] != held:
+                    if out:
+                        yield whole()
+                    held, found = int(part[lo]), {}
+                    names = {end: f"{root}/{held:04d}.{end}.{uuid.uuid4().hex}.tmp" for end in ("hash", "value")}
+                    out = {end: (path, fs.open_output_stream(path)) for end, path in names.items()}
+                t, h, lang, n, kinds = (batch.column(k).to_numpy()[lo:hi] for k in range(1, 6))
+                value = np.zeros(hi - lo, _VALUE)
+                value["lang"], value["kinds"], value["n"] = lang, kinds, n
+                out["hash"][1].write(h.astype("<i8").tobytes())
+                out["value"][1].write(value.tobytes())
+                for a, z in _runs(t):
+                    had = found.setdefault(int(t[a]), [0, 0, None])
+                    had[0] += z - a
+                    had[1] += int((h[a + 1: z] != h[a: z - 1]).sum()) + (had[2] is None or int(h[a]) != had[2])
+                    had[2] = int(h[z - 1])
+        if out:
+            yield whole()
+
+    dealt = every.select("t", "lang", "gram", "n", "kinds").mapInArrow(hashed, "part int, t int, h long, lang int, n long, kinds long")
+    dealt = dealt.repartitionById(PARTS, F.col("part")).sortWithinPartitions("part", "t", "h", "lang")
+    sections = dealt.mapInArrow(write, _SECTIONS).collect()  # eight rows at most for each of PARTS
+    alphabet = sum(r["kinds"] for r in sections if r["t"] == _GRAMS[0]) + 1
+    return Model(langs, Written(folder, {(r["part"], r["t"]): (r["start"], r["size"]) for r in sections}), alphabet)
+
+
+def _runs(a: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of every run of equal values."""
+    at = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]]) if len(a) else np.zeros(1, int)
+    return list(zip(at[:-1].tolist(), at[1:].tolist()))
 
 
 def _merge(a, b):
@@ -232,29 +339,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The model of the documents that are not held out and have text and language."""
     train = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     train = train.where(~held_out(F.col("id"))).where("text is not null and lang is not null")
-    counted = count_grams(train.select("text", "lang"))
-    counted = cut(counted.withColumn("_step", F.floor(F.log2("n") * 8).cast("int")), "language-grams")
-    steps = counted.groupBy("lang", "_step").agg(F.count(F.lit(1)).alias("grams"), F.sum("n").alias("n")).collect()  # 512 for a language at most
-    least, size = {}, {}
-    for r in sorted(steps, key=lambda r: -r["_step"]):
-        held = least.setdefault(r.lang, [0, None])
-        held[0] += r.grams
-        if held[0] <= MAX_GRAMS:
-            held[1] = r["_step"]
-        size[r.lang] = size.get(r.lang, 0) + r.n
-    large = sorted(size, key=lambda v: (-size[v], v))[:MAX_LANGUAGES]
-    floors = F.coalesce(*[F.when((F.col("lang") == v) & (F.col("_step") >= least[v][1]), True) for v in large if least[v][1] is not None], F.lit(False))
-    got = counted.where(floors).select("lang", "gram", "n").toArrow()  # MAX_GRAMS rows for a language at most
-    lang = got.column("lang")
-    counts = {}
-    for v in sorted(lang.unique().to_pylist()):
-        part = got.filter(pa.compute.equal(lang, v))
-        k = part.column("gram").to_numpy().view(np.uint64)
-        o = np.argsort(k)
-        counts[v] = k[o], part.column("n").to_numpy()[o].astype(np.float64)
-    if not counts:
-        return Model([], [], [], np.zeros(0, np.float32), {})
-    model = build(counts)
+    model = store(cut(count_grams(train.select("text", "lang")), "language-grams"))
+    if not model.languages:
+        return model
     some = train.select("id", "lang").orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(SAMPLE).dropDuplicates(["id"])
     sample = train.select("id", "text", "lang").join(F.broadcast(some.select("id")), "id")  # SAMPLE ids at most
     seen = predict(sample, model, "text").where("_lang = lang")
@@ -274,14 +361,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     from pyspark.sql import types as T
     docs = docs.drop("_lang", "_score", "_bits", "_rejected")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS and MAX_LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # names and limits; the counts stay in their files
     at = docs.columns.index(text_col)
 
     def run(batches):
         m = shared.value
         names = pa.array([*m.languages, UNKNOWN], pa.string())
         limit = np.array([m.limit.get(v, np.inf) for v in m.languages] + [np.inf])
-        for b in (p for batch in batches for p in pieces(batch, at, PIECE)):
+        for b in (p for batch in batches for p in m.texts(batch, at)):
             n = b.num_rows
             best, score, bits = np.full(n, len(m.languages)), np.zeros(n), np.zeros(n)
             if m.languages and n:

@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -104,3 +105,23 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert {r._lang for r in L.predict(df, L.fit(df)).collect()} == {"und"}
     assert L.predict(df.where("false"), L.fit(df.where("false"))).collect() == []
+
+
+def test_every_gram_and_language_is_kept(spark):
+    r = random.Random(8)
+    han = "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(300000))  # more 4-grams, seen once, than were kept of a language
+    rows = [(i, han[k: k + 3000], "zh") for k, i in zip(range(0, len(han), 3000), (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 5))]
+    for v in range(300):  # and more languages
+        i = next(i for i in range(10**6 + 100 * v, 2 * 10**6) if zlib.crc32(str(i).encode()) % 5)
+        rows.append((i, (chr(0x1401 + 2 * v) + chr(0x1402 + 2 * v)) * 9, f"v{v:03d}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    m = L.fit(df)
+    assert len(m.languages) == 301
+    assert {r.doc_id: r._lang for r in L.predict(df, m).collect()} == {i: v for i, _, v in rows}
+    counts = {}
+    for v in m.languages:
+        k, n = np.unique(L.grams(*buffer(pa.array([t for _, t, x in rows if x == v])))[0], return_counts=True)
+        counts[v] = k, n.astype(float)
+    whole = L.build(counts)
+    texts = pa.array([han[5000:5200], han[7:60] + "abc", "ᐁᐂᐁ", ""])
+    assert np.allclose(m.entropies(*buffer(texts))[0], whole.entropies(*buffer(texts))[0], rtol=1e-6)
