@@ -6,7 +6,7 @@ each context are Spark aggregates over all of them. Every count of every languag
 is written to the shared folder, by hash ranges, as sorted arrays that the
 workers map into memory. A text gets the language with the lowest cross-entropy
 per character; a cross-entropy above what texts of that language reach is marked
-as rejected.
+as rejected. That limit is a percentile of all the language's training texts.
 """
 from __future__ import annotations
 
@@ -26,9 +26,8 @@ from .words import buffer, mix, pieces
 PIECE = 1 << 20          # bytes of text taken at a time
 CELLS = 1 << 22          # probabilities (4-grams x languages) held at a time
 PARTS = 64               # hash ranges of the written counts, a power of two
-SAMPLE = 8000            # training documents that calibrate the rejection, at most
 ACCEPT = 0.995           # share of a language's training texts that stay accepted
-MARGIN = 1.1             # room above that cross-entropy, as the sample was trained on
+MARGIN = 1.1             # room above that cross-entropy, as those texts were trained on
 DISCOUNT = 0.75
 UNKNOWN = "und"
 
@@ -342,14 +341,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     model = store(cut(count_grams(train.select("text", "lang")), "language-grams"))
     if not model.languages:
         return model
-    some = train.select("id", "lang").orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(SAMPLE).dropDuplicates(["id"])
-    sample = train.select("id", "text", "lang").join(F.broadcast(some.select("id")), "id")  # SAMPLE ids at most
-    seen = predict(sample, model, "text").where("_lang = lang")
-    for r in seen.groupBy("lang").agg(F.percentile_approx("_bits", ACCEPT).alias("q")).collect():  # a row for each language
+    own = own_bits(train, model)
+    q = lambda x: F.percentile_approx(x, ACCEPT)
+    limits = own.groupBy("lang").agg(F.coalesce(q(F.when(F.col("letters") > 0, F.col("bits"))), q("bits")).alias("q"))
+    for r in limits.collect():  # a row for each language
         model.limit[r.lang] = r.q * MARGIN
     return model
 
 
+def own_bits(docs: DataFrame, model: Model) -> DataFrame:
+    """(lang, bits, letters) of ``docs`` (text, lang): each text's cross-entropy in
+    its own language, which is one of the model's."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # names; the counts stay in their files
+
+    def run(batches):
+        m = shared.value
+        names = pa.array(m.languages, pa.string())
+        for b in (p for batch in batches for p in m.texts(batch, 0)):
+            h, letters = m.entropies(*buffer(b.column(0)))
+            own = pa.compute.index_in(b.column(1), value_set=names).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(h[np.arange(b.num_rows), own]), pa.array(letters.astype(np.int64))],
+                                             names=["lang", "bits", "letters"])
+
+    return docs.select("text", "lang").mapInArrow(run, "lang string, bits double, letters long")
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_lang``, ``_score``, ``_bits`` and ``_rejected``.
 

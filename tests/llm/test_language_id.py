@@ -125,3 +125,16 @@ def test_every_gram_and_language_is_kept(spark):
     whole = L.build(counts)
     texts = pa.array([han[5000:5200], han[7:60] + "abc", "ᐁᐂᐁ", ""])
     assert np.allclose(m.entropies(*buffer(texts))[0], whole.entropies(*buffer(texts))[0], rtol=1e-6)
+
+
+def test_limits_of_all_own_texts(spark):
+    base = [(i, t, v) for i, t, v in corpus() if v == "en" and zlib.crc32(str(i).encode()) % 5]
+    rows = base + [(i, t, "twin") for i, t, _ in base]  # the same texts, which are always taken for "en"
+    rows += [(i, "12 3", "zz") for i, _, _ in base]     # no text with a letter
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    m = L.fit(df)
+    assert set(m.limit) == {"en", "twin", "zz"}
+    for v in m.languages:
+        h, _ = m.entropies(*buffer(pa.array([t for _, t, x in rows if x == v])))
+        own = np.sort(h[:, m.languages.index(v)])
+        assert m.limit[v] == own[math.ceil(len(own) * L.ACCEPT) - 1] * L.MARGIN
