@@ -83,8 +83,9 @@ MIX_SEED = 7
 
 
 def domain_of(source):
-    """Domain of a source: its number modulo 4 (the tables name no domain)."""
-    return F.concat(F.lit("domain"), (F.regexp_extract(source, r"(\d+)$", 1).cast("long") % 4).cast("string"))
+    """Domain of a source: its number modulo 4 (the tables name no domain); null
+    without a number of 64 bits at its end."""
+    return F.concat(F.lit("domain"), (F.regexp_extract(source, r"(\d+)$", 1).try_cast("long") % 4).cast("string"))
 
 
 @query

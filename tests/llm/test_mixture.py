@@ -76,3 +76,15 @@ def test_budgets_and_prefixes(spark, seed, share, epochs):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert M.mix(df, F.col("source")).collect() == []
+
+
+ODD_SOURCES = ["web", "", "src" + "9" * 30, None, "src5"]
+
+
+def test_sources_without_a_number_have_no_domain(spark, tmp_path):
+    from auditspark.llm.queries import op4_mixing_to_target_weights
+    rows = [(i, "a b c", "en", ODD_SOURCES[i % 5]) for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op4_mixing_to_target_weights(spark, str(tmp_path)).collect()
+    assert {(r.source, r.domain) for r in got} == {("web", "(none)"), ("", "(none)"), ("src" + "9" * 30, "(none)"), ("(none)", "(none)"), ("src5", "domain1")}
+    assert sum(r.take_tokens for r in got) == 90

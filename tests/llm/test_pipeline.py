@@ -115,3 +115,10 @@ def test_run_on_empty_tables(spark, tmp_path):
     for name, s in schema.items():
         spark.createDataFrame([], s).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_mixing_stage_takes_sources_without_a_number(spark):
+    odd = ["web", "", "src" + "9" * 30, None, "src5"]
+    docs = spark.createDataFrame([(i, "a b c", "en", odd[i % 5]) for i in range(50)], "doc_id long, text string, lang string, source string")
+    out = P.mixed(spark, docs, "").collect()
+    assert {r.source for r in out} == set(odd) and 45 <= len(out) <= 50
