@@ -48,9 +48,11 @@ class Encoder:
     """The tokenizers library over whole texts, remembering chunks between white space.
 
     The library drops white space, never joins across it and lowers all letters,
-    so a text's ids are those of its lower-cased chunks one after the other; and
-    one mark at the end of a chunk, after an ASCII letter or digit, is a token run
-    of its own. Two generations of CACHE chunks are remembered.
+    so a text's ids are those of its chunks one after the other, ASCII ones
+    lower-cased; and one mark at the end of a chunk, after an ASCII letter or
+    digit, is a token run of its own. The library composes letters before it
+    lowers them, so other chunks stay as written. Two generations of CACHE chunks
+    are remembered.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int):
@@ -97,7 +99,12 @@ class Encoder:
     def __call__(self, text: bytes) -> bytes:
         low = text.lower()
         # a special token's string is matched as it is written, so such a text stays as it is
-        chunks = (text if any(t in low for t in self.specials) else low).split()
+        if any(t in low for t in self.specials):
+            chunks = text.split()
+        elif text.isascii():
+            chunks = low.split()
+        else:
+            chunks = [c.lower() if c.isascii() else c for c in text.split()]
         if len(self.known) > CACHE:
             self.known, self.before = {}, self.known
         self._learn(set(chunks))

@@ -52,3 +52,13 @@ def test_remembering_changes_nothing(monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert T.read(T.write(df, P.path("word_bpe_49k.json"), END)).collect() == []
+
+
+def test_letters_compose_before_they_are_lowered():
+    from tokenizers import Tokenizer
+    path = P.path("word_bpe_49k.json")
+    enc, lib = T.Encoder(path, END), Tokenizer.from_file(path)
+    pairs = ["H̱", "T̈", "J̌", "W̊", "Y̊"]  # the small letter composes, the capital doesn't
+    texts = [t for p in pairs for t in (p, p + "izb", p.lower() + "izb", f"The {p}izb. A{p}, THE end", f"{p}IZB {p.lower()}")]
+    for t in [*texts, " ".join(texts)]:
+        assert np.frombuffer(enc(t.encode()), "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids + [END]
