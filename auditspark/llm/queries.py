@@ -6,7 +6,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, line_spread, minimax_shards, mixture, simhash_pivot, suffix_dedup, token_files, weak_quality
+from . import (
+    centroid_orchard,
+    conversation_trie,
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    line_spread,
+    minimax_shards,
+    mixture,
+    piece_encoding,
+    simhash_pivot,
+    suffix_dedup,
+    token_files,
+    weak_quality,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +209,75 @@ FROM d LEFT JOIN k USING (r)
 def op9_suffix_array_dedup(spark, sf_dir):
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_sentencepiece_encoding(spark, sf_dir):
+    import public_tokenizers
+    out = piece_encoding.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_centroid_clustering(spark, sf_dir):
+    out = centroid_orchard.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed="2")
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+                      F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+def _centroid_round(k: int) -> str:
+    """Assignment to the centroids ``c<k-1>`` and their floored means, as ``c<k>``."""
+    return f"""
+a{k} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c FROM (
+  SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - z.q[i]) * (v.q[i] - z.q[i]))) AS d FROM v, c{k - 1} z) GROUP BY r),
+m{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM (
+  SELECT c, i, sum(x) AS s, CAST(count(*) AS HUGEINT) AS n FROM (SELECT r, unnest(q) AS x, unnest(range(0, 64)) AS i FROM v) JOIN a{k} USING (r) GROUP BY c, i) GROUP BY c),
+c{k} AS MATERIALIZED (SELECT z.c, coalesce(m.q, z.q) AS q FROM c{k - 1} z LEFT JOIN m{k} m USING (c))"""
+
+
+ORACLE["op12_centroid_clustering"] = f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS MATERIALIZED (SELECT r, vec_id, list_transform(e, lambda x: CAST(floor(256 * x) AS BIGINT)) AS q FROM e
+  WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS c, q FROM v
+  QUALIFY c < 40),{",".join(_centroid_round(k) for k in range(1, 6))},
+f AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - z.q[i]) * (v.q[i] - z.q[i]))) AS d FROM v, c5 z) GROUP BY r)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.q, ',')) AS centroid_sha256
+FROM f JOIN v USING (r) JOIN c5 USING (c)
+"""
+
+
+@query
+def op11_conversation_prefix_trie(spark, sf_dir):
+    out = conversation_trie.trie(conversation_trie.rebuilt(table(spark, sf_dir, "conversations"), every=20, heads=4))
+    return out.select(F.col("id").alias("conv_id"), "depth", F.col("parent_id").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+                      "saved_tokens", "ends_sha256")
+
+
+ORACLE["op11_conversation_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS tid FROM conversations WHERE conv_id IS NOT NULL),
+w AS (SELECT DISTINCT tid, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t),
+o AS (SELECT conv_id, list(tid ORDER BY turn NULLS FIRST, role, text) AS s FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, s, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])),
+                             lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 4 AS h FROM o),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.s[1:a.h], CAST([] AS BIGINT[])), a.s[a.h + 1:]) AS s
+      FROM h a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 20),
+p AS (SELECT conv_id, len(s) AS l, unnest(range(0, len(s) + 1)) AS d, s FROM r),
+n AS (SELECT s[1:d] AS k, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs,
+             string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE l = d) AS ends FROM p GROUP BY k),
+c AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(words, 0) AS own
+      FROM n LEFT JOIN c USING (k) LEFT JOIN w ON w.tid = n.k[n.d]),
+u AS (SELECT k[1:a] AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved
+      FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM m) GROUP BY 1)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN u USING (k) LEFT JOIN n q ON m.d > 0 AND q.k = m.k[1:m.d - 1]
+"""
