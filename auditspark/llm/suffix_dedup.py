@@ -8,11 +8,14 @@ Texts lie in shards of some MB, anchors in buckets by hash:
 
 1. documents -> shards (compressed text) and their anchors' hashes by bucket;
 2. buckets: which hashes occur again, and which so often that they must be split;
-3. shards: the contexts of those anchors, equal ones of a shard once, by bucket;
-4. buckets: the suffixes from the anchors on, and the reversed prefixes before
+3. shards: the places of those anchors with digests of their contexts, by bucket;
+4. buckets: all but the first of equal contexts are covered as a whole; anchors
+   with different contexts are in doubt, and one context of each kind is called for;
+5. shards: the bytes of those contexts, by bucket;
+6. buckets: the suffixes from the anchors on, and the reversed prefixes before
    them, are put in order by deep-shallow sorting; strings are equal where both
    parts fall in one class of the order, and all but the first are covered;
-5. shards: covered bytes are cut out.
+7. shards: covered bytes are cut out.
 
 Deep-shallow sorting: multikey quicksort to a shallow depth, eight bytes a step
 and all groups at once, then blind tries order what still agrees.
@@ -29,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_by, deal, parallelism
+from .common import cut, cut_by, deal, parallelism
 from .words import buffer, mix, pieces
 
 LENGTH = 100           # bytes of a string that must not repeat
@@ -265,6 +268,18 @@ def _ranges(bucket: int, shard: int, row, lo, hi) -> list[tuple]:
     return [(bucket, shard, _pack("ranges", row, lo, hi))] if len(row) else []
 
 
+def _small(a: np.ndarray) -> tuple[int, np.ndarray]:
+    """An array of integers as its least value and the rest in as few bytes as hold it."""
+    base = int(a.min()) if len(a) else 0
+    rest = (a - base).astype(np.uint64)
+    most = int(rest.max()) if len(a) else 0
+    return base, rest.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+
+
+def _large(packed: tuple[int, np.ndarray]) -> np.ndarray:
+    return packed[1].astype(np.int64) + packed[0]
+
+
 _MESSAGE = "bucket int, shard long, payload binary"
 
 
@@ -306,7 +321,9 @@ def _to_shards(docs: DataFrame, n_buckets: int, length: int, gram: int) -> DataF
             cols = [[shard], [-1], [None], [packed], [off.astype("<i8").tobytes()], [b.column(0).to_pylist()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
             u, n = np.unique(anchors(data, off, length, gram)[0], return_counts=True)
-            out = [(shard, k, _pack(u[i:j], n[i:j].astype(np.uint32))) for k, i, j in _parts(_bucket(u, n_buckets))]
+            # the lower half of a hash tells the hashes of a bucket apart, but for a few that go on for nothing
+            low, n = (u & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(n, 0xFFFF).astype(np.uint16)
+            out = [(shard, k, _pack(low[i:j], n[i:j])) for k, i, j in _parts(_bucket(u, n_buckets))]
             if out:
                 s, k, p = zip(*out)
                 none = [None] * len(out)
@@ -335,7 +352,8 @@ def _text(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), off
 
 
-def _contexts(n_buckets: int, length: int, gram: int):
+def _claims(n_buckets: int, length: int, gram: int):
+    """Shards with their codes -> places of repeated anchors, with digests of their contexts."""
     def one(row: dict) -> list[tuple]:
         data, off = _text(row)
         h, doc, start, number, place = anchors(data, off, length, gram)
@@ -350,22 +368,22 @@ def _contexts(n_buckets: int, length: int, gram: int):
         lead = _first_of(keys) == np.arange(len(keys))
         gone = on[~lead]  # equal contexts of this shard: covered as a whole
         row_, lo, hi = doc[gone], start[gone], start[gone] + number[gone] + length - 1
-        kept, texts = on[lead], [keys[i][0] for i in np.flatnonzero(lead)]
+        kept, texts = on[lead], [keys[i] for i in np.flatnonzero(lead)]
         out = []
         plain = np.flatnonzero(code[kept] == 1)
         plain = plain[np.argsort(h[kept[plain]], kind="stable")]
-        bucket = _bucket(h[kept[plain]], n_buckets)
-        for k, i, j in _parts(bucket):
+        # 64 bits beside the 64 of the anchor's hash
+        digest = np.frombuffer(b"".join([hashlib.blake2b(texts[x][0] + bytes([texts[x][1]]), digest_size=8).digest() for x in plain.tolist()]), "<u8")
+        for k, i, j in _parts(_bucket(h[kept[plain]], n_buckets)):
             part = kept[plain[i:j]]
-            out.append((k, row["shard"], _pack("context", h[part], place[part].astype(np.uint8), number[part].astype(np.uint8),
-                                               ids[doc[part]], doc[part].astype(np.uint32), start[part] - off[doc[part]],
-                                               b"".join([texts[x] for x in plain[i:j]]))))
+            out.append((k, row["shard"], _pack("claim", h[part], digest[i:j], place[part].astype(np.uint8), number[part].astype(np.uint8),
+                                               _small(ids[doc[part]]), _small(doc[part]), _small(start[part] - off[doc[part]]))))
         hot = np.flatnonzero(code[kept] == 2)
         if len(hot):  # a hot anchor's strings, by their own digests
             each = number[kept[hot]]
             which = np.repeat(hot, each)
             shift = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
-            digest = [hashlib.blake2b(texts[x][s: s + length], digest_size=16).digest() for x, s in zip(which.tolist(), shift.tolist())]
+            digest = [hashlib.blake2b(texts[x][0][s: s + length], digest_size=16).digest() for x, s in zip(which.tolist(), shift.tolist())]
             first = _first_of(digest) == np.arange(len(digest))
             d, at = doc[kept[which]], start[kept[which]] + shift
             row_, lo, hi = (np.concatenate(x) for x in ((row_, d[~first]), (lo, at[~first]), (hi, at[~first] + length)))
@@ -375,7 +393,7 @@ def _contexts(n_buckets: int, length: int, gram: int):
             o = np.argsort(bucket, kind="stable")
             for k, i, j in _parts(bucket[o]):
                 x = o[i:j]
-                out.append((k, row["shard"], _pack("string", pairs[x], ids[d[x]], d[x].astype(np.uint32), at[x] - off[d[x]])))
+                out.append((k, row["shard"], _pack("string", pairs[x], _small(ids[d[x]]), _small(d[x]), _small(at[x] - off[d[x]]))))
         # ranges covered within the shard pass through one of the buckets
         return out + _ranges(row["shard"] % n_buckets, row["shard"], row_, lo - off[row_], hi - off[row_])
 
@@ -388,48 +406,100 @@ def _contexts(n_buckets: int, length: int, gram: int):
     return run
 
 
-def _sorted_out(length: int, shallow: int):
-    """Buckets of contexts and strings -> covered ranges for the shards."""
+def _together(parts: list[tuple[int, tuple]], plain: int) -> tuple[np.ndarray, ...]:
+    """(shard, columns) of messages whose first ``plain`` columns are arrays and whose others are ``_small``."""
+    shard = np.repeat([s for s, _ in parts], [len(p[0]) for _, p in parts]).astype(np.int64)
+    cols = range(len(parts[0][1]))
+    return shard, *(np.concatenate([p[k] if k < plain else _large(p[k]) for _, p in parts]) for k in cols)
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    o = np.argsort(shard, kind="stable")
+    u, first = np.unique(shard[o], return_index=True)
+    yield from zip(u.tolist(), np.split(o, first[1:])) if len(u) else ()
+
+
+def _doubts(length: int):
+    """Buckets of claims -> ranges that equal contexts cover, and calls for the contexts in doubt."""
     def one(bucket: int, shards: list[int], data: list[bytes]) -> list[tuple]:
         parts = [(s, _unpack(d)) for s, d in zip(shards, data)]
         # shard, row, from, to
         res = [(np.full(len(p[1]), s), *p[1:]) for s, p in parts if p[0] == "ranges"]
-        ctx = [(s, p[1:]) for s, p in parts if p[0] == "context"]
-        if ctx:
-            h, place, number, ids, doc, start = (np.concatenate([p[k] for _, p in ctx]) for k in range(6))
-            place, number, doc = place.astype(np.int64), number.astype(np.int64), doc.astype(np.int64)
-            shard = np.repeat([s for s, _ in ctx], [len(p[0]) for _, p in ctx])
-            texts = []
-            for _, p in ctx:
-                ends = np.cumsum(p[2].astype(np.int64) + length - 1)
-                texts += [p[6][i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            by = np.lexsort((start, doc, shard, ids))
-            rank = np.empty(len(by), np.int64)
-            rank[by] = np.arange(len(by))
-            keys = [(texts[i], int(place[i])) for i in by.tolist()]
-            lead = _first_of(keys) == np.arange(len(keys))
-            gone = by[~lead]
-            res.append((shard[gone], doc[gone], start[gone], start[gone] + number[gone] + length - 1))
-            kept = by[lead]
-            r, w = covered(h[kept], place[kept], number[kept], [texts[i] for i in kept.tolist()], rank[kept], length, shallow)
-            r = kept[r]
-            res.append((shard[r], doc[r], start[r] + w, start[r] + w + length))
+        out = []
+        claims = [(s, p[1:]) for s, p in parts if p[0] == "claim"]
+        if claims:
+            shard, h, digest, place, number, ids, doc, start = _together(claims, 4)
+            by = np.lexsort((start, doc, shard, ids, digest, h))
+            new = np.ones(len(by), bool)
+            new[1:] = (h[by][1:] != h[by][:-1]) | (digest[by][1:] != digest[by][:-1])
+            gone, lead = by[~new], by[new]
+            end = start + number.astype(np.int64) + length - 1
+            res.append((shard[gone], doc[gone], start[gone], end[gone]))
+            same = h[lead][1:] == h[lead][:-1]
+            ask = lead[np.append(same, False) | np.insert(same, 0, False)]
+            for s, x in _by_shard(shard[ask]):
+                x = ask[x]
+                out.append((bucket, s, 1, _pack(h[x], place[x], number[x], _small(ids[x]), _small(doc[x]), _small(start[x]))))
         strings = [(s, p[1:]) for s, p in parts if p[0] == "string"]
         if strings:
-            pairs, ids, doc, at = (np.concatenate([p[k] for _, p in strings]) for k in range(4))
-            shard = np.repeat([s for s, _ in strings], [len(p[1]) for _, p in strings])
-            doc = doc.astype(np.int64)
+            shard, pairs, ids, doc, at = _together(strings, 1)
             o = np.lexsort((at, doc, shard, ids, pairs[:, 1], pairs[:, 0]))
-            same = (pairs[o][1:] == pairs[o][:-1]).all(axis=1)
-            r = o[1:][same]
-            res.append((shard[r], doc[r], at[r], at[r] + length))
-        shard, doc, lo, hi = (np.concatenate([r[k] for r in res]).astype(np.int64) for k in range(4))
-        out = []
-        o = np.argsort(shard, kind="stable")
-        u, first = np.unique(shard[o], return_index=True)
-        for s, x in zip(u.tolist(), np.split(o, first[1:])):
-            out += _ranges(bucket, s, doc[x], lo[x], hi[x])
-        return out
+            again = o[1:][(pairs[o][1:] == pairs[o][:-1]).all(axis=1)]
+            res.append((shard[again], doc[again], at[again], at[again] + length))
+        return out + [(k, s, 0, p) for k, s, p in _for_shards(bucket, res)]
+
+    def run(batches):
+        for bucket, shards, data in _by_bucket(batches):
+            rows = one(bucket, shards, data)
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
+                                             names=["bucket", "shard", "called", "payload"])
+
+    return run
+
+
+def _for_shards(bucket: int, res: list[tuple]) -> list[tuple]:
+    """Ranges (shard, row, from, to) as a message for each shard."""
+    if not res:
+        return []
+    shard, doc, lo, hi = (np.concatenate([r[k] for r in res]).astype(np.int64) for k in range(4))
+    return [m for s, x in _by_shard(shard) for m in _ranges(bucket, s, doc[x], lo[x], hi[x])]
+
+
+def _contexts(length: int):
+    """Shards with calls -> the bytes called for."""
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                if not row["calls"]:
+                    continue
+                data, off = _text(row)
+                raw, out = data.tobytes(), []
+                for call in row["calls"]:
+                    h, place, number, ids, doc, start = _unpack(call["payload"])
+                    at = off[_large(doc)] + _large(start)
+                    text = b"".join([raw[i:j] for i, j in zip(at.tolist(), (at + number + length - 1).tolist())])
+                    out.append((call["bucket"], row["shard"], _pack(h, place, number, ids, doc, start, text)))
+                yield _batch(out)
+
+    return run
+
+
+def _sorted_out(length: int, shallow: int):
+    """Buckets of contexts -> covered ranges for the shards."""
+    def one(bucket: int, shards: list[int], data: list[bytes]) -> list[tuple]:
+        parts = [(s, _unpack(d)) for s, d in zip(shards, data)]
+        shard, h, place, number, ids, doc, start = _together([(s, p[:6]) for s, p in parts], 3)
+        place, number = place.astype(np.int64), number.astype(np.int64)
+        texts = []
+        for _, p in parts:
+            ends = np.cumsum(p[2].astype(np.int64) + length - 1)
+            texts += [p[6][i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        by = np.lexsort((start, doc, shard, ids))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        r, w = covered(h, place, number, texts, rank, length, shallow)
+        return _for_shards(bucket, [(shard[r], doc[r], start[r] + w, start[r] + w + length)])
 
     def run(batches):
         for bucket, shards, data in _by_bucket(batches):
@@ -493,6 +563,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return texts.join(got, "shard", "left")  # what belongs to one shard
 
     codes = deal(hashed, ["bucket"]).mapInArrow(_repeated, _MESSAGE)
-    found = to_shards(codes, "codes", "bucket", "payload").mapInArrow(_contexts(n, length, gram), _MESSAGE)
-    ranges = deal(found, ["bucket"]).mapInArrow(_sorted_out(length, shallow), _MESSAGE)
-    return to_shards(ranges, "ranges", "payload").mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    claims = to_shards(codes, "codes", "bucket", "payload").mapInArrow(_claims(n, length, gram), _MESSAGE)
+    judged = cut(deal(claims, ["bucket"]).mapInArrow(_doubts(length), "bucket int, shard long, called int, payload binary"), "suffix-doubts")
+    called = to_shards(judged.where("called = 1"), "calls", "bucket", "payload").mapInArrow(_contexts(length), _MESSAGE)
+    ranges = deal(called, ["bucket"]).mapInArrow(_sorted_out(length, shallow), _MESSAGE)
+    every = judged.where("called = 0").select("shard", "payload").unionByName(ranges.select("shard", "payload"))
+    return to_shards(every, "ranges", "payload").mapInArrow(_cut_out, "id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -79,16 +79,26 @@ def local(rows, n, gram, shallow, buckets=3):
         texts.append({"shard": shard, "text": S.zstandard.ZstdCompressor().compress(data.tobytes()), "offsets": off.astype("<i8").tobytes(),
                       "ids": b.column(0).to_pylist()})
         u, c = np.unique(S.anchors(data, off, n, gram)[0], return_counts=True)
-        hashes += [(k, shard, S._pack(u[i:j], c[i:j].astype(np.uint32))) for k, i, j in S._parts(S._bucket(u, buckets))]
+        low, c = (u & np.uint64(0xFFFFFFFF)).astype(np.uint32), c.astype(np.uint16)
+        hashes += [(k, shard, S._pack(low[i:j], c[i:j])) for k, i, j in S._parts(S._bucket(u, buckets))]
     hashes.sort(key=lambda x: x[:2])
     codes = by(S._repeated([S._batch(hashes)]), "shard")[1]
-    schema = pa.schema([("shard", pa.int64()), ("text", pa.binary()), ("offsets", pa.binary()), ("ids", pa.list_(pa.int64())),
-                        ("codes", pa.list_(pa.struct([("bucket", pa.int32()), ("payload", pa.binary())])))])
-    rec = [t | {"codes": [{"bucket": c["bucket"], "payload": c["payload"]} for c in codes.get(t["shard"], [])]} for t in texts]
-    found = by(S._contexts(buckets, n, gram)([pa.RecordBatch.from_pylist(rec, schema=schema)]), "bucket")[0]
-    sent = [(r["bucket"], r["shard"], r["payload"]) for r in found]
+    schema = pa.schema([("shard", pa.int64()), ("text", pa.binary()), ("offsets", pa.binary()), ("ids", pa.list_(pa.int64()))])
+    messages = pa.list_(pa.struct([("bucket", pa.int32()), ("payload", pa.binary())]))
+
+    def joined(name, found):
+        rec = [t | {name: [{"bucket": c["bucket"], "payload": c["payload"]} for c in found.get(t["shard"], [])]} for t in texts]
+        return pa.RecordBatch.from_pylist(rec, schema=schema.append(pa.field(name, messages)))
+
+    def sent(batches):
+        return [S._batch([(r["bucket"], r["shard"], r["payload"]) for r in by(batches, "bucket")[0]])]
+
+    judged = by(S._doubts(n)(sent(S._claims(buckets, n, gram)([joined("codes", codes)]))), "called")[1]
+    calls = {}
+    for r in judged.get(1, []):
+        calls.setdefault(r["shard"], []).append(r)
     ranges = {}
-    for r in [x for b in S._sorted_out(n, shallow)([S._batch(sent)]) for x in b.to_pylist()]:
+    for r in judged.get(0, []) + [x for b in S._sorted_out(n, shallow)(sent(S._contexts(n)([joined("calls", calls)]))) for x in b.to_pylist()]:
         ranges.setdefault(r["shard"], []).append(r["payload"])
     schema = pa.schema([*list(schema)[:4], ("ranges", pa.list_(pa.binary()))])
     rec = [t | {"ranges": ranges.get(t["shard"])} for t in texts]
