@@ -115,6 +115,10 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _low(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def _parts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of the runs of an ascending array."""
     heads = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -317,12 +321,12 @@ def _to_shards(docs: DataFrame, n_buckets: int, length: int, gram: int) -> DataF
         types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         for b in (p for batch in batches for p in pieces(batch, 1, SHARD_BYTES)):
             data, off = buffer(b.column(1))
-            packed = zstandard.ZstdCompressor(level=1).compress(data.tobytes())
+            packed = zstandard.ZstdCompressor(level=3).compress(data.tobytes())
             cols = [[shard], [-1], [None], [packed], [off.astype("<i8").tobytes()], [b.column(0).to_pylist()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
             u, n = np.unique(anchors(data, off, length, gram)[0], return_counts=True)
             # the lower half of a hash tells the hashes of a bucket apart, but for a few that go on for nothing
-            low, n = (u & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(n, 0xFFFF).astype(np.uint16)
+            low, n = _low(u), np.minimum(n, 0xFFFF).astype(np.uint16)
             out = [(shard, k, _pack(low[i:j], n[i:j])) for k, i, j in _parts(_bucket(u, n_buckets))]
             if out:
                 s, k, p = zip(*out)
@@ -372,11 +376,11 @@ def _claims(n_buckets: int, length: int, gram: int):
         out = []
         plain = np.flatnonzero(code[kept] == 1)
         plain = plain[np.argsort(h[kept[plain]], kind="stable")]
-        # 64 bits beside the 64 of the anchor's hash
+        # 64 bits beside the lower half of the anchor's hash and its bucket
         digest = np.frombuffer(b"".join([hashlib.blake2b(texts[x][0] + bytes([texts[x][1]]), digest_size=8).digest() for x in plain.tolist()]), "<u8")
         for k, i, j in _parts(_bucket(h[kept[plain]], n_buckets)):
             part = kept[plain[i:j]]
-            out.append((k, row["shard"], _pack("claim", h[part], digest[i:j], place[part].astype(np.uint8), number[part].astype(np.uint8),
+            out.append((k, row["shard"], _pack("claim", _low(h[part]), digest[i:j], place[part].astype(np.uint8), number[part].astype(np.uint8),
                                                _small(ids[doc[part]]), _small(doc[part]), _small(start[part] - off[doc[part]]))))
         hot = np.flatnonzero(code[kept] == 2)
         if len(hot):  # a hot anchor's strings, by their own digests
@@ -498,7 +502,7 @@ def _sorted_out(length: int, shallow: int):
         by = np.lexsort((start, doc, shard, ids))
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
-        r, w = covered(h, place, number, texts, rank, length, shallow)
+        r, w = covered(h.astype(np.uint64), place, number, texts, rank, length, shallow)
         return _for_shards(bucket, [(shard[r], doc[r], start[r] + w, start[r] + w + length)])
 
     def run(batches):
