@@ -1,2 +1,2 @@
 """Imports every query module so that all keys are registered."""
-from . import q_findings, q_more, q_normalize, q_ops, q_scan  # noqa: F401
+from . import q_findings, q_fleet, q_more, q_normalize, q_ops, q_scan  # noqa: F401
