@@ -24,11 +24,12 @@ of millions of rows ships one partial row per task), stage B gathers at most
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogs as C
 from ..functions import columns as X
+from .numbering import positions
 
 # FIXED VALUES: the order in which the kinds of sources are merged, and the tools of each
 SOURCE_ORDER = ["detector", "opengrep", "package-audit", "osv-scanner", "extra", "partial"]
@@ -69,15 +70,59 @@ def _first_nonempty(c: str):
 
 
 def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_references: bool = True,
-                spread: bool = False) -> DataFrame:
+                spread: bool = False, counts: dict[str, Column] | None = None) -> DataFrame:
     """Input: canonical findings with ``seq`` (any orderable column, unique per
     group). Output: one row per (group, dedup_key) with ``sources`` (sorted),
-    ``duplicate_count`` and ``first_seq``.
+    ``duplicate_count`` and ``first_seq``. ``counts`` adds, by name, how many of a
+    key's findings meet a condition.
+
+    ``with_references`` gathers all references of a key into its row; for keys with
+    very many there is ``reference_rows``.
 
     ``spread`` deals the rows out by a hash of their content first, for an input
     of few splits (keys are derived before the first shuffle); it is up to the
     caller and never guessed.
     """
+    f, out = _fold(findings, group_cols, spread, counts or {})
+    g = list(group_cols)
+    if with_references:
+        refs = (_first_references(f, g).groupBy(*g, "dedup_key")
+                .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ref"))), lambda r: r["ref"]).alias("_refs_by_first")))
+        out = (out.join(refs, [*g, "dedup_key"], "left")
+               .withColumn("references", F.array_distinct(F.filter(
+                   F.concat(F.col("_rrefs"), F.coalesce("_refs_by_first", F.array().cast("array<string>"))),
+                   lambda r: X.nonempty(r))))
+               .drop("_refs_by_first"))
+    else:
+        out = out.withColumn("references", F.array_distinct(F.filter("_rrefs", lambda r: X.nonempty(r))))
+    return out.drop("_rrefs")
+
+
+def _first_references(f: DataFrame, g: list[str]) -> DataFrame:
+    """(group, dedup_key, ref, at): where each reference of a key stands first, by
+    finding and place in its list; partial minimums, nothing is gathered."""
+    return (f.select(*g, "dedup_key", "seq", F.posexplode("references").alias("i", "ref")).where(X.nonempty("ref"))
+            .groupBy(*g, "dedup_key", "ref").agg(F.min(F.struct("seq", "i")).alias("at")))
+
+
+def reference_rows(findings: DataFrame, group_cols: tuple = ("repo_id",), spread: bool = False) -> DataFrame:
+    """(group, dedup_key, position, reference): the references of the merged findings, a
+    row for each, in the order of ``deduplicate``'s array: those of the findings that
+    became primary, the last one first, then all by their first place. A key may have any
+    number of them: positions come from prefix sums over a range partition."""
+    f, out = _fold(findings, group_cols, spread, {})
+    g = list(group_cols)
+    lead = (out.select(*g, "dedup_key", F.posexplode("_rrefs").alias("lead", "ref")).where(X.nonempty("ref"))
+            .groupBy(*g, "dedup_key", "ref").agg(F.min("lead").alias("lead")))
+    every = _first_references(f, g).join(lead, [*g, "dedup_key", "ref"], "left")
+    # what no primary holds comes behind, by its first place
+    rank = [F.coalesce("lead", F.lit((1 << 31) - 1)).alias("lead"), F.when(F.col("lead").isNull(), F.col("at")).alias("at")]
+    rows = positions(every.select(*g, "dedup_key", F.col("ref").alias("reference"), *rank), [F.col("lead"), F.col("at")], (*g, "dedup_key"))
+    return rows.select(*g, "dedup_key", "position", "reference")
+
+
+def _fold(findings: DataFrame, group_cols: tuple, spread: bool, counts: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(findings with their keys, merged findings with the primaries' references ``_rrefs``)."""
     g = list(group_cols)
     f = _with_defaults(findings)
     if spread:
@@ -101,6 +146,7 @@ def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_refe
         F.min(F.when(F.col("_tool") == 0, F.col("seq"))).alias("first_det"),
         F.min(F.when(F.col("_tool") == 1, F.col("seq"))).alias("first_tool"),
         _first_nonempty("source").alias("first_source"),
+        *[F.count_if(c).alias(f"n_{n}") for n, c in counts.items()],
         *[_first_nonempty(c).alias(f"first_{c}") for c in TEXT_FALLBACKS])
     # stage B: per group - at most 60 rows per group arrive here. The fold is an
     # aggregate output (later filters cannot inline it) and runs over a narrow
@@ -152,6 +198,7 @@ def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_refe
         F.sum("cnt").alias("duplicate_count"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("srcs")))).alias("sources"),
         fs.alias("first_source"),
+        *[F.sum(f"n_{n}").alias(n) for n in counts],
         *[F.min(f"first_{c}").alias(f"first_{c}") for c in TEXT_FALLBACKS])
     cs = F.col("_cands")
     p = cs[F.col("_st.p")]
@@ -165,37 +212,25 @@ def deduplicate(findings: DataFrame, group_cols: tuple = ("repo_id",), with_refe
     cols += [p[c].alias(c) for c in PRIMARY_FIELDS if c != "confidence"]
     cols += [F.when(has_both, F.lit("CONFIRMED")).otherwise(p["confidence"]).alias("confidence"),
              F.coalesce(at(F.col("_st.rs"), "source"), first_src["v"]).alias("source"),
-             "sources", "duplicate_count",
+             "sources", "duplicate_count", *counts,
              F.flatten(F.transform(F.col("_st.reps"), lambda i: cs[i]["refs"])).alias("_rrefs"),
              cs[0]["seq"].alias("first_seq"),
              p["seq"].alias("primary_seq")]
     cols += [F.coalesce(at(F.col(f"_st.r_{c}"), c), F.col(f"first_{c}.v")).alias(c) for c in TEXT_FALLBACKS]
-    out = out.select(*cols)
-    if with_references:
-        refs = (f.select(*g, "dedup_key", "seq", F.explode("references").alias("ref"))
-                .where(X.nonempty("ref"))
-                .groupBy(*g, "dedup_key", "ref").agg(F.min("seq").alias("rseq"))
-                .groupBy(*g, "dedup_key")
-                .agg(F.transform(F.array_sort(F.collect_list(F.struct("rseq", "ref"))), lambda r: r["ref"])
-                     .alias("_refs_by_first")))
-        out = (out.join(refs, [*g, "dedup_key"], "left")
-               .withColumn("references", F.array_distinct(F.filter(
-                   F.concat(F.col("_rrefs"), F.coalesce("_refs_by_first", F.array().cast("array<string>"))),
-                   lambda r: X.nonempty(r))))
-               .drop("_refs_by_first"))
-    else:
-        out = out.withColumn("references", F.array_distinct(F.filter("_rrefs", lambda r: X.nonempty(r))))
-    return out.drop("_rrefs")
+    return f, out.select(*cols)
 
 
 def origin_breakdown(deduped: DataFrame, group_cols: tuple = ("repo_id",)) -> DataFrame:
-    """``agg_origin``: findings per distinct source, plus confirmed and total."""
+    """``agg_origin``: findings per distinct source, plus confirmed and total. One pass:
+    every finding also counts under a null source, the group's total."""
     g = list(group_cols)
     srcs = F.when(F.size(F.coalesce("sources", F.array())) > 0, F.array_distinct("sources")).otherwise(
         F.array(X.finding_source("source")))
-    f = deduped.withColumn("_srcs", srcs)
-    per = (f.select(*g, F.explode("_srcs").alias("source")).groupBy(*g, "source").agg(F.count(F.lit(1)).alias("count")))
-    tot = f.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if((F.upper(X.s("confidence")) == "CONFIRMED") | (F.size("_srcs") > 1)).alias("confirmed"))
-    return per.join(tot, g).withColumn("label", X.source_label("source"))
+    f = deduped.select(*g, srcs.alias("_srcs"), ((F.upper(X.s("confidence")) == "CONFIRMED") | (F.size(srcs) > 1)).alias("_sure"))
+    per = (f.select(*g, "_sure", F.explode(F.concat("_srcs", F.array(F.lit(None).cast("string")))).alias("source"))
+           .groupBy(*g, "source").agg(F.count(F.lit(1)).alias("count"), F.count_if("_sure").alias("_confirmed")))
+    whole = F.col("source").isNull()
+    over = Window.partitionBy(*g)  # a row for each source
+    per = per.withColumn("total", F.max(F.when(whole, F.col("count"))).over(over)).withColumn(
+        "confirmed", F.max(F.when(whole, F.col("_confirmed"))).over(over))
+    return per.where(~whole).drop("_confirmed").withColumn("label", X.source_label("source"))

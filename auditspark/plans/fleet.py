@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from ..functions import catalogs as C
 from ..functions import columns as X
 from ..operators import corroborate as D
+from ..operators import ignore_rules as IG
 from ..operators import normalize as N
 from ..operators import reports as R
 from ..operators import scan as S
 from ..operators import sinks as K
 from ..operators import suppress as SP
 from ..rules.catalogue import Rule, builtin_rules
-from ..session import checkpoint_dir
+from ..session import materialize
 from ..sources import files as FS
 from ..sources.partials import valid_partials
 
@@ -60,13 +61,12 @@ def merge_findings(spark: SparkSession, files: DataFrame, reports: DataFrame | N
         tools = N.normalize_all(reports)
         names = [t for k in D.SOURCE_ORDER for t in D.SOURCE_TOOLS[k]]
         rank = X.lookup({t: i for i, t in enumerate(names)}, F.col("source"), len(names))
-        number = F.regexp_extract("id", "(\\d+)$", 1).cast("bigint")
         for kind in ("opengrep", "package-audit", "osv-scanner", "extra"):
             mine = F.col("source").isin(*D.SOURCE_TOOLS[kind])
             if kind == "extra":  # and those of normalisers that users registered
                 mine = ~F.col("source").isin(*[t for k in D.SOURCE_ORDER if k != kind for t in D.SOURCE_TOOLS[k]])
             parts[kind] = tools.where(mine)
-            order[kind] = _order(tool=rank, run_id=F.col("run_id"), name=F.col("source"), ordinal=number)
+            order[kind] = _order(tool=rank, run_id=F.col("run_id"), name=F.col("source"), ordinal=F.col("ordinal"))
     if partials is not None:
         parts["partial"] = valid_partials(partials)
         order["partial"] = _order(run_id=F.col("run_id"), name=F.col("file_name"), ordinal=F.col("ordinal"))
@@ -76,15 +76,15 @@ def merge_findings(spark: SparkSession, files: DataFrame, reports: DataFrame | N
 
 def run(spark: SparkSession, files: DataFrame, reports: DataFrame | None = None, baseline: DataFrame | None = None,
         ignore_patterns: list[str] | None = None, rules: list[Rule] | None = None, checkpoint: bool = True,
-        partials: DataFrame | None = None, spread: bool = False) -> FleetResult:
-    merged = merge_findings(spark, files, reports, partials, rules, spread)
-    patterns = list(C.DEFAULT_IGNORE_PATTERNS) + list(ignore_patterns or [])
-    merged = merged.withColumn("suppressed", SP.is_ignored(SP.ignore_path("file"), patterns))
+        partials: DataFrame | None = None, spread: bool = False, ignore_files: DataFrame | None = None) -> FleetResult:
+    """``ignore_patterns`` hold for all repositories; each repository's own ignore file,
+    read from ``ignore_files`` (repo_id, content) or else from ``files``, comes behind them."""
+    own = ignore_files if ignore_files is not None else IG.ignore_files(files)
+    merged = IG.flag_ignored(merge_findings(spark, files, reports, partials, rules, spread), IG.rules(own), ignore_patterns)
     merged = SP.flag_baseline(merged, baseline) if baseline is not None else \
         SP.with_fingerprint(merged).withColumn("known", F.lit(False))
     if checkpoint:
-        checkpoint_dir(spark)
-        merged = merged.checkpoint(eager=True)
+        merged = materialize(merged)
     suppressed = merged.where("suppressed").drop("suppressed", "known")
     kept = merged.where("not suppressed")
     new, known = kept.where("not known").drop("suppressed", "known"), kept.where("known").drop("suppressed", "known")

@@ -10,6 +10,7 @@ from ..operators import corroborate as D
 from ..operators import normalize as N
 from ..operators import reports as R
 from ..operators import suppress as SP
+from ..operators.numbering import positions
 from ..sources import bindings as B
 from . import sqlfrag as Q
 from .registry import register
@@ -33,7 +34,9 @@ def final(spark, sf):
 
 # ---------------------------------------------------------------- oracle side
 
-def _fold_sql() -> str:
+def _fold_sql(table: str = "t_findings", refs: str | None = None) -> str:
+    """The sequential fold, finding by finding in the order of ``seq``; with ``refs``, also
+    the references in the order in which the merges put them (repeats included)."""
     cr = lambda e: Q.confidence_rank(e)
     fs = lambda e: Q.finding_source(e)
     repl = (f"(x.sev_r > c.sev_r OR (x.sev_r = c.sev_r AND ({cr('x.conf')} > {cr('c.conf')} OR "
@@ -45,15 +48,16 @@ def _fold_sql() -> str:
            f"ELSE (CASE WHEN {Q.nonempty('c.src')} THEN c.src ELSE x.src END) END")
     body = ", ".join([f"{f_} := CASE WHEN {repl} THEN x.{f_} ELSE c.{f_} END" for f_ in fields] + [
         f"conf := CASE WHEN {both} THEN 'CONFIRMED' WHEN {repl} THEN x.conf ELSE c.conf END",
-        f"src := {src}", f"srcs := {srcs}", "cnt := c.cnt + 1", "first_seq := c.first_seq"])
+        f"src := {src}", f"srcs := {srcs}", "cnt := c.cnt + 1", "first_seq := c.first_seq"] + ([
+            f"refs := CASE WHEN {repl} THEN list_concat(x.refs, c.refs) ELSE list_concat(c.refs, x.refs) END"] if refs else []))
     elem = (f"struct_pack(sev_r := {Q.severity_rank('severity')}, severity := severity, category := category, "
             f"name := name, file := file, line := line, cwe := cwe, pseq := seq, conf := confidence, src := source, "
-            f"srcs := [{fs('source')}], cnt := CAST(1 AS BIGINT), first_seq := seq)")
+            f"srcs := [{fs('source')}], cnt := CAST(1 AS BIGINT), first_seq := seq" + (f", refs := {refs})" if refs else ")"))
     return f"""SELECT repo_id, dedup_key, r.severity, r.category, r.name, r.file, r.line, r.cwe, r.conf AS confidence,
-  r.src AS source, list_sort(r.srcs) AS sources, r.cnt AS duplicate_count, r.first_seq, r.pseq AS primary_seq
+  r.src AS source, list_sort(r.srcs) AS sources, r.cnt AS duplicate_count, r.first_seq, r.pseq AS primary_seq{", r.refs" if refs else ""}
 FROM (SELECT repo_id, dedup_key, list_reduce(xs, lambda c, x: struct_pack({body})) AS r
       FROM (SELECT repo_id, {Q.dedup_key()} AS dedup_key, list({elem} ORDER BY seq) AS xs
-            FROM t_findings GROUP BY ALL))"""
+            FROM {table} GROUP BY ALL))"""
 
 
 def ignore_sql(col: str, patterns: list[str]) -> str:
@@ -520,15 +524,14 @@ def top_files(spark, sf):
                                                 F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("srt_findings_index", sqlv("""SELECT repo_id, dedup_key, CAST(CASE severity WHEN 'CRITICAL' THEN 0
-  WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 WHEN 'INFO' THEN 4 ELSE 5 END AS INT) AS sev_pos
-FROM t_final""", True))
+@register("srt_findings_index", sqlv("""SELECT repo_id, dedup_key, sev_pos, row_number() OVER (ORDER BY repo_id, sev_pos, first_seq) AS rank
+FROM (SELECT *, CAST(CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 WHEN 'INFO' THEN 4 ELSE 5 END AS INT) AS sev_pos
+  FROM t_final)""", True))
 def srt_findings_index(spark, sf):
-    """Report order (severity, unknown last, then arrival) as a distributed
-    range sort - no per-repository window, so a huge repository is split."""
-    f = final(spark, sf).select("repo_id", "dedup_key", R.sev_order("severity").cast("int").alias("sev_pos"),
-                                "first_seq")
-    return f.orderBy("repo_id", "sev_pos", "first_seq").drop("first_seq")
+    """Report order (severity, unknown last, then arrival) with the rank of every
+    finding, from a range partition: no per-repository window, so a huge repository is split."""
+    f = final(spark, sf).select("repo_id", "dedup_key", R.sev_order("severity").cast("int").alias("sev_pos"), "first_seq")
+    return positions(f, [F.col("repo_id"), F.col("sev_pos"), F.col("first_seq")], name="rank").drop("first_seq")
 
 
 # texts and lists beyond each limit of the reports, and within it

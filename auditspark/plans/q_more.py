@@ -12,6 +12,7 @@ from ..operators import sinks as K
 from ..operators import suppress as SP
 from ..operators import tools as T
 from ..rules.catalogue import builtin_rules
+from ..session import materialize
 from ..sources import bindings as B
 from ..sources.partials import load_partials
 from . import oracle_scan as OS
@@ -22,7 +23,7 @@ from . import sqlfrag as Q
 from .registry import register
 
 # ---------------------------------------------------------------- partial findings
-# Partial documents: one per (repo, run) of the opengrep rows, named by a reviewer.
+# Partial documents: one per (repo, run), named by a reviewer.
 REVIEWER = "CASE run_id % 4 WHEN 0 THEN 'auth' WHEN 1 THEN 'injection' WHEN 2 THEN 'bad name!' ELSE 'crypto' END"
 FILE_NAME = f"({REVIEWER} || '-' || CAST(run_id AS VARCHAR) || '.json')"
 ITEM = ("to_json(named_struct('severity', severity, 'category', category, 'name', name, 'description', "
@@ -32,8 +33,7 @@ ITEM = ("to_json(named_struct('severity', severity, 'category', category, 'name'
 
 
 def partial_docs(spark, sf):
-    f = B.spark_view(spark, sf, "t_findings").where(F.col("source") == "opengrep")
-    f = f.withColumn("_item", F.expr(ITEM))
+    f = B.spark_view(spark, sf, "t_findings").withColumn("_item", F.expr(ITEM))
     docs = (f.groupBy("repo_id", "run_id")
             .agg(F.array_sort(F.collect_list(F.struct("seq", "_item"))).alias("_xs"))
             .withColumn("_arr", F.concat(F.lit("["), F.array_join(F.transform("_xs", lambda x: x["_item"]), ","),
@@ -55,7 +55,7 @@ P_BASE = f"""SELECT *, {FILE_NAME} AS file_name, {REVIEWER} AS reviewer,
   CASE WHEN line % 5 = 0 THEN '' ELSE 'desc' END AS description,
   CASE WHEN line = 1 THEN 0 ELSE line END AS pline,
   CASE WHEN line % 7 = 0 THEN 'tool' ELSE 'subagent:' || {REVIEWER} END AS psource
-FROM t_findings WHERE source = 'opengrep'"""
+FROM t_findings"""
 P_VALID = "description <> '' AND pline >= 1 AND regexp_matches(psource, '(?i)^subagent:[a-z0-9][a-z0-9_-]*$')"
 
 
@@ -94,19 +94,20 @@ def _valid_partials(spark, sf):
 
 
 def _all_findings(spark, sf):
-    """Detector/tool findings (all but the opengrep rows, which became partials)
-    plus valid partials, with one common ordering key."""
-    t = B.spark_view(spark, sf, "t_findings").where(F.col("source") != "opengrep")
-    t = t.withColumn("seq", F.struct(F.lit(0).alias("r"), F.to_json("seq").alias("a"), F.lit(0).cast("bigint").alias("b")))
-    p = _valid_partials(spark, sf).withColumn(
-        "seq", F.struct(F.lit(1).alias("r"), F.col("file_name").alias("a"), F.col("ordinal").cast("bigint").alias("b")))
+    """Detector and tool findings plus valid partials, with one common ordering key."""
+    t = B.spark_view(spark, sf, "t_findings")
+    none = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    t = t.withColumn("seq", F.struct(F.lit(0).alias("r"), F.col("seq").alias("at"), none[0].alias("a"), none[1].alias("b")))
+    p = _valid_partials(spark, sf).withColumn("seq", F.struct(
+        F.lit(1).alias("r"), F.lit(None).cast(t.schema["seq"].dataType["at"].dataType).alias("at"), F.col("file_name").alias("a"),
+        F.col("ordinal").cast("bigint").alias("b")))
     cols = ["repo_id", "source", "file", "line", "severity", "confidence", "cwe", "category", "name", "seq"]
     return t.select(*cols).unionByName(p.select(*cols))
 
 
 SUB_KEYS = f"""SELECT repo_id, {Q.dedup_key('file', 'pline', 'cwe', 'category', 'name')} AS k FROM ({P_BASE})
   WHERE doc_ok AND {P_VALID}"""
-ALL_KEYS = f"""SELECT repo_id, {Q.dedup_key()} AS k, FALSE AS sub FROM t_findings WHERE source <> 'opengrep'
+ALL_KEYS = f"""SELECT repo_id, {Q.dedup_key()} AS k, FALSE AS sub FROM t_findings
   UNION ALL SELECT repo_id, k, TRUE FROM ({SUB_KEYS})"""
 
 
@@ -125,17 +126,13 @@ FROM (SELECT repo_id, count(*) AS partial_count, count(DISTINCT k) AS deduped_pa
 LEFT JOIN (SELECT repo_id, count(*) AS final_subagent_count FROM (SELECT repo_id, k FROM ({ALL_KEYS}) GROUP BY ALL
       HAVING bool_or(sub)) GROUP BY repo_id) f USING (repo_id)"""))
 def agg_reconcile(spark, sf):
-    p = _valid_partials(spark, sf).withColumn(
-        "seq", F.struct(F.col("file_name").alias("a"), F.col("ordinal").cast("bigint").alias("b")))
-    a = p.groupBy("repo_id").agg(F.count(F.lit(1)).alias("partial_count"))
-    dp = D.deduplicate(p.select("repo_id", "source", "file", "line", "severity", "confidence", "cwe", "category",
-                                "name", "seq"), with_references=False)
-    b = dp.groupBy("repo_id").agg(F.count(F.lit(1)).alias("deduped_partial_count"))
-    fin = D.deduplicate(_all_findings(spark, sf), with_references=False)
-    c = fin.where(T.has_subagent_evidence()).groupBy("repo_id").agg(F.count(F.lit(1)).alias("final_subagent_count"))
-    out = a.join(b, "repo_id").join(c, "repo_id", "left").withColumn(
-        "final_subagent_count", F.coalesce("final_subagent_count", F.lit(0)))
-    return out.withColumn("ok", F.col("deduped_partial_count") == F.col("final_subagent_count"))
+    """Partials against the final findings, from one fold: a key with partials counts
+    once as a partial key, and as a final finding if it kept their evidence."""
+    every = _all_findings(spark, sf)
+    fin = D.deduplicate(every, with_references=False, counts={"partials": F.col("seq.r") == 1})
+    out = fin.groupBy("repo_id").agg(F.sum("partials").alias("partial_count"), F.count_if(F.col("partials") > 0).alias("deduped_partial_count"),
+                                     F.count_if(T.has_subagent_evidence()).alias("final_subagent_count"))
+    return out.where("partial_count > 0").withColumn("ok", F.col("deduped_partial_count") == F.col("final_subagent_count"))
 
 
 # ---------------------------------------------------------------- ignore files
@@ -190,7 +187,7 @@ SEV_SQL = f"(CASE WHEN upper({Q.s('severity')}) IN ('CRITICAL','HIGH','MEDIUM','
 UNION ALL SELECT 'no findings here', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""", True))
 def snk_sarif_document(spark, sf):
     """The SARIF documents, read back: a row for each result, one for a clean repository."""
-    f = QF.final(spark, sf).withColumn("owasp", F.lit(None).cast("string"))
+    f = materialize(QF.final(spark, sf)).withColumn("owasp", F.lit(None).cast("string"))
     clean = B.spark_view(spark, sf, "t_findings").select(F.lit("no findings here").alias("repo_id")).distinct()
     docs = K.to_sarif(f, repos=clean)
     run = docs.select("repo_id", F.from_json("sarif_json", SARIF_DOC)["runs"][0].alias("run"))
@@ -209,7 +206,7 @@ def snk_sarif_document(spark, sf):
   source := f.source, score := s.score)) AS VARCHAR) AS finding_json FROM t_final f JOIN ({QF._score_sql()}) s USING (repo_id)""",
                                        True))
 def snk_findings_json(spark, sf):
-    f = QF.final(spark, sf)
+    f = materialize(QF.final(spark, sf))
     return K.findings_export(f.drop("id"), R.score(f, B.spark_view(spark, sf, "t_inventory")))
 
 
@@ -253,8 +250,8 @@ def _scope_counts():
 
 
 @register("jn_rule_scope", B.with_views(f"""SELECT repo_id, path, CAST({len([r for r in builtin_rules() if r.scope == 'secret'])}
-  + CASE WHEN is_minified THEN 0 ELSE {_scope_counts()[0]} + coalesce({Q.case_map('language', _scope_counts()[1], '0')}, 0)
-  + CASE WHEN kind IN ('config', 'baas') THEN {_scope_counts()[2]} ELSE 0 END END AS BIGINT) AS applicable_rules
+  + {_scope_counts()[0]} + coalesce({Q.case_map('language', _scope_counts()[1], '0')}, 0)
+  + CASE WHEN kind IN ('config', 'baas') THEN {_scope_counts()[2]} ELSE 0 END AS BIGINT) AS applicable_rules
 FROM scan_files""",
                                         OS.detect_ctes(builtin_rules())[:1]))
 def jn_rule_scope(spark, sf):
@@ -265,8 +262,8 @@ def jn_rule_scope(spark, sf):
     f = f.where(~F.col("is_binary") & ~F.col("is_empty"))
     n_secret = len([r for r in builtin_rules() if r.scope == "secret"])
     lang_n = X.lookup(per_lang, F.col("language"), 0)
-    n = F.lit(n_secret) + F.when(F.col("is_minified"), F.lit(0)).otherwise(
-        F.lit(general) + lang_n + F.when(F.col("kind").isin("config", "baas"), F.lit(n_cfg)).otherwise(F.lit(0)))
+    # as the scan's default, which tries all rules on minified files too
+    n = F.lit(n_secret) + F.lit(general) + lang_n + F.when(F.col("kind").isin("config", "baas"), F.lit(n_cfg)).otherwise(F.lit(0))
     return f.select("repo_id", "path", n.cast("bigint").alias("applicable_rules"))
 
 

@@ -12,6 +12,7 @@ from ..operators import scan as S
 from ..operators import suppress as SP
 from ..operators import tools as T
 from ..rules.dialect import to_java
+from ..operators.numbering import positions
 from ..sources import bindings as B
 from ..sources import files as FS
 from ..sources import reports as RS
@@ -374,13 +375,12 @@ def set_scan_files(spark, sf):
     return parts[0].union(parts[1]).union(parts[2]).distinct()
 
 
-@register("srt_files_root_first", B.with_views("SELECT DISTINCT repo_id, path, CAST(len(string_split(path, '/')) AS BIGINT) AS depth "
-                                               "FROM inv", _inventory_cte()))
+@register("srt_files_root_first", B.with_views("SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY depth, path) AS rank FROM (SELECT DISTINCT repo_id, "
+                                               "path, CAST(len(string_split(path, '/')) AS BIGINT) AS depth FROM inv)", _inventory_cte()))
 def srt_files_root_first(spark, sf):
-    inv = _inventory(spark, sf).select("repo_id", "path").distinct()
-    # a distributed range sort (no per-repo window), root-most first
-    return inv.select("repo_id", "path", F.size(F.split("path", "/")).cast("bigint").alias("depth")) \
-        .orderBy("repo_id", "depth", "path")
+    """The files of each repository, root-most first, with their rank; no per-repository window."""
+    inv = _inventory(spark, sf).select("repo_id", "path", F.size(F.split("path", "/")).cast("bigint").alias("depth")).distinct()
+    return positions(inv, [F.col("depth"), F.col("path")], ("repo_id",), "rank")
 
 
 def _inside_sql(p):
@@ -430,14 +430,16 @@ def prj_snippet(spark, sf):
     return lines.select("repo_id", "path", "line", X.snippet("text", F.expr(SNIP_MATCH)).alias("snippet"))
 
 
-SCRUB_SECRET = "regexp_extract(text, '[0-9a-f]{40}', 0)"
+# a token of 40 hex digits, else the second word (those of three letters and fewer are too short to be scrubbed)
+SCRUB_SECRET = ("CASE WHEN regexp_extract(text, '[0-9a-f]{40}', 0) <> '' THEN regexp_extract(text, '[0-9a-f]{40}', 0) "
+                "ELSE regexp_extract(text, '^[^ ]+ ([^ ]+)', 1) END")
 
 
 @register("prj_scrub", W(f"""SELECT repo_id, path, line, CASE WHEN length(sec) >= 4 THEN replace(text, sec, '[REDACTED]')
-  ELSE text END AS scrubbed FROM (SELECT *, {SCRUB_SECRET} AS sec FROM t_lines) WHERE sec <> ''"""))
+  ELSE text END AS scrubbed FROM (SELECT *, {SCRUB_SECRET} AS sec FROM t_lines)"""))
 def prj_scrub(spark, sf):
     from ..operators.normalize import scrub
-    lines = v(spark, sf, "t_lines").withColumn("sec", F.expr(SCRUB_SECRET)).where(F.col("sec") != "")
+    lines = v(spark, sf, "t_lines").withColumn("sec", F.expr(SCRUB_SECRET))
     return lines.select("repo_id", "path", "line", scrub(F.col("text"), F.col("sec")).alias("scrubbed"))
 
 

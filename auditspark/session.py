@@ -5,7 +5,9 @@ from ``spark.checkpoint.dir`` (set by the cluster); tests set their own.
 """
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,10 +46,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared lineage-cut folder: the cluster's ``spark.checkpoint.dir``.
 
     Raises where neither that setting nor the context names one: a folder of this
-    machine alone would be missing on the executors.
+    machine alone would be missing on the executors. Only a local session, whose
+    executors are this process, gets a folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d and spark.sparkContext.master.startswith("local["):
+        d = tempfile.mkdtemp(prefix="auditspark-shared-")
+        spark.conf.set("spark.checkpoint.dir", d)
     if not d:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared folder: what is read from it more than once
+    isn't planned again, and lost executors don't matter."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
