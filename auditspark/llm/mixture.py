@@ -9,6 +9,8 @@ one more epoch, in an order seeded for that epoch, the documents up to the budge
 """
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +24,15 @@ SALT = 16  # tasks over which the rows of a leaf are joined
 
 
 def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
-    out = F.lit(1)
-    for value, w in sorted(weights.get(level, {}).items()):
+    named = weights.get(level, {})
+    for value, w in named.items():
         if not 0 <= w <= MAX_WEIGHT or w != int(w):
             raise ValueError(f"weight of {level} {value!r} must be an integer from 0 to {MAX_WEIGHT}")
-        out = F.when(F.col(level) == value, F.lit(int(w))).otherwise(out)
-    return out.cast("long")
+    if not named:
+        return F.lit(1).cast("long")
+    # one constant, however many values are named
+    known = F.from_json(F.lit(json.dumps({v: int(w) for v, w in named.items()})), "map<string,bigint>")
+    return F.coalesce(F.try_element_at(known, F.col(level)), F.lit(1).cast("long"))
 
 
 def _share_out(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +23,7 @@ from .words import ALNUM, LOWER, NOT_SPACE, buffer, hashes, pieces, prefix_hashe
 
 DIMS = 1 << 20            # hashed weights of a trait
 SAMPLE = 12000            # documents that train the scorer at most
+SAMPLE_BYTES = 256 << 20  # and the bytes of their texts, but for the last one
 MIN_DOCS = 3              # documents of the sample that share a feature, for it to get a weight
 ANNOTATION_ERROR = 0.001  # rate of wrong annotations at most
 PREFIXES = (4, 5, 6)      # bytes of the word prefixes that are features beside the word
@@ -224,8 +226,10 @@ def _split(packed: int, annotated: dict[str, int]) -> dict[str, tuple[int, ...]]
     return {"junk": (*own[:5], annotated["junk"]), "toxic": (own[5], annotated["toxic"])}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """The model from all documents' votes and at most ``sample`` documents' words.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
+        sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """The model from all documents' votes and the words of at most ``sample``
+    documents (ids), whose texts have ``sample_bytes`` but for the last one.
 
     Texts that are null or empty abstain and train nothing. Rows of ``labels``
     with a null id are ignored; of contradicting rows of an id the worse counts;
@@ -235,14 +239,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches):
         for b in (p for batch in batches for p in pieces(batch, 1)):
             v = votes(*buffer(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.int32())], names=["id", "v"])
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.int32()), size], names=["id", "v", "size"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     lab = (labels.select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic").where("id is not null").groupBy("id")
            .agg(F.min("quality").alias("q"), F.max("toxic").alias("t")))
     vote = lambda c, bad: F.when(F.col(c).isNull(), 0).when(F.col(c) == bad, 2).otherwise(1)
-    narrow = src.mapInArrow(run, "id long, v int").join(lab, "id", "left")
-    narrow = cut(narrow.select("id", "v", vote("q", 0).alias("junk"), vote("t", 1).alias("toxic")), "weak-votes")
+    narrow = src.mapInArrow(run, "id long, v int, size long").join(lab, "id", "left")
+    narrow = cut(narrow.select("id", "v", "size", vote("q", 0).alias("junk"), vote("t", 1).alias("toxic")), "weak-votes")
     counts = narrow.groupBy("v", "junk", "toxic").count().collect()  # at most 3^8 patterns
     acc, prior, post = {}, {}, {}
     for trait in TRAITS:
@@ -256,7 +261,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = narrow.where("id is not null").withColumn("known", F.expr("junk > 0 and toxic > 0"))
     picked = some.where("known").orderBy(order, "id").limit(sample * 3 // 4).union(
         some.where("not known and v > 0").orderBy(order, "id").limit(sample - sample * 3 // 4))
-    picked = F.broadcast(picked.drop("known").dropDuplicates(["id"]))  # at most `sample` narrow rows
+    upto = Window.orderBy(order, "id", "v", "size").rowsBetween(Window.unboundedPreceding, -1)  # over at most `sample` narrow rows
+    picked = picked.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).where(F.col("before") < sample_bytes)
+    picked = F.broadcast(picked.drop("known", "size", "before").dropDuplicates(["id", "v"]))
 
     def take(batches):
         for b in (p for batch in batches for p in pieces(batch, 1)):
@@ -264,11 +271,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             at = np.searchsorted(key, np.arange(b.num_rows + 1) * DIMS)
             f = (key % DIMS).astype("<i4")
             packed = [f[i:j].tobytes() for i, j in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), *b.columns[2:]],
-                                             names=["id", "f", "v", "junk", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(votes(*buffer(b.column(1))), pa.int32())],
+                                             names=["id", "f", "v"])
 
-    rows = src.where("text is not null").join(picked, "id").select("id", "text", "v", "junk", "toxic")
-    got = rows.mapInArrow(take, "id long, f binary, v int, junk int, toxic int").toArrow().sort_by("id")
+    # of an id's rows one counts: the bound holds however often an id repeats
+    rows = src.where("text is not null").join(picked.select("id").distinct(), "id", "left_semi").mapInArrow(take, "id long, f binary, v int")
+    one = rows.join(picked, ["id", "v"]).groupBy("id").agg(F.min(F.struct("f", "v", "junk", "toxic")).alias("x"))
+    got = one.select("id", "x.*").toArrow().sort_by("id")
     df = np.zeros(DIMS, np.int32)
     for x in got.column("f"):
         df[np.frombuffer(x.as_buffer(), np.int32)] += 1

@@ -20,14 +20,26 @@ MIX_SHARE = 0.9   # of the tokens that are left, for the mixture
 N_SHARDS = 16
 
 
+SALTS = 16        # tasks over which the rows of one repeated id are joined
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a key column, and its name: the id, or for a row without one a
-    number above all ids. Such numbers must not change, so they are written."""
+    """``docs`` with a key that no two rows share, and its name: the id; a row without
+    one, and all but one of the rows of an id, have a number above all ids. Such numbers
+    must not change, so they are written."""
     key = free_name(docs, "key")
-    if docs.where("doc_id is null").isEmpty():
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("doc_id is null or n > 1").isEmpty():
         return docs.withColumn(key, F.col("doc_id").cast("long")), key
-    number = F.lit(1 << 62) + F.monotonically_increasing_id()
-    return cut(docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), number)), "keyed"), key
+    row, first, salt = (free_name(docs, n) for n in ("row", "first", "salt"))
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(text.alias("h"), F.col(row).alias("r"))).alias("m"))
+    again = again.where("n > 1").select("doc_id", F.col("m.r").alias(first), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias(salt))
+    rows = rows.withColumn(salt, F.pmod(F.col(row), F.lit(SALTS))).join(again, ["doc_id", salt], "left")
+    own = F.col("doc_id").isNotNull() & (F.col(first).isNull() | (F.col(first) == F.col(row)))
+    number = F.when(own, F.col("doc_id").cast("long")).otherwise(F.lit(1 << 62) + F.col(row))
+    return cut(rows.select(*[F.col(f"`{c}`") for c in docs.columns], number.alias(key)), "keyed"), key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,21 +51,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the row whose id names the component. Of
-    several rows with that id the one with the smallest text stays. A row without
-    an id yields to any with one; of a group without ids one row stays. Null and
-    empty texts form one group."""
+    """One document of each group: the row whose key names the component, that is one of
+    the smallest id. Rows are judged one by one, whether ids repeat or not; a row without
+    an id, and all but one of an id's rows, yield to the others. Null and empty texts
+    form one group."""
     rows, key = keyed(docs)
     groups = simhash_pivot.near_duplicates(rows, id_col=key, shingle=3, max_bits=2)
-    named = groups.where("id = component").select(F.col("id").alias(key)).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = rows.join(named, key, "left_semi").groupBy(key).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row"))
-    return kept.select("row.*")
+    named = groups.where("id = component").select(F.col("id").alias(key))
+    return rows.join(named, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word of any test item's windows. Rows of equal id go
-    together."""
+    """Documents without a word of any test item's windows, row by row."""
     rows, key = keyed(docs)
     found = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=key)
     bad = found.where("n_hit > 0").select(F.col("id").alias(key)).distinct()

@@ -88,3 +88,14 @@ def test_sources_without_a_number_have_no_domain(spark, tmp_path):
     got = op4_mixing_to_target_weights(spark, str(tmp_path)).collect()
     assert {(r.source, r.domain) for r in got} == {("web", "(none)"), ("", "(none)"), ("src" + "9" * 30, "(none)"), ("(none)", "(none)"), ("src5", "domain1")}
     assert sum(r.take_tokens for r in got) == 90
+
+
+def test_very_many_named_weights(spark):
+    weights = {"source": {f"s{i} \"'é": i % 5 for i in range(3000)}}
+    rows = [(i, "a b c d", "en", f"s{i % 6} \"'é") for i in range(600)] + [(700 + i, "a b", "en", "other") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    took = {}
+    for r in M.mix(df, F.lit("d"), 0.5, weights).collect():
+        took[r.source] = took.get(r.source, 0) + r["take"]
+    # 1200 of 2400 + 200 tokens by weights 1, 2, 3, 4 (a source has 400), and 1 for the one not named (200)
+    assert 's0 "\'é' not in took and took['s4 "\'é'] == 400 and took['s3 "\'é'] > took['s2 "\'é'] > took['s1 "\'é'] and sum(took.values()) == 1300

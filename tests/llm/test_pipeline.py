@@ -122,3 +122,23 @@ def test_mixing_stage_takes_sources_without_a_number(spark):
     docs = spark.createDataFrame([(i, "a b c", "en", odd[i % 5]) for i in range(50)], "doc_id long, text string, lang string, source string")
     out = P.mixed(spark, docs, "").collect()
     assert {r.source for r in out} == set(odd) and 45 <= len(out) <= 50
+
+
+def test_rows_of_one_id_are_judged_one_by_one(spark, tmp_path):
+    r = random.Random(3)
+    text = lambda: " ".join("w%d" % r.randint(0, 10**6) for _ in range(60))
+    leak = text()
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    one, two, long = text(), text(), " ".join("v%d" % i for i in range(120000))
+    rows = [(1, one), (1, two), (1, two), (2, leak), (2, one + " tail"), (None, leak + " x"), (None, text()), (4, long), (4, long + " end"), (5, None), (5, "")]
+    rows += [(7, text()) for _ in range(200)]  # a hot id, all texts different
+    docs = spark.createDataFrame([(*x, "en", "src1", 0) for x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    keys = [x[0] for x in P.keyed(docs)[0].select(P.keyed(docs)[1]).collect()]
+    assert len(set(keys)) == len(rows)
+    out = P.near_duplicates(spark, docs, str(tmp_path))
+    texts = {x.text or "" for x in out.collect()}
+    assert two in texts and (one in texts or one + " tail" in texts) and "" in texts
+    assert sum(x.doc_id == 7 for x in out.collect()) == 200 and (long in texts) != (long + " end" in texts)
+    clean = P.benchmark_free(spark, docs, str(tmp_path)).collect()
+    assert sorted((x.doc_id or 0, x.text or "") for x in clean) == sorted((i or 0, t or "") for i, t in rows if leak not in (t or ""))
+    assert len(P.mixed(spark, docs, str(tmp_path)).collect()) > 0

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from auditspark.llm import weak_quality as W
 from auditspark.llm import words
@@ -84,3 +85,18 @@ def test_odd_rows(spark):
     m = W.fit(empty_docs, labels.where("false"))
     assert W.score(empty_docs, m).collect() == []
     assert all(r._kept for r in W.score(docs, m).collect())
+
+
+def test_the_sample_is_bounded_in_documents_and_bytes(spark, monkeypatch):
+    docs, labels = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    often = df.unionByName(df.where("doc_id < 40").withColumn("text", F.concat("text", F.lit(" more"))).join(spark.range(30).select(), how="cross"))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    plain = W.fit_linear
+    monkeypatch.setattr(W, "fit_linear", lambda f, t: seen.append(len(f)) or plain(f, t))
+    W.fit(often, lab, sample=100)
+    assert 0 < max(seen) <= 100
+    seen.clear()
+    W.fit(df, lab, sample_bytes=20000)
+    assert 5 < max(seen) < 100
