@@ -147,11 +147,13 @@ def detect(spark: SparkSession, lines: DataFrame, rules: list[Rule] | None = Non
     """``scan_detect``: rule hits -> canonical detector findings with ids,
     redaction and the non-source downgrade."""
     rules = rules if rules is not None else builtin_rules()
-    return _finish(spark, rule_hits(lines, rules, use_guards, max_line, minified), rules)
+    return finish(spark, rule_hits(lines, rules, use_guards, max_line, minified), rules)
 
 
-def _finish(spark: SparkSession, hits: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Rule metadata, redaction/snippet, ids (repeat counter), non-source downgrade."""
+def finish(spark: SparkSession, hits: DataFrame, rules: list[Rule], repeat: Column | None = None) -> DataFrame:
+    """Rule metadata, redaction/snippet, ids (repeat counter), non-source downgrade.
+    ``repeat`` counts the findings of one rule and line, 0 for the first; by default it
+    is numbered by a window, which a stream has not."""
     meta = F.broadcast(rule_table(spark, rules))
     f = hits.join(meta, "rule_ord")
     code = (F.when(F.col("rule_pass") == 0, X.redact_match("match", "group1"))
@@ -166,7 +168,7 @@ def _finish(spark: SparkSession, hits: DataFrame, rules: list[Rule]) -> DataFram
     # carries the short code text, not the (possibly very long) source line
     f = (f.withColumn("_code", code).drop("text", "group1")
          .withColumn("_base_id", base_id)
-         .withColumn("_n", F.row_number().over(w) - 1)
+         .withColumn("_n", repeat if repeat is not None else F.row_number().over(w) - 1)
          .select(
              "repo_id",
              F.when(F.col("_n") > 0, F.concat_ws("_", "_base_id", F.col("_n").cast("string")))
@@ -248,4 +250,4 @@ def detect_distinct_content(spark: SparkSession, files: DataFrame, rules: list[R
     hits = rule_hits(lines, rules).drop("path", "kind")
     paths = f.select("repo_id", "path", "depth", *ctx)
     joined = hits.join(paths, ctx).drop("content_sha", "_cfg", "_ns")
-    return _finish(spark, joined, rules)
+    return finish(spark, joined, rules)

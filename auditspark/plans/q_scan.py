@@ -151,13 +151,19 @@ def src_file_inventory(spark, sf):
     return FS.file_inventory(B.spark_view(spark, sf, "t_files"))
 
 
-@register("src_read_text", B.with_views(
-    "SELECT repo_id, path, strpos(content, chr(0)) > 0 AS is_binary, "
-    "content = '' AS is_empty, CAST(length(content) AS BIGINT) AS n_chars FROM t_files"))
+# Bodies as bytes: as they are, with a NUL, with bytes that are no UTF-8 at the start or cut off at the end, and none at all
+_BODY = """CASE doc_id % 6 WHEN 0 THEN CAST(content AS BINARY) WHEN 1 THEN concat(CAST(content AS BINARY), unhex('00'), unhex('41'))
+  WHEN 2 THEN concat(unhex('C328FF'), CAST(content AS BINARY)) WHEN 3 THEN concat(CAST(content AS BINARY), unhex('E282'))
+  WHEN 4 THEN unhex('') ELSE NULL END"""
+
+
+@register("src_read_text", B.with_views("""SELECT repo_id, path, doc_id % 6 IN (1, 5) AS is_binary, t = '' AS is_empty, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest
+FROM (SELECT *, CASE doc_id % 6 WHEN 0 THEN content WHEN 2 THEN chr(65533) || '(' || chr(65533) || content WHEN 3 THEN content || chr(65533) WHEN 4 THEN '' END AS t FROM t_files)"""))
 def src_read_text(spark, sf):
-    f = FS.read_text(B.spark_view(spark, sf, "t_files"))
+    """Bodies of files as bytes: binary ones told apart, the others as valid text."""
+    f = FS.read_text(B.spark_view(spark, sf, "t_files").withColumn("content", F.expr(_BODY)))
     return f.select("repo_id", "path", "is_binary", (F.col("content") == "").alias("is_empty"),
-                    F.length("content").cast("bigint").alias("n_chars"))
+                    F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("digest"))
 
 
 @register("prj_minified", B.with_views(

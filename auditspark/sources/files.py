@@ -7,12 +7,15 @@ discovery globs at plan time; nothing is read twice.
 """
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalogs as C
 from ..functions import columns as X
 from ..rules.dialect import glob_to_regex
+from ..session import materialize
 
 
 def _any_depth(patterns: list[str]) -> str:
@@ -77,36 +80,64 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri.rstrip("/"))
 
 
-_LISTED = "path string, length long, is_dir boolean"
+_LISTED = "path string, length long, is_dir boolean, error string"
 
 
-def _list_folders(root: str, recursive: bool):
-    """Folders (relative to ``root``) -> what lies in them, names of all kinds."""
+def _list_folders(root: str):
+    """Folders (relative to ``root``) -> what lies in each, names of all kinds; a folder
+    that can't be listed -> one row that says why."""
     def run(batches):
         import pyarrow as pa
         from pyarrow import fs as pfs
         fs, base = _file_system(root)
+        local = isinstance(fs, pfs.LocalFileSystem)
         for b in batches:
             for folder in b.column("path").to_pylist():
-                top = f"{base}/{folder}".rstrip("/")
-                found = fs.get_file_info(pfs.FileSelector(top, recursive=recursive))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f.path[len(base) + 1:] for f in found], pa.string()), pa.array([f.size or 0 for f in found], pa.int64()),
-                     pa.array([f.type == pfs.FileType.Directory for f in found], pa.bool_())], names=["path", "length", "is_dir"])
+                try:
+                    found = fs.get_file_info(pfs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                    rows = [(f.path[len(base) + 1:], f.size or 0, f.type == pfs.FileType.Directory, None) for f in found]
+                    # a link to a folder may lead back up: it is named, not followed
+                    rows = [(p, n, False, "link to a folder") if d and local and os.path.islink(f"{base}/{p}") else (p, n, d, e) for p, n, d, e in rows]
+                except OSError as e:
+                    rows = [(folder, None, True, str(e))]
+                cols = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.string()))],
+                                                 names=["path", "length", "is_dir", "error"])
     return run
 
 
+def _tasks(spark: SparkSession) -> int:
+    """A fixed number: paths are few bytes, but listing and reading what they name is work,
+    which must not be put together by the size of the paths."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, is_dir, error) of all that lies under ``root``.
+
+    Level by level: the folders that one level found are dealt out and listed by as many
+    tasks as there are shuffle partitions, so a tree under one top-level folder is listed
+    as widely as any other. Each level is written to the shared folder; the driver only
+    asks whether there are folders left. Folders that can't be read are rows with ``error``.
+    """
+    level, found = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        listed = materialize(level.repartition(_tasks(spark), "path").mapInArrow(_list_folders(root), _LISTED))
+        found = listed if found is None else found.union(listed)
+        level = listed.where("is_dir and error is null").select("path")
+        if level.isEmpty():
+            return found
+
+
 def read_binary_tree(spark: SparkSession, root: str, repo_id: str | None = None, excluded: bool = False) -> DataFrame:
     """(path, length, content, repo_id) of every file of a checkout tree, dotfiles
     and empty files too; ``root`` is a path or URI that all executors reach.
 
-    The folders directly under ``root`` are listed in parallel, and the bodies are
-    read in parallel; those of excluded paths only with ``excluded``. A file that
-    can't be read stays, with null content (``read_text`` calls it binary).
+    Folders are listed level by level in parallel (``list_tree``), and the bodies are
+    read in parallel; those of excluded paths only with ``excluded``. A file or folder
+    that can't be read stays, with null content (``read_text`` calls it binary).
     """
-    top = spark.createDataFrame([("",)], "path string").mapInArrow(_list_folders(root, False), _LISTED)
-    below = top.where("is_dir").select("path").repartition("path").mapInArrow(_list_folders(root, True), _LISTED)
-    files = top.union(below).where("not is_dir").select("path", "length")
+    files = list_tree(spark, root).where("not is_dir or error is not null").select("path", "length")
     if not excluded:
         files = files.where(~is_excluded("path"))
 
@@ -123,7 +154,7 @@ def read_binary_tree(spark: SparkSession, root: str, repo_id: str | None = None,
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length], pa.int64()), pa.array([body], pa.binary())],
                                                  names=["path", "length", "content"])
 
-    out = files.repartition("path").mapInArrow(read, "path string, length long, content binary")
+    out = files.repartition(_tasks(spark), "path").mapInArrow(read, "path string, length long, content binary")
     return out.withColumn("repo_id", F.lit(repo_id or root))
 
 

@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from auditspark.operators import scan as S
 from auditspark.sources import files as FS
 from auditspark.sources import reports as RS
@@ -71,3 +73,28 @@ def test_checksums(spark):
     df = spark.createDataFrame([(f"{h}  *dist/tool.tar.gz",), ("garbage",)], "text string")
     r = RS.parse_checksums(df).collect()
     assert [(x.digest, x.name) for x in r] == [("a" * 64, "tool.tar.gz")]
+
+
+def test_a_deep_tree_under_one_folder(spark, tmp_path):
+    """Listed by many tasks; what can't be read is a row, links that lead back are named."""
+    import os
+    for k in range(40):
+        d = tmp_path / "src" / f"d{k % 8}" / f"e{k}" / "f"
+        d.mkdir(parents=True)
+        (d / "a.js").write_text("x")
+    os.symlink(tmp_path / "src", tmp_path / "src" / "d0" / "loop")
+    found = FS.list_tree(spark, str(tmp_path))
+    rows = {r.path: r for r in found.collect()}
+    assert sum(p.endswith("/a.js") for p in rows) == 40 and rows["src"].is_dir and rows["src/d0/loop"].error == "link to a folder"
+    assert found.where("path like '%/a.js'").select(F.spark_partition_id()).distinct().count() > 2
+    gone = spark.createDataFrame([("no such folder",)], "path string").mapInArrow(FS._list_folders(str(tmp_path)), FS._LISTED).first()
+    assert gone.path == "no such folder" and gone.is_dir and gone.error
+    tree = FS.read_text(FS.read_binary_tree(spark, str(tmp_path)))
+    assert tree.where("is_binary").count() == 1 and tree.where("content = 'x'").count() == 40
+
+
+def test_bytes_to_text(spark):
+    rows = [("ok", "é\n".encode()), ("nul", b"a\0b"), ("bad", b"\xc3(\xff\xe2\x82x"), ("cut", b"ab\xe2\x82"), ("none", None), ("empty", b"")]
+    df = spark.createDataFrame([("r", p, None if c is None else bytearray(c)) for p, c in rows], "repo_id string, path string, content binary")
+    got = {r.path: (r.is_binary, r.content) for r in FS.read_text(df).collect()}
+    assert got == {"ok": (False, "é\n"), "nul": (True, None), "bad": (False, "�(��x"), "cut": (False, "ab�"), "none": (True, None), "empty": (False, "")}
