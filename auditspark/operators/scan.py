@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import catalogs as C
 from ..functions import columns as X
 from ..rules.catalogue import CONTEXT_WORDS, LANGUAGE_SCOPES, Rule, builtin_rules, should_redact
-from ..rules.dialect import to_java
+from ..rules.dialect import any_of, to_java
 
 RULE_META_SCHEMA = ("rule_ord int, rule_id string, rule_name string, rule_severity string, rule_category string, "
                     "rule_cwe string, rule_owasp string, rule_confidence string, rule_vibe boolean, rule_pass int, "
@@ -52,6 +52,18 @@ def _guard(rule: Rule, raw: Column, low: Column) -> Column | None:
     return cond
 
 
+def candidate(rules: list[Rule]) -> Column | None:
+    """One test of a line's lower-case text for the guards of all rules: a line without any
+    of their literals can't match. None where a rule has no guard, or one beyond ASCII."""
+    words = set()
+    for r in rules:
+        if not r.guard:
+            return None
+        groups = r.guard if isinstance(r.guard[0], tuple) else (r.guard,)
+        words |= {g.lower() for g in max(groups, key=lambda grp: min(map(len, grp)))}  # any one group is necessary
+    return F.col("_low").rlike(any_of(words)) if words and all(w.isascii() and w for w in words) else None
+
+
 # FIXED VALUE: the line length beyond which the reference's vulnerability rules do not look
 REFERENCE_MAX_LINE = 2000
 
@@ -109,7 +121,9 @@ def rule_hits(lines: DataFrame, rules: list[Rule], use_guards: bool = True, max_
         groups = F.regexp_extract_all(raw, pat, F.lit(1)) if r.groups else F.array_repeat(F.lit(""), F.size(matches))
         elems.append(F.when(cond, F.struct(F.lit(i).alias("rule_ord"), matches.alias("m"), groups.alias("g"))))
     hits = F.filter(F.array(*elems), lambda e: e.isNotNull() & (F.size(e["m"]) > 0))
-    out = (lines.withColumn("_low", F.lower(raw))
+    lines = lines.withColumn("_low", F.lower(raw))
+    some = candidate(rules) if use_guards else None
+    out = ((lines if some is None else lines.where(some))
            .withColumn("_hit", F.explode(hits))
            .drop("_low")
            .withColumn("rule_ord", F.col("_hit.rule_ord"))

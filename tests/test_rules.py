@@ -97,3 +97,23 @@ def test_distinct_content_scan_equals_plain_scan(spark):
     a = sorted(map(tuple, S.detect(spark, S.prepare_lines(df)).select(*cols).collect()))
     b = sorted(map(tuple, S.detect_distinct_content(spark, df).select(*cols).collect()))
     assert a == b and len(a) > 5
+
+
+def test_literal_prefilter_loses_no_hit(spark):
+    """Hits with guards and the combined literal test equal those of the bare regexes."""
+    import re
+
+    from auditspark.operators import scan as S
+    from auditspark.plans import q_scan as QS
+    from auditspark.rules.catalogue import Rule, builtin_rules
+    from auditspark.rules.dialect import any_of
+    words = ["abc", "abd", "b", "a.c", "abcd", "x y", "xz"]
+    rx = re.compile(any_of(words))
+    for t in ["ab", "abd", "zabcz", "aXc", "a.c", "x  y", "x y", "q", "", "xz", "B"]:
+        assert bool(rx.search(t)) is any(w in t for w in words), t
+    lines = QS._lines(spark, "/root/testdata/sf0.001")
+    key = ["repo_id", "path", "line", "rule_ord", "match_no", "match"]
+    rules = builtin_rules()
+    assert S.candidate(rules) is not None and S.candidate([*rules, Rule(**{**rules[0].__dict__, "guard": None})]) is None
+    got = sorted(S.rule_hits(lines, rules).select(key).collect())
+    assert got and got == sorted(S.rule_hits(lines, rules, use_guards=False).select(key).collect())
