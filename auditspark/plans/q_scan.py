@@ -52,27 +52,40 @@ def scan_skipped(spark, sf):
     return S.skipped_lines(_lines(spark, sf), S.REFERENCE_MAX_LINE, minified=False)
 
 
-@register("scan_secrets", _det_sql(SECRET_RULES))
+# These four read ``t_samples``: documents with a line for each of the rules, and near misses
+def _on_samples(rules):
+    return B.with_views(f"SELECT repo_id, {O.DET_ID} AS id, rule_id, file, line, severity, confidence, category, cwe, vulnerable_code FROM det",
+                        O.detect_ctes(rules, "t_samples"))
+
+
+def sampled(spark, sf, rules):
+    return S.detect(spark, S.prepare_lines(B.spark_view(spark, sf, "t_samples"), spread=True), rules).select(*DET_COLS)
+
+
+@register("scan_secrets", _on_samples(SECRET_RULES))
 def scan_secrets(spark, sf):
-    return detector(spark, sf, SECRET_RULES).select(*DET_COLS)
+    return sampled(spark, sf, SECRET_RULES)
+
+
+GENERAL_RULES = [r for r in VULN_RULES if r.scope == "all"]
 
 
-@register("scan_vulnerabilities", _det_sql([r for r in VULN_RULES if r.scope == "all"]))
+@register("scan_vulnerabilities", _on_samples(GENERAL_RULES))
 def scan_vulnerabilities(spark, sf):
-    return detector(spark, sf, [r for r in VULN_RULES if r.scope == "all"]).select(*DET_COLS)
+    return sampled(spark, sf, GENERAL_RULES)
 
 
 LANG_RULES = [r for r in VULN_RULES if r.scope not in ("all",)]
 
 
-@register("scan_language_rules", _det_sql(LANG_RULES))
+@register("scan_language_rules", _on_samples(LANG_RULES))
 def scan_language_rules(spark, sf):
-    return detector(spark, sf, LANG_RULES).select(*DET_COLS)
+    return sampled(spark, sf, LANG_RULES)
 
 
-@register("scan_config_rules", _det_sql(CONFIG_RULES))
+@register("scan_config_rules", _on_samples(CONFIG_RULES))
 def scan_config_rules(spark, sf):
-    return detector(spark, sf, CONFIG_RULES).select(*DET_COLS)
+    return sampled(spark, sf, CONFIG_RULES)
 
 
 CTX_RULES = [r for r in VULN_RULES if r.context]

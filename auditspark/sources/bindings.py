@@ -15,6 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..rules.catalogue import ALL_RULES
+from ..rules.samples import NEAR_MISSES, SAMPLES
+
+#: DuckDB can't look ahead: the near misses of these rules are for the unit tests alone
+LOOKAHEAD = {r.id for r in ALL_RULES if r.lookahead}
+
 FILES_PATH = """concat(CASE doc_id % 8 WHEN 0 THEN 'src' WHEN 1 THEN 'lib/core' WHEN 2 THEN 'apps/web/src' WHEN 3 THEN 'test' WHEN 4 THEN 'docs'
    WHEN 5 THEN 'node_modules/pkg' WHEN 6 THEN 'services/api' ELSE 'dist' END, '/f', doc_id,
    CASE doc_id % 9 WHEN 0 THEN '.js' WHEN 1 THEN '.py' WHEN 2 THEN '.go' WHEN 3 THEN '.tf' WHEN 4 THEN '.cs' WHEN 5 THEN '.ts'
@@ -33,7 +39,23 @@ FILES_CONTENT = """concat(text, {NL}, CASE doc_id % 11
    WHEN 9 THEN concat('url = "postgresql://u:p', doc_id, '@db.internal/x"')
    ELSE 'let x = 1;' END)"""
 
+_SAMPLES = list(SAMPLES.items())
+_NEAR = {k: line for k, (end, line) in NEAR_MISSES.items() if end == SAMPLES[k][0] and k not in LOOKAHEAD}
+
+
+def _by_sample(text) -> str:
+    """CASE over the sample rule of a document. Spark's parser would take "${x}" for a
+    variable, so the two characters stand in two literals."""
+    literal = lambda t: "concat('" + t.replace("${", "$', '{") + "')"
+    return f"CASE doc_id % {len(_SAMPLES)} " + " ".join(f"WHEN {i} THEN {literal(text(k, end, line))}" for i, (k, (end, line)) in enumerate(_SAMPLES)) + " END"
+
+
 VIEWS = {
+    # every rule's own line, and a near miss, behind the text of a document
+    "t_samples": ("documents", [
+        "source AS repo_id", "doc_id", "concat(CASE doc_id % 5 WHEN 0 THEN 'src' WHEN 1 THEN 'test' WHEN 2 THEN 'services/api' WHEN 3 THEN 'lib/core' "
+        f"ELSE 'apps/web' END, '/s', doc_id, {_by_sample(lambda k, end, line: end)}) AS path",
+        f"concat(text, {{NL}}, {_by_sample(lambda k, end, line: line)}, {{NL}}, {_by_sample(lambda k, end, line: _NEAR.get(k, 'x = 1'))}) AS content"]),
     "t_files": ("documents", [
         "source AS repo_id", "doc_id", f"{FILES_PATH} AS path", f"{FILES_CONTENT} AS content"]),
     "t_findings": ("lineitem", [
@@ -142,7 +164,7 @@ def duckdb_cte(name: str) -> str:
     return "SELECT " + ",\n ".join(_duck_text(e) for e in exprs) + f"\nFROM {base}"
 
 
-VIEW_ORDER = ["t_files", "t_lines", "t_findings", "t_deps", "t_tool_runs", "t_responses", "t_env_lines",
+VIEW_ORDER = ["t_samples", "t_files", "t_lines", "t_findings", "t_deps", "t_tool_runs", "t_responses", "t_env_lines",
               "t_inventory", "t_labels"]
 
 

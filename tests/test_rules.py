@@ -117,3 +117,19 @@ def test_literal_prefilter_loses_no_hit(spark):
     assert S.candidate(rules) is not None and S.candidate([*rules, Rule(**{**rules[0].__dict__, "guard": None})]) is None
     got = sorted(S.rule_hits(lines, rules).select(key).collect())
     assert got and got == sorted(S.rule_hits(lines, rules, use_guards=False).select(key).collect())
+
+
+def _hits(spark, rows):
+    df = spark.createDataFrame([("r", f"src/f{i}{end}", line) for i, (end, line) in enumerate(rows)], "repo_id string, path string, content string")
+    return {(int(r.file[5:].split(".")[0]), r.rule_id) for r in S.detect(spark, S.prepare_lines(df)).select("file", "rule_id").collect()}
+
+
+def test_every_rule_has_a_sample_that_it_finds(spark):
+    from auditspark.rules.samples import NEAR_MISSES, SAMPLES
+    ids = list(SAMPLES)
+    assert set(ids) == {r.id for r in builtin_rules()} and not any("'" in line or "\\" in line for _, line in SAMPLES.values())
+    got = _hits(spark, [SAMPLES[i] for i in ids])
+    assert not [rule for k, rule in enumerate(ids) if (k, rule) not in got]
+    near = list(NEAR_MISSES)
+    got = _hits(spark, [NEAR_MISSES[i] for i in near])
+    assert not [rule for k, rule in enumerate(near) if (k, rule) in got]
