@@ -4,8 +4,8 @@ exact cosine verification and distributed connected components.
 Equal vectors of a label are one class. Each class gets a sign signature in every
 table; classes that share a signature meet in a bucket, where the cosine of every
 pair is computed in double precision. A pair that meets in several tables counts
-in the first of them only. Vectors travel once: buckets of one class are dropped
-before the vectors are joined.
+in the first of them only. Buckets of one class are dropped before the vectors are
+joined; a vector travels once for each bucket that it shares.
 """
 from __future__ import annotations
 
@@ -52,6 +52,16 @@ def _usable() -> Column:
     return F.coalesce(F.col("label").isNotNull() & finite & some, F.lit(False))
 
 
+def _scaled(rows: DataFrame) -> DataFrame:
+    """Vectors by a power of two that brings the largest component near 1: cosines stay the
+    same to the last bit, and squares neither overflow nor vanish."""
+    exponent = F.floor(F.log2(F.array_max(F.transform("vec", lambda x: F.abs(x)))))
+    half = F.floor(exponent / 2)
+    two = F.lit(2.0)  # 2 ** exponent itself may have no double
+    out = rows.withColumn("_a", F.pow(two, half)).withColumn("_b", F.pow(two, exponent - half))
+    return out.withColumn("vec", F.transform("vec", lambda x: x / F.col("_a") / F.col("_b"))).drop("_a", "_b")
+
+
 def _link(t: pa.Table, threshold: float):
     """Links of each row within the buckets' tiles, and row pairs that join all linked ones."""
     get = lambda c: t.column(c).to_numpy()
@@ -124,7 +134,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
                           F.col(label_col).cast("string").alias("label")).withColumn("_usable", _usable())
-    clean = rows.where("_usable")
+    clean = _scaled(rows.where("_usable"))
     largest = clean.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits = max(BITS, math.ceil(math.log2(largest / BUCKET)) if largest > BUCKET else 0)
     n_tables = tables_for(threshold, bits)

@@ -160,7 +160,9 @@ WITH RECURSIVE v AS (
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0),
-n AS (SELECT *, list_inner_product(e, e) AS s FROM v),
+x AS (SELECT *, floor(log2(list_max(list_transform(e, lambda x: abs(x))))) AS p FROM v),
+w AS (SELECT vec_id, label, list_transform(e, lambda x: x / power(2.0::DOUBLE, floor(p / 2)) / power(2.0::DOUBLE, p - floor(p / 2))) AS e FROM x),
+n AS (SELECT *, list_inner_product(e, e) AS s FROM w),
 l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
   WHERE list_inner_product(a.e, b.e) / sqrt(a.s * b.s) >= 0.98),

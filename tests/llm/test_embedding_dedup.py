@@ -22,7 +22,7 @@ def brute(rows, t):
         for j in range(i):
             a, b = rows[i], rows[j]
             if good(a) and good(b) and a[2] == b[2] and len(a[1]) == len(b[1]):
-                x, y = np.array(a[1]), np.array(b[1])
+                x, y = (np.array(v) / max(map(abs, v)) for v in (a[1], b[1]))
                 if x @ y / math.sqrt((x @ x) * (y @ y)) >= t:
                     links[i] += 1
                     links[j] += 1
@@ -50,6 +50,8 @@ def test_against_brute_force(spark, monkeypatch, tile):
     rows.append([len(rows), [2 * x for x in rows[0][1]], 0])
     rows += [[len(rows) + k, v, 0] for k, v in enumerate([None, [], [0.0] * 16, [math.nan] * 16, [None] + [1.0] * 15,
                                                            [math.inf] + [1.0] * 15, [1.0, 0.0], [1.0, 0.001]])]
+    for scale in (1e200, 1e-200, 1e300, 5e-310):  # cosine 1, though squares have no double
+        rows.append([len(rows), [scale * x for x in rows[0][1]], 0])
     rows[3][0] = None
     rows[5][0] = rows[6][0]
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int, n int").repartition(3)
