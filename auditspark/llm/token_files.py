@@ -8,6 +8,7 @@ corpus is a prefix sum over it. Readers map the files into memory.
 """
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -44,10 +45,29 @@ def _put(fs: pa.fs.FileSystem, path: str, write) -> None:
     fs.move(tmp, path)
 
 
+def _drops_space_and_case(tokenizer_path: str) -> bool:
+    """Whether the tokenizer's own file says that letters are lowered and that what lies
+    between its words is removed: a normaliser of nothing but composition, white space and
+    lower case, and a split that removes what its pattern does not name."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = json.load(f)
+
+    def parts(x: dict | None, key: str) -> list[dict]:
+        return [] if x is None else [y for z in x[key] for y in parts(z, key)] if x["type"] == "Sequence" else [x]
+
+    norm, pre = parts(spec.get("normalizer"), "normalizers"), parts(spec.get("pre_tokenizer"), "pretokenizers")
+    plain = all(n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " ") for n in norm)
+    split = bool(pre) and pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+    rest = all(p["type"] == "ByteLevel" and not p["add_prefix_space"] for p in pre[1:])
+    return plain and any(n["type"] == "Lowercase" for n in norm) and split and rest
+
+
 class Encoder:
-    """The tokenizers library over whole texts, remembering chunks between white space.
+    """The tokenizers library over whole texts, remembering chunks between white space
+    where the tokenizer's file says that texts may be cut there; else every text is
+    given to the library whole.
 
-    The library drops white space, never joins across it and lowers all letters,
+    In the first case the library drops white space, never joins across it and lowers all letters,
     so a text's ids are those of its chunks one after the other, ASCII ones
     lower-cased; and one mark at the end of a chunk, after an ASCII letter or
     digit, is a token run of its own. The library composes letters before it
@@ -64,6 +84,7 @@ class Encoder:
         probe = ["abc", "straße", "é", "àÿø".lower()]  # whether the vocabulary treats such words so
         self.simple = all([t.id for t in self.lib.model.tokenize(w.encode().decode("latin-1").translate(_BYTE_CHARS))]
                           == self.lib.encode(w, add_special_tokens=False).ids for w in probe)
+        self.cut = _drops_space_and_case(tokenizer_path)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.specials = [t.encode() for t in self.lib.get_added_tokens_decoder().values() for t in [t.content]]
@@ -97,6 +118,8 @@ class Encoder:
             known[c] = known[c[:-1]] + known[c[-1:]]
 
     def __call__(self, text: bytes) -> bytes:
+        if not self.cut:
+            return array(self.code, self.lib.encode(text.decode(), add_special_tokens=False).ids).tobytes() + self.end
         low = text.lower()
         # a special token's string is matched as it is written, so such a text stays as it is
         if any(t in low for t in self.specials):

@@ -62,3 +62,17 @@ def test_letters_compose_before_they_are_lowered():
     texts = [t for p in pairs for t in (p, p + "izb", p.lower() + "izb", f"The {p}izb. A{p}, THE end", f"{p}IZB {p.lower()}")]
     for t in [*texts, " ".join(texts)]:
         assert np.frombuffer(enc(t.encode()), "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids + [END]
+
+
+def test_a_tokenizer_that_keeps_space_and_case(spark):
+    from tokenizers import Tokenizer
+    path = P.path("byte_bpe_50k.json")
+    assert T.Encoder(P.path("word_bpe_49k.json"), END).cut and not T.Encoder(path, END).cut
+    lib = Tokenizer.from_file(path)
+    texts = ["Hello big world", "  two  spaces\n\n", "", None, "ÄÖ é́", "hello big world"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.id: (r.n_tokens, r.ids_crc32) for r in T.read(T.write(df, path, END)).collect()}
+    for i, t in enumerate(texts):
+        ids = lib.encode(t or "", add_special_tokens=False).ids + [END]
+        assert got[i][0] == len(ids)
+        assert got[i][1] == zlib.crc32(np.array(ids, "<u4").tobytes())
