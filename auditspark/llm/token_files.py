@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, new_path, parallelism
 
-CACHE = 1 << 18  # chunks of a generation
+CACHE = 1 << 19  # chunks of a generation
 #: words of lower-case Latin letters, which no normalisation or splitting changes: the library's BPE takes them at once
 _WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -104,11 +104,15 @@ class Encoder:
 
     def _learn(self, chunks: set[bytes]) -> None:
         known, before = self.known, self.before
-        missing = {c for c in chunks if c not in known}
+        missing = chunks.difference(known)
         old = [c for c in missing if c in before]
         for c in old:
             known[c] = before[c]
         missing.difference_update(old)
+        # capitals: an ASCII chunk has the ids of its lower-case form
+        same = {c: low for c in missing if c.isascii() and (low := c.lower()) != c and not any(t in low for t in self.specials)}
+        missing.difference_update(same)
+        missing.update(low for low in same.values() if low not in known)
         split = [c for c in missing if len(c) > 1 and c[-1] in _MARKS and c[-2] in _PLAIN]
         missing.difference_update(split)
         missing.update(c[:-1] for c in split)
@@ -116,18 +120,13 @@ class Encoder:
         self._encode([c for c in missing if c not in known])
         for c in split:
             known[c] = known[c[:-1]] + known[c[-1:]]
+        for c, low in same.items():
+            known[c] = known[low]
 
     def __call__(self, text: bytes) -> bytes:
         if not self.cut:
             return array(self.code, self.lib.encode(text.decode(), add_special_tokens=False).ids).tobytes() + self.end
-        low = text.lower()
-        # a special token's string is matched as it is written, so such a text stays as it is
-        if any(t in low for t in self.specials):
-            chunks = text.split()
-        elif text.isascii():
-            chunks = low.split()
-        else:
-            chunks = [c.lower() if c.isascii() else c for c in text.split()]
+        chunks = text.split()
         if len(self.known) > CACHE:
             self.known, self.before = {}, self.known
         self._learn(set(chunks))
