@@ -80,7 +80,7 @@ FROM (SELECT repo_id, dedup_key, reference, min(place) AS place FROM (
                                          [("t_folded", QF._fold_sql(refs=REFS_SQL))]))
 def agg_references(spark, sf):
     """The references of every merged finding, a row for each, in their order."""
-    return D.reference_rows(QF.findings(spark, sf).withColumn("references", F.expr(REFS)), spread=True)
+    return D.reference_rows(QF.findings(spark, sf, spread=True).withColumn("references", F.expr(REFS)))
 
 
 # ---------------------------------------------------------------- the whole run

@@ -126,13 +126,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spark_view(spark: SparkSession, sf_dir: str, name: str, by: tuple = (), spread: bool = False) -> DataFrame:
+    """The view ``name``. Its rows can be dealt out, by the values of the columns ``by`` or
+    by their content (``spread``): then the base table's narrow rows travel, and what the
+    view derives from them is made behind the shuffle."""
     if name == "t_lines":
         return lines_of(spark_view(spark, sf_dir, "t_files"))
     if name == "t_baseline":
         return baseline_of(spark_view(spark, sf_dir, "t_findings"))
     base, exprs = VIEWS[name]
-    return table(spark, sf_dir, base).selectExpr(*[_spark_text(e) for e in exprs])
+    t, cols = table(spark, sf_dir, base), {e.rsplit(" AS ", 1)[-1]: _spark_text(e) for e in exprs}
+    if spread:
+        t = t.repartition(F.xxhash64(*t.columns))
+    if by:
+        t = t.selectExpr("*", *[cols[c] for c in by]).repartition(*by)
+        cols |= {c: c for c in by}
+    return t.selectExpr(*cols.values())
 
 
 def lines_of(files: DataFrame) -> DataFrame:
