@@ -4,11 +4,15 @@ Every repository brings its own ignore file. Files become rows of patterns, patt
 become regexes in column expressions (no driver loop over them), and a path's verdict
 is that of the last pattern of its repository that matches it.
 
-Neighbouring patterns that decide alike are joined into alternations of at most
-``CHUNK`` patterns, so a path meets a few regexes and not a thousand; they are matched
-against the distinct paths of a repository only, and sorted so that a task compiles
-each regex once for a run of paths. A repository with very many paths is spread by
-salting the paths, its patterns being sent once for each salt.
+Of patterns that are written twice in a file only the last counts, as it decides for
+both. Patterns without wildcards, and those below a literal folder, are found by an
+equi-join with the names, folders and prefixes of a path (``path_keys``). Of the others,
+neighbours that decide alike are joined into alternations of at most ``CHUNK`` patterns,
+so a path meets a few regexes and not a thousand. All are matched against the distinct
+paths of a repository only, the patterns being the streamed side of a merge join: a task
+compiles each regex once for its paths, nothing is broadcast and no pair is kept that
+doesn't match. A repository with very many paths is spread by salting the paths, its
+alternations being sent once for each salt.
 """
 from __future__ import annotations
 
@@ -49,7 +53,24 @@ def compiled(rules: DataFrame, max_stars: int | None = None) -> DataFrame:
         out = out.where(F.length(stars) - F.length(F.replace(stars, F.lit("*"), F.lit(""))) <= max_stars)
     head = F.when(F.col("_rooted") | F.contains("_body", F.lit("/")), "^").otherwise("(?:^|/)")
     tail = F.when(F.col("_directory"), "(?:/.*)?\\z").otherwise("\\z")
-    return out.withColumn("regex", F.concat(head, glob_regex(F.col("_body")), tail)).drop("_directory", "_rooted", "_body")
+    return (out.withColumn("regex", F.concat(head, glob_regex(F.col("_body")), tail))
+            .withColumn("key", _key(F.col("_body"), head == "^", F.col("_directory"))).drop("_directory", "_rooted", "_body"))
+
+
+def _key(body: Column, anchored: Column, directory: Column) -> Column:
+    """The one of a path's ``path_keys`` that it must have if the pattern matches it; null
+    if there is none: of a pattern with wildcards, the folders before them."""
+    kind = F.when(anchored, F.when(directory, "under:").otherwise("path:")).otherwise(F.when(directory, "part:").otherwise("name:"))
+    folders = F.regexp_extract(body, r"(?s)^([^*?]*)/[^/*?]*[*?]", 1)
+    return F.when(~body.rlike("[*?]") & (body != ""), F.concat(kind, body)).when(folders != "", F.concat(F.lit("under:"), folders))
+
+
+def path_keys(path: Column) -> Column:
+    """What a pattern's ``key`` may be for it to match ``path``."""
+    parts = F.split(path, "/", -1)
+    under = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("under:"), F.array_join(F.slice(parts, 1, n), "/")))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("path:"), path), F.concat(F.lit("name:"), F.element_at(parts, -1))),
+                                     F.transform(parts, lambda p: F.concat(F.lit("part:"), p)), under))
 
 
 def ignore_files(files: DataFrame, name: str = IGNORE_FILE) -> DataFrame:
@@ -59,16 +80,25 @@ def ignore_files(files: DataFrame, name: str = IGNORE_FILE) -> DataFrame:
 
 
 def rules(docs: DataFrame, max_stars: int | None = None) -> DataFrame:
-    """(repo_id, ordinal, pattern, negate, regex) of ignore files (repo_id, content)."""
+    """(repo_id, ordinal, pattern, negate, regex, key) of ignore files (repo_id, content)."""
     return compiled(SP.ignore_lines(docs, "content", ["repo_id"]), max_stars)
 
 
+def deciding(compiled_rules: DataFrame) -> DataFrame:
+    """(repo_id, ordinal, negate, regex, key): of equal regexes of a repository the last,
+    which decides for every path that they match."""
+    return compiled_rules.groupBy("repo_id", "regex").agg(F.max_by("negate", "ordinal").alias("negate"), F.max("ordinal").alias("ordinal"), F.min("key").alias("key"))
+
+
 def runs(compiled_rules: DataFrame) -> DataFrame:
-    """(repo_id, last, negate, regex): neighbouring patterns of one polarity as alternations."""
+    """(repo_id, last, negate, regex): neighbouring patterns of one polarity as alternations,
+    those without a ``key`` only. A run ends where the next pattern, with a key or not,
+    decides otherwise: within it any order of patterns gives the same verdict."""
     order = Window.partitionBy("repo_id").orderBy("ordinal")
     turn = (F.col("negate") != F.lag("negate").over(order)).cast("int")
-    r = compiled_rules.select("repo_id", "ordinal", "negate", "regex").withColumn("_turn", F.coalesce(turn, F.lit(0)))
-    r = r.withColumn("_run", F.sum("_turn").over(order)).withColumn("_pos", F.row_number().over(order))
+    r = compiled_rules.select("repo_id", "ordinal", "negate", "regex", "key").withColumn("_turn", F.coalesce(turn, F.lit(0)))
+    r = r.withColumn("_run", F.sum("_turn").over(order)).withColumn("_free", F.col("key").isNull())
+    r = r.withColumn("_pos", F.sum(F.col("_free").cast("int")).over(order)).where("_free")
     grouped = r.groupBy("repo_id", "_run", F.floor(F.col("_pos") / CHUNK).alias("_chunk"), "negate").agg(
         F.max("ordinal").alias("last"), F.collect_list("regex").alias("_all"))
     return grouped.select("repo_id", "last", "negate", F.concat(F.lit("(?:"), F.array_join("_all", "|"), F.lit(")")).alias("regex"))
@@ -77,11 +107,18 @@ def runs(compiled_rules: DataFrame) -> DataFrame:
 def verdicts(paths: DataFrame, compiled_rules: DataFrame) -> DataFrame:
     """(repo_id, path, ignored) of the distinct (repo_id, path) that some pattern of
     their repository matches; the last one decides."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    by_run = runs(compiled_rules).withColumn("_salt", every)
-    p = paths.select("repo_id", "path").distinct().withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
-    # a task sees a regex with all its paths before the next one: it is compiled once
-    met = p.join(by_run, ["repo_id", "_salt"]).sortWithinPartitions("repo_id", "last").where(F.rlike("path", F.col("regex")))
+    last = deciding(compiled_rules)
+    p = paths.select("repo_id", "path").distinct()
+    by_key = last.where(F.col("key").isNotNull()).select("repo_id", "key", F.col("ordinal").alias("last"), "negate", "regex")
+    by_run = runs(last).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def matches(rules: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+        # the left side of a merge join is streamed: a task sees a regex with all its paths before the next one
+        met = rules.hint("merge").join(keyed.hint("merge"), ["repo_id", key]).where(F.rlike("path", F.col("regex")))
+        return met.select("repo_id", "path", "negate", "last")
+
+    met = matches(by_key, p.withColumn("key", F.explode(path_keys(F.col("path")))), "key").unionByName(
+        matches(by_run, p.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")), "_salt"))
     return met.groupBy("repo_id", "path").agg(F.max_by(~F.col("negate"), "last").alias("ignored"))
 
 

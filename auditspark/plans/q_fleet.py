@@ -8,6 +8,7 @@ from ..functions import catalogs as C
 from ..operators import corroborate as D
 from ..operators import ignore_rules as IG
 from ..rules.catalogue import builtin_rules
+from ..session import materialize
 from ..sources import bindings as B
 from . import fleet
 from . import oracle_scan as OS
@@ -64,7 +65,8 @@ FROM t_dedup t LEFT JOIN ig_verdict v ON v.repo_id = t.repo_id AND v.p = {_PATH_
 @register("flt_ignore_repo", QF.sqlv(f"WITH {_IGNORE_SQL.strip()}{_IGNORED_SQL}", True))
 def flt_ignore_repo(spark, sf):
     """Findings against the ignore file of their own repository, behind the built-in defaults."""
-    f = IG.flag_ignored(QF.deduped(spark, sf), IG.rules(ignore_docs(spark, sf)))
+    merged = materialize(QF.deduped(spark, sf).select("repo_id", "dedup_key", "file"))  # read for its paths and for its rows: folded once
+    f = IG.flag_ignored(merged, IG.rules(ignore_docs(spark, sf)))
     return f.select("repo_id", "dedup_key", "file", "suppressed")
 
 
