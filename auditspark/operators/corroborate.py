@@ -51,15 +51,23 @@ def _with_defaults(df: DataFrame) -> DataFrame:
     return df
 
 
-def ordered_union(parts: dict[str, DataFrame], order: dict[str, list]) -> DataFrame:
+def source_rank(source: Column, default: str = "extra") -> Column:
+    """The place in SOURCE_ORDER of the kind that holds the tool ``source``."""
+    ranks = {t: SOURCE_ORDER.index(k) for k, tools in SOURCE_TOOLS.items() for t in tools}
+    return X.lookup(ranks, source, SOURCE_ORDER.index(default))
+
+
+def ordered_union(parts: dict[str, DataFrame], order: dict[str, list], ranks: dict[str, Column] | None = None) -> DataFrame:
     """``set_union_findings``: findings of all kinds of sources with the order key
     ``seq``: the rank of the kind in SOURCE_ORDER, then the kind's own ``order``
-    columns, which must have the same names and types in every part."""
+    columns, which must have the same names and types in every part. A part that holds
+    several kinds has the rank of each row in ``ranks``."""
     out = None
     for kind in SOURCE_ORDER:
         if kind not in parts:
             continue
-        seq = F.struct(F.lit(SOURCE_ORDER.index(kind)).alias("source_rank"), *order[kind])
+        rank = (ranks or {}).get(kind, F.lit(SOURCE_ORDER.index(kind)))
+        seq = F.struct(rank.alias("source_rank"), *order[kind])
         part = parts[kind].withColumn("seq", seq)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out

@@ -1,13 +1,14 @@
 """Fleet run: the whole audit for many repositories.
 
     files --scan--> detector findings --+
-    tool reports --normalise-----------+--> ordered union --> corroborate --> ignore flag --> baseline flag --> [checkpoint]
+    tool reports --normalise-----------+--> ordered union --> corroborate --> [checkpoint] --> ignore flag --> baseline flag --> [checkpoint]
     partial documents --validate-------+        --> findings / suppressed / baselined / score / summary / SARIF
 
 Sources are merged in their fixed order (``corroborate.SOURCE_ORDER``), detector
-findings by severity first. The merged, flagged table is checkpointed once to
-the cluster's shared ``spark.checkpoint.dir``; every result reads it, so scan and
-fold run once. ``checkpoint=False`` keeps all of it lazy.
+findings by severity first. The merged table is checkpointed to the cluster's shared
+``spark.checkpoint.dir`` before it is flagged, as the ignore flag reads it for its paths
+and again for its rows, and the flagged table for the results: scan and fold run once.
+``checkpoint=False`` keeps all of it lazy.
 """
 from __future__ import annotations
 
@@ -56,22 +57,20 @@ def merge_findings(spark: SparkSession, files: DataFrame, reports: DataFrame | N
     det = S.detect(spark, S.prepare_lines(files, spread), rules if rules is not None else builtin_rules())
     det_order = _order(R.sev_order("severity", 99), F.col("depth"), F.col("file"), F.col("rule_pass"), F.col("rule_ord"), F.col("line"),
                        F.col("match_no"))
-    parts, order = {"detector": det}, {"detector": det_order}
+    parts, order, ranks = {"detector": det}, {"detector": det_order}, {}
     if reports is not None:
+        # one part for the tools of all kinds, so that reports are read and parsed once
         tools = N.normalize_all(reports)
         names = [t for k in D.SOURCE_ORDER for t in D.SOURCE_TOOLS[k]]
         rank = X.lookup({t: i for i, t in enumerate(names)}, F.col("source"), len(names))
-        for kind in ("opengrep", "package-audit", "osv-scanner", "extra"):
-            mine = F.col("source").isin(*D.SOURCE_TOOLS[kind])
-            if kind == "extra":  # and those of normalisers that users registered
-                mine = ~F.col("source").isin(*[t for k in D.SOURCE_ORDER if k != kind for t in D.SOURCE_TOOLS[k]])
-            parts[kind] = tools.where(mine)
-            order[kind] = _order(tool=rank, run_id=F.col("run_id"), name=F.col("source"), ordinal=F.col("ordinal"))
+        # those of normalisers that users registered are extra tools too
+        parts["extra"], ranks["extra"] = tools.where(~F.col("source").isin(*D.SOURCE_TOOLS["detector"])), D.source_rank(F.col("source"))
+        order["extra"] = _order(tool=rank, run_id=F.col("run_id"), name=F.col("source"), ordinal=F.col("ordinal"))
     if partials is not None:
         parts["partial"] = valid_partials(partials)
         order["partial"] = _order(run_id=F.col("run_id"), name=F.col("file_name"), ordinal=F.col("ordinal"))
     extra = ["depth", "rule_pass", "rule_ord", "match_no", "match", "run_id", "file_name", "ordinal"]
-    return D.deduplicate(D.ordered_union(parts, order).drop(*extra), spread=False)
+    return D.deduplicate(D.ordered_union(parts, order, ranks).drop(*extra), spread=False)
 
 
 def run(spark: SparkSession, files: DataFrame, reports: DataFrame | None = None, baseline: DataFrame | None = None,
@@ -80,7 +79,8 @@ def run(spark: SparkSession, files: DataFrame, reports: DataFrame | None = None,
     """``ignore_patterns`` hold for all repositories; each repository's own ignore file,
     read from ``ignore_files`` (repo_id, content) or else from ``files``, comes behind them."""
     own = ignore_files if ignore_files is not None else IG.ignore_files(files)
-    merged = IG.flag_ignored(merge_findings(spark, files, reports, partials, rules, spread), IG.rules(own), ignore_patterns)
+    merged = merge_findings(spark, files, reports, partials, rules, spread)
+    merged = IG.flag_ignored(materialize(merged) if checkpoint else merged, IG.rules(own), ignore_patterns)
     merged = SP.flag_baseline(merged, baseline) if baseline is not None else \
         SP.with_fingerprint(merged).withColumn("known", F.lit(False))
     if checkpoint:
