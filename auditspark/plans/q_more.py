@@ -33,9 +33,9 @@ ITEM = ("to_json(named_struct('severity', severity, 'category', category, 'name'
 
 
 def partial_docs(spark, sf):
-    f = B.spark_view(spark, sf, "t_findings").withColumn("_item", F.expr(ITEM))
+    f = B.spark_view(spark, sf, "t_findings", by=("repo_id", "run_id")).withColumn("_item", F.expr(ITEM))
     docs = (f.groupBy("repo_id", "run_id")
-            .agg(F.array_sort(F.collect_list(F.struct("seq", "_item"))).alias("_xs"))
+            .agg(F.sort_array(F.collect_list(F.struct("seq", "_item"))).alias("_xs"))
             .withColumn("_arr", F.concat(F.lit("["), F.array_join(F.transform("_xs", lambda x: x["_item"]), ","),
                                          F.lit("]"))))
     tools = F.when(F.col("run_id") % 3 == 0, F.lit(',"toolExecutions":["opengrep","npm audit"]')).otherwise(F.lit(""))
