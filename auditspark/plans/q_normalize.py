@@ -21,9 +21,10 @@ OUT = [c for c in N.CANON if c != "references"]
 
 
 def _runs(spark, sf, item_json: str) -> DataFrame:
-    """(repo_id, run_id, xs): a run's items in the order of arrival."""
-    f = B.spark_view(spark, sf, "t_findings").withColumn("_item", F.expr(item_json))
-    return f.groupBy("repo_id", "run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "line", "_item"))).alias("xs"))
+    """(repo_id, run_id, xs): a run's items in the order of arrival. The table's rows are
+    dealt out by run before their JSON is written."""
+    f = B.spark_view(spark, sf, "t_findings", by=("repo_id", "run_id")).withColumn("_item", F.expr(item_json))
+    return f.groupBy("repo_id", "run_id").agg(F.sort_array(F.collect_list(F.struct("seq", "line", "_item"))).alias("xs"))
 
 
 def _list(xs: Column, keep=None, brackets: str = "[]") -> Column:
