@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogs as C
+from ..session import tasks
 from . import suppress as SP
 
 #: the file at a repository's root that holds its patterns
@@ -113,6 +114,8 @@ def verdicts(paths: DataFrame, compiled_rules: DataFrame) -> DataFrame:
     by_run = runs(last).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def matches(rules: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+        # few bytes, many regexes to try: both sides in as many tasks as there are, whatever their size
+        rules, keyed = (x.repartition(tasks(x.sparkSession), "repo_id", key) for x in (rules, keyed))
         # the left side of a merge join is streamed: a task sees a regex with all its paths before the next one
         met = rules.hint("merge").join(keyed.hint("merge"), ["repo_id", key]).where(F.rlike("path", F.col("regex")))
         return met.select("repo_id", "path", "negate", "last")

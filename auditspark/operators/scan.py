@@ -22,6 +22,7 @@ from ..functions import catalogs as C
 from ..functions import columns as X
 from ..rules.catalogue import CONTEXT_WORDS, LANGUAGE_SCOPES, Rule, builtin_rules, should_redact
 from ..rules.dialect import any_of, to_java
+from ..session import tasks
 
 RULE_META_SCHEMA = ("rule_ord int, rule_id string, rule_name string, rule_severity string, rule_category string, "
                     "rule_cwe string, rule_owasp string, rule_confidence string, rule_vibe boolean, rule_pass int, "
@@ -152,7 +153,7 @@ def prepare_lines(files: DataFrame, spread: bool = False) -> DataFrame:
     keep = ["repo_id", "path", "language", "kind", "depth", "is_minified"]
     lines = S.split_lines(f.select(*keep, "_lines"), keep)
     if spread:
-        lines = lines.repartition("repo_id", "path", "line")
+        lines = lines.repartition(tasks(lines.sparkSession), "repo_id", "path", "line")
     return lines
 
 

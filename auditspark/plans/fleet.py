@@ -1,13 +1,15 @@
 """Fleet run: the whole audit for many repositories.
 
     files --scan--> detector findings --+
-    tool reports --normalise-----------+--> ordered union --> corroborate --> [checkpoint] --> ignore flag --> baseline flag --> [checkpoint]
+    tool reports --normalise-----------+--> ordered union --> [checkpoint] --> corroborate --> [checkpoint] --> ignore flag --> baseline flag --> [checkpoint]
     partial documents --validate-------+        --> findings / suppressed / baselined / score / summary / SARIF
 
 Sources are merged in their fixed order (``corroborate.SOURCE_ORDER``), detector
-findings by severity first. The merged table is checkpointed to the cluster's shared
-``spark.checkpoint.dir`` before it is flagged, as the ignore flag reads it for its paths
-and again for its rows, and the flagged table for the results: scan and fold run once.
+findings by severity first. The union is written to the cluster's shared
+``spark.checkpoint.dir`` (as Parquet, of which each reader takes its columns) before it is
+merged, as the fold reads it for its rows and again for their references; the merged table
+before it is flagged, as the ignore flag reads it for its paths and again for its rows; and
+the flagged table for the results: parsers, scan and fold run once.
 ``checkpoint=False`` keeps all of it lazy.
 """
 from __future__ import annotations
@@ -27,7 +29,8 @@ from ..operators import scan as S
 from ..operators import sinks as K
 from ..operators import suppress as SP
 from ..rules.catalogue import Rule, builtin_rules
-from ..session import materialize
+from ..session import written
+from ..session import written as materialize
 from ..sources import files as FS
 from ..sources.partials import valid_partials
 
@@ -52,8 +55,10 @@ def _order(severity=None, depth=None, path=None, rule_pass=None, rule_ord=None,
 
 
 def merge_findings(spark: SparkSession, files: DataFrame, reports: DataFrame | None = None, partials: DataFrame | None = None,
-                   rules: list[Rule] | None = None, spread: bool = False) -> DataFrame:
-    """The corroborated findings of all sources, merged in the fixed order."""
+                   rules: list[Rule] | None = None, spread: bool = False, once: bool = False) -> DataFrame:
+    """The corroborated findings of all sources, merged in the fixed order. ``once`` writes
+    the findings before they are merged: the fold reads them, and again their references,
+    and sources are scanned and parsed only once."""
     det = S.detect(spark, S.prepare_lines(files, spread), rules if rules is not None else builtin_rules())
     det_order = _order(R.sev_order("severity", 99), F.col("depth"), F.col("file"), F.col("rule_pass"), F.col("rule_ord"), F.col("line"),
                        F.col("match_no"))
@@ -70,7 +75,8 @@ def merge_findings(spark: SparkSession, files: DataFrame, reports: DataFrame | N
         parts["partial"] = valid_partials(partials)
         order["partial"] = _order(run_id=F.col("run_id"), name=F.col("file_name"), ordinal=F.col("ordinal"))
     extra = ["depth", "rule_pass", "rule_ord", "match_no", "match", "run_id", "file_name", "ordinal"]
-    return D.deduplicate(D.ordered_union(parts, order, ranks).drop(*extra), spread=False)
+    found = D.ordered_union(parts, order, ranks).drop(*extra)
+    return D.deduplicate(written(found) if once else found, spread=False)
 
 
 def run(spark: SparkSession, files: DataFrame, reports: DataFrame | None = None, baseline: DataFrame | None = None,
@@ -79,7 +85,7 @@ def run(spark: SparkSession, files: DataFrame, reports: DataFrame | None = None,
     """``ignore_patterns`` hold for all repositories; each repository's own ignore file,
     read from ``ignore_files`` (repo_id, content) or else from ``files``, comes behind them."""
     own = ignore_files if ignore_files is not None else IG.ignore_files(files)
-    merged = merge_findings(spark, files, reports, partials, rules, spread)
+    merged = merge_findings(spark, files, reports, partials, rules, spread, once=checkpoint)
     merged = IG.flag_ignored(materialize(merged) if checkpoint else merged, IG.rules(own), ignore_patterns)
     merged = SP.flag_baseline(merged, baseline) if baseline is not None else \
         SP.with_fingerprint(merged).withColumn("known", F.lit(False))

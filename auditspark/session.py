@@ -6,6 +6,7 @@ from ``spark.checkpoint.dir`` (set by the cluster); tests set their own.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +60,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def tasks(spark: SparkSession) -> int:
+    """Into how many tasks rows are dealt that are few bytes, but much work (paths to list and
+    read, rows to parse): a fixed number, as they must not be put together by their size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As ``materialize``, for a table of many columns of which each reader wants a few:
+    Parquet in the shared folder."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` computed once, in the shared folder: what is read from it more than once
     isn't planned again, and lost executors don't matter."""

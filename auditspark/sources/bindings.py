@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..rules.catalogue import ALL_RULES
 from ..rules.samples import NEAR_MISSES, SAMPLES
+from ..session import tasks
 
 #: DuckDB can't look ahead: the near misses of these rules are for the unit tests alone
 LOOKAHEAD = {r.id for r in ALL_RULES if r.lookahead}
@@ -139,7 +140,7 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str, by: tuple = (), spre
     if spread:
         t = t.repartition(F.xxhash64(*t.columns))
     if by:
-        t = t.selectExpr("*", *[cols[c] for c in by]).repartition(*by)
+        t = t.selectExpr("*", *[cols[c] for c in by]).repartition(tasks(spark), *by)
         cols |= {c: c for c in by}
     return t.selectExpr(*cols.values())
 

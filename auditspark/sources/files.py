@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import catalogs as C
 from ..functions import columns as X
 from ..rules.dialect import glob_to_regex
-from ..session import materialize
+from ..session import materialize, tasks
 
 
 def _any_depth(patterns: list[str]) -> str:
@@ -106,12 +106,6 @@ def _list_folders(root: str):
     return run
 
 
-def _tasks(spark: SparkSession) -> int:
-    """A fixed number: paths are few bytes, but listing and reading what they name is work,
-    which must not be put together by the size of the paths."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, is_dir, error) of all that lies under ``root``.
 
@@ -122,7 +116,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """
     level, found = spark.createDataFrame([("",)], "path string"), None
     while True:
-        listed = materialize(level.repartition(_tasks(spark), "path").mapInArrow(_list_folders(root), _LISTED))
+        listed = materialize(level.repartition(tasks(spark), "path").mapInArrow(_list_folders(root), _LISTED))
         found = listed if found is None else found.union(listed)
         level = listed.where("is_dir and error is null").select("path")
         if level.isEmpty():
@@ -154,7 +148,7 @@ def read_binary_tree(spark: SparkSession, root: str, repo_id: str | None = None,
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length], pa.int64()), pa.array([body], pa.binary())],
                                                  names=["path", "length", "content"])
 
-    out = files.repartition(_tasks(spark), "path").mapInArrow(read, "path string, length long, content binary")
+    out = files.repartition(tasks(spark), "path").mapInArrow(read, "path string, length long, content binary")
     return out.withColumn("repo_id", F.lit(repo_id or root))
 
 
